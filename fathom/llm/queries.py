@@ -16,6 +16,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op10_best_fit_packing": op10_best_fit_packing}
+def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair_store import read_digest, write_ids
+
+    return read_digest(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_bpe import digest_texts
+
+    return digest_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    "op7_token_id_output": op7_token_id_output,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
 
 ORACLE_SQL: dict[str, str] = {}
