@@ -48,7 +48,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate of df: for files their sizes, wherever they are stored."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, each: int = 12 << 20) -> int:

@@ -16,6 +16,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair_store import read_digest, write_ids
 
@@ -29,6 +35,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_token_id_output": op7_token_id_output,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
