@@ -9,12 +9,13 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections import deque
 
 import numpy as np
 
 #: Distinct pieces kept by a worker; more are encoded again when they return.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 600_000
 ODD_SPACE = re.compile(r"[^\S \n]")
 PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
@@ -54,19 +55,30 @@ class CachedEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes new pieces, joined by a mark that stands alone; the others one by one."""
-        cache, older, stops = self.cache, self.older, self.stops
+        """Encodes new pieces. Plain ASCII words go to the library's model as its normaliser and pattern would
+        hand them over; other pieces are joined by a mark that stands alone, or taken one by one."""
+        cache, older, stops, words = self.cache, self.older, self.stops, self.kind == "word"
         if len(cache) + len(pieces) > CACHE_PIECES:  # what is met again comes back from the older half
             older, self.older = cache, cache
             cache = self.cache = Pieces()
-        stems = []
+        tokenize, others = self.tokenizer.model.tokenize, []
         for x in pieces:
-            if x in older:
-                cache[x] = older[x]
-            elif x[-1:] in stops and x[-2:-1].isascii() and x[-2:-1].isalpha():
-                stems.append(x)
-        wanted = {x for x in pieces.difference(stems) if x not in cache} | {y for x in stems if (y := x[:-1]) not in cache}
-        plain = sorted(x for x in wanted if self.mark not in x) if len(self.mark_ids) == 1 else []
+            if (ids := older.get(x)) is not None:
+                cache[x] = ids
+                continue
+            if x.isascii():
+                y = x[:-1] if x[-1:] in stops and x[-2:-1].isalpha() else x
+                word = y.lower() if words else "\u0120" + y[1:] if y[:1] == " " else y  # a leading blank's sign
+                if word[not words and y[:1] == " " :].isalpha():
+                    ids = cache.get(word) if words else None
+                    if ids is None:
+                        ids = array("I", [t.id for t in tokenize(word)]).tobytes()
+                        if words:
+                            cache[word] = ids
+                    cache[x] = ids if x is y or len(x) == len(y) else ids + stops[x[-1]]
+                    continue
+            others.append(x)
+        plain = [x for x in others if self.mark not in x] if len(self.mark_ids) == 1 else []
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
             ids = np.array(self.whole([self.gap.join(some)])[0], np.uint32)
@@ -77,11 +89,9 @@ class CachedEncoder:
             for piece, end in zip(some, [*(at * 4).tolist(), 4 * len(ids)]):
                 cache[piece] = data[start:end]
                 start = end + 4
-        rest = [x for x in wanted if x not in cache]
-        for piece, ids in zip(rest, self.whole(rest) if rest else ()):
-            cache[piece] = np.array(ids, np.uint32).tobytes()
-        for x in stems:
-            cache[x] = cache[x[:-1]] + stops[x[-1]]
+        if rest := [x for x in others if x not in cache]:
+            for piece, ids in zip(rest, self.whole(rest)):
+                cache[piece] = np.array(ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = PIECES.findall if self.kind == "byte" else lambda s: s.replace("\n", " ").split(" ")
