@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,8 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
 def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of the texts, A-Z lower-cased: all words as a dictionary array, and
     how many each text has. Null texts have none."""
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))  # string kernels need an array that starts at its buffers' start
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat = lists.values
@@ -117,21 +120,25 @@ def word_hashes(words: pa.DictionaryArray) -> np.ndarray:
 
 
 def pack(sorted_values: np.ndarray) -> bytes:
-    """Ascending uint64s as gaps, each in as few bytes as the largest gap needs; the first byte says how many."""
+    """Ascending uint64s as gaps, each in as few bytes as the largest gap needs (the first byte says how
+    many); the highest bytes, which are small numbers, are Huffman-coded."""
     if not len(sorted_values):
         return b""
-    gaps = np.diff(sorted_values, prepend=np.uint64(0))
-    wide = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return bytes([wide]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+    gaps = np.diff(sorted_values, prepend=np.uint64(0)).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    wide = max(1, (int(np.diff(sorted_values, prepend=np.uint64(0)).max()).bit_length() + 7) // 8)
+    squeeze = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    top = squeeze.compress(np.ascontiguousarray(gaps[:, wide - 1]).tobytes()) + squeeze.flush()
+    return b"".join([bytes([wide]), len(gaps).to_bytes(4, "little"), np.ascontiguousarray(gaps[:, : wide - 1]).tobytes(), top])
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The reverse of pack()."""
     if not data:
         return np.zeros(0, np.uint64)
-    wide = data[0]
-    out = np.zeros(((len(data) - 1) // wide, 8), np.uint8)
-    out[:, :wide] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, wide)
+    wide, n = data[0], int.from_bytes(data[1:5], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : wide - 1] = np.frombuffer(data, np.uint8, n * (wide - 1), 5).reshape(n, wide - 1)
+    out[:, wide - 1] = np.frombuffer(zlib.decompress(data[5 + n * (wide - 1) :], -15), np.uint8)
     return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 

@@ -16,6 +16,7 @@ then its texts run over those arcs from left to right, the state being carried f
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,10 +29,11 @@ from .common import bucket_edges, mix, need, pack, parts_for, tune, unpack, word
 ORDER = 3
 #: Weight, in counts, of the lower order's distribution at each order from the second on.
 PRIOR = 8.0
-#: Bits kept of the hash of an n-gram of two or more words; single words keep all 64.
-HASH_BITS = 50
+#: Bits kept of the hash of an n-gram of two or more words, besides those that number the blocks: the same
+#: few of a million n-grams collide at every size. Single words keep all 64.
+HASH_BITS = 40
 #: Texts of a block, in bytes of the stored table.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 
 START, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +89,7 @@ class BackoffAutomaton:
 class Events:
     """All token events of a block: hashes of the n-grams that end at each, by order."""
 
-    def __init__(self, table: pa.Table, order: int):
+    def __init__(self, table: pa.Table, order: int, drop: np.uint64):
         self.ids = table.column("doc_id")
         self.train = table.column("train").to_numpy()
         text = table.column("text").combine_chunks()
@@ -109,19 +111,19 @@ class Events:
             here = np.zeros(len(seq), np.uint64)
             here[1:] = mix(last[:-1] * STEP + seq[1:] + np.uint64(k)) if len(seq) else 0
             last = here
-            self.grams.append(here[self.at] >> np.uint64(64 - HASH_BITS) << np.uint64(64 - HASH_BITS))
+            self.grams.append(here[self.at] >> drop << drop)
             self.valid.append(place >= k - 1)
         self.first_event = np.cumsum(self.words + 1) - (self.words + 1)
 
 
-def ask_counts(order: int, buckets: int):
+def ask_counts(order: int, buckets: int, drop: np.uint64):
     """A block's n-grams, sorted, with how often its training texts hold each, cut into hash ranges."""
     edges = bucket_edges(buckets)
     fields = [("block", pa.int32()), ("bucket", pa.int32()), *[(f"{x}{k}", pa.binary()) for k in range(1, order + 1) for x in "hc"], ("starts", pa.int64())]
     schema = pa.schema(fields)
 
     def run(table: pa.Table) -> pa.Table:
-        e = Events(table, order)
+        e = Events(table, order, drop)
         cols: dict[str, list] = {n: [] for n in schema.names}
         cols["block"], cols["bucket"] = [table.column("block")[0].as_py()] * buckets, list(range(buckets))
         cols["starts"] = [int(e.train.sum())] + [0] * (buckets - 1)
@@ -134,8 +136,8 @@ def ask_counts(order: int, buckets: int):
             g &= ~np.uint64(1)
             first = np.flatnonzero(np.diff(g, prepend=~g[:1])) if len(g) else np.zeros(0, np.int64)
             n = np.add.reduceat(t, first) if len(g) else t
-            g = g[first] if k == 0 else g[first] >> np.uint64(64 - HASH_BITS)
-            cut = np.append(np.searchsorted(g, edges if k == 0 else edges >> np.uint64(64 - HASH_BITS)), len(g))
+            g = g[first] if k == 0 else g[first] >> drop
+            cut = np.append(np.searchsorted(g, edges if k == 0 else edges >> drop), len(g))
             for b in range(buckets):
                 cols[f"h{k + 1}"].append(pack(g[cut[b] : cut[b + 1]]))
                 cols[f"c{k + 1}"].append(small(n[cut[b] : cut[b + 1]]))
@@ -146,11 +148,16 @@ def ask_counts(order: int, buckets: int):
 
 def small(n: np.ndarray) -> bytes:
     """Counts as bytes; 255 says that the count follows among the large ones at the end."""
+    if not len(n):
+        return b""
     large = n[n >= 255].astype("<u8")
-    return np.minimum(n, 255).astype(np.uint8).tobytes() + large.tobytes()
+    return zlib.compress(np.minimum(n, 255).astype(np.uint8).tobytes() + large.tobytes(), 1)
 
 
 def unsmall(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    data = zlib.decompress(data)
     out = np.frombuffer(data, np.uint8, n).astype(np.int64)
     out[out == 255] = np.frombuffer(data, "<u8", -1, n).astype(np.int64) if len(data) > n else 255
     return out
@@ -185,21 +192,21 @@ def add_counts(order: int, blocks: int):
     return run, schema
 
 
-def run_automaton(order: int, prior: float, buckets: int):
+def run_automaton(order: int, prior: float, buckets: int, drop: np.uint64):
     """Runs a block's texts over the arcs that the counts give."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(table: pa.Table, counts: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
-        e = Events(table, order)
+        e = Events(table, order, drop)
         counts = counts.sort_by("bucket")
         v, n, starts = (int(sum(counts.column(x).to_pylist())) for x in ("distinct", "tokens", "starts"))
         found = []
         for k in range(order):
             g = e.grams[k][e.valid[k]] & ~np.uint64(1)
             own, inverse = np.unique(g, return_inverse=True)
-            edges = np.append(np.searchsorted(own if k == 0 else own >> np.uint64(64 - HASH_BITS), bucket_edges(buckets) if k == 0 else bucket_edges(buckets) >> np.uint64(64 - HASH_BITS)), len(own))
+            edges = np.append(np.searchsorted(own if k == 0 else own >> drop, bucket_edges(buckets) if k == 0 else bucket_edges(buckets) >> drop), len(own))
             parts = [unsmall(x, m) for x, m in zip(counts.column(f"c{k + 1}").to_pylist(), np.diff(edges).tolist())]
             full = np.zeros(len(e.at), np.int64)
             full[e.valid[k]] = np.concatenate(parts)[inverse]
@@ -242,15 +249,16 @@ def score_texts(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds
     """
     tune(docs.sparkSession)
     blocks = buckets = parts_for(docs, BLOCK_BYTES)
+    drop = np.uint64(64 - min(62, HASH_BITS + blocks.bit_length()))
     rows = need(docs, "doc_id", "text").select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text",
         (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds != fold).alias("train"),
     ).repartition(blocks, "block")
-    ask, asked = ask_counts(order, buckets)
+    ask, asked = ask_counts(order, buckets, drop)
     add, answered = add_counts(order, blocks)
     wants = rows.groupBy("block").applyInArrow(ask, ddl(asked))
     counts = wants.groupBy("bucket").applyInArrow(add, ddl(answered))
-    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run_automaton(order, prior, buckets), RESULT)
+    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run_automaton(order, prior, buckets, drop), RESULT)
 
 
 def ddl(schema: pa.Schema) -> str:
