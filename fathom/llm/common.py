@@ -61,22 +61,25 @@ def parts_for(df: DataFrame, each: int = 12 << 20) -> int:
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(id, component): the smallest id that each vertex of the edges reaches.
 
-    Minimum labels flow along the edges and are then shortened (label of the label), so the number of
-    rounds grows with the logarithm of a component's width. Each round is a table in the shared folder;
-    only one number, the count of changed labels, comes to the driver. No edges: no rows.
+    Each round hooks every vertex to its smallest neighbour, shortens that once (the neighbour's smallest
+    neighbour), and contracts the edges: what became one vertex leaves no edge behind, so the edges shrink
+    quickly and the rounds number about the logarithm of a component's width. Each round's tables are
+    written to the shared folder; only one number, of edges left, comes to the driver. No edges: no rows.
     """
-    spark = edges.sparkSession
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("v"), "component"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("m"))
-        flowed = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        top = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        after = materialise(flowed.join(top, "component").select("id", "old", F.least("component", "root").alias("component")), "labels")
-        changed = after.where("old <> component").limit(1).count()
-        labels = after.select("id", "component")
-        if not changed:
+        hook = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "hooks")
+        step = hook.join(hook.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", "q")
+        if labels is None:
+            labels = step.select(F.col("u").alias("id"), F.col("q").alias("component"))
+        else:
+            labels = labels.join(step.withColumnRenamed("u", "component"), "component", "left").select("id", F.coalesce("q", "component").alias("component"))
+        labels = materialise(labels, "labels")
+        both = both.join(step, "u").select("v", F.col("q").alias("a")).join(step.withColumnRenamed("u", "v"), "v").select(F.col("a").alias("u"), F.col("q").alias("v"))
+        both = materialise(both.where("u <> v").distinct(), "edges")
+        if not both.limit(1).count():
             return labels
 
 
