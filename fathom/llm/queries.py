@@ -34,6 +34,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+
+
 def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair_store import read_digest, write_ids
 
@@ -50,6 +56,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_toxicity": op6_toxicity,
     "op7_token_id_output": op7_token_id_output,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
