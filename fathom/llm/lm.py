@@ -30,8 +30,8 @@ ORDER = 3
 #: Weight, in counts, of the lower order's distribution at each order from the second on.
 PRIOR = 8.0
 #: Bits kept of the hash of an n-gram of two or more words, besides those that number the blocks: the same
-#: few of a million n-grams collide at every size. Single words keep all 64.
-HASH_BITS = 40
+#: few of 100,000 n-grams collide at every size. Single words keep all 64.
+HASH_BITS = 37
 #: Texts of a block, in bytes of the stored table.
 BLOCK_BYTES = 5 << 20
 
