@@ -12,15 +12,18 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import need, tune
 
-#: Distinct pieces that a worker remembers.
-CACHE_PIECES = 400_000
+#: Distinct pieces, and matches of the pattern, that a worker remembers, each in two halves.
+CACHE_PIECES, CACHE_MATCHES = 500_000, 200_000
 NEVER = 1 << 40
 
 
@@ -48,6 +51,11 @@ class Ranks:
         self.right = {r: self.spine(r, 1) for r in self.reachable.values()}
         self.left = {r: self.spine(r, 0) for r in self.reachable.values()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        finder = ahocorasick.Automaton()
+        for data, rank in self.reachable.items():
+            finder.add_word(data.decode("latin-1"), (len(data), rank))
+        finder.make_automaton()
+        self.ends = finder.iter  # all tokens in a string, by where they end
 
     def merge(self, data: bytes, below: int) -> list[int]:
         """Plain merging with ranks below `below`: the definition that all else here must agree with."""
@@ -110,14 +118,23 @@ class PrefixEncoding:
         self.append(data)
 
     def append(self, more: bytes) -> None:
+        """Only tokens that end in the new bytes are looked at; of those that end at a place one is valid."""
+        old = len(self.data)
         self.data += more
-        data, last, get, may, longest = self.data, self.last, self.ranks.reachable.get, self.ranks.may_meet, self.ranks.longest
-        for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = get(data[start:end])
-                if token is not None and (start == 0 or ((p := last[start]) >= 0 and may(p, token))):
-                    last.append(token)
-                    break
+        last = self.last
+        last.extend([-1] * len(more))
+        known, may = self.ranks.pairs.get, self.ranks.may_meet
+        base = max(0, old + 1 - self.ranks.longest)
+        for at, (size, token) in self.ranks.ends(self.data[base:].decode("latin-1")):
+            end = base + at + 1
+            if end <= old or last[end] >= 0:
+                continue
+            if end == size:
+                last[end] = token
+            elif (before := last[end - size]) >= 0:
+                fine = known((before, token))
+                if may(before, token) if fine is None else fine:
+                    last[end] = token
 
     def edit(self, at: int, removed: int, inserted: bytes) -> None:
         """Replaces bytes; encodings of prefixes before `at` stay as they are."""
@@ -135,6 +152,24 @@ class PrefixEncoding:
         return out[::-1]
 
 
+class Remembered(dict):
+    """A dictionary in two halves: what the full new half pushes out returns from the old one when it is met."""
+
+    def __init__(self, size: int, make):
+        self.size, self.make, self.older = size, make, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class TextCodec:
     """Encodes texts as the rank file's library would: each match of the pattern on its own."""
 
@@ -142,45 +177,32 @@ class TextCodec:
         import regex
 
         self.ranks, self.matches = Ranks(path), regex.compile(pattern).findall
-        self.exotic = regex.compile(r"[^\S \n]").search
+        self.exotic = re.compile(r"[^\S \n]").search
         # a match never crosses from a non-space to a space, so pieces between them can be met again
-        self.cut = __import__("re").compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def match_ids(self, match: str) -> tuple[int, ...]:
-        ids = self.known.get(match)
-        if ids is None:
-            data = match.encode()
-            whole = self.ranks.rank.get(data)
-            ids = (whole,) if whole is not None else tuple(PrefixEncoding(self.ranks, data).ids())
-            if len(self.known) >= CACHE_PIECES:
-                self.known.clear()
-            if len(match) < 64:
-                self.known[match] = ids
-        return ids
-
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
-        found = [self.match_ids(m) for m in self.matches(piece)]
+        self.cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+        self.match_ids = Remembered(CACHE_MATCHES, self.encode_match)
+        self.piece_ids = Remembered(CACHE_PIECES, self.encode_piece)
+
+    def encode_match(self, match: str) -> tuple[int, ...]:
+        data = match.encode()
+        whole = self.ranks.rank.get(data)
+        return (whole,) if whole is not None else tuple(PrefixEncoding(self.ranks, data).ids())
+
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        if piece.isascii():  # a word, with a stop after it or not, is one match or two
+            if (piece[1:] if piece[0] == " " else piece).isalpha():
+                return self.match_ids[piece]
+            if piece[-1] in ".," and (piece[1:-1] if piece[0] == " " else piece[:-1]).isalpha():
+                return self.match_ids[piece[:-1]] + self.match_ids[piece[-1]]
+        found = [self.match_ids[m] for m in self.matches(piece)]
         return found[0] if len(found) == 1 else tuple(i for x in found for i in x)
 
-    def parts(self, text: str) -> list[tuple[int, ...]]:
-        if self.exotic(text):
-            return [self.match_ids(m) for m in self.matches(text)]
-        out, pieces = [], self.pieces
-        for p in self.cut(text):
-            ids = pieces.get(p)
-            if ids is None:
-                ids = self.piece_ids(p)
-                if len(pieces) >= CACHE_PIECES:
-                    pieces.clear()
-                if len(p) < 64:
-                    pieces[p] = ids
-            out.append(ids)
-        return out
-
     def encode(self, text: str | None) -> list[int]:
-        return [i for x in self.parts(text or "") for i in x]
+        if not text:
+            return []
+        if self.exotic(text):
+            return list(chain.from_iterable(map(self.match_ids.__getitem__, self.matches(text))))
+        return list(chain.from_iterable(map(self.piece_ids.__getitem__, self.cut(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.ranks.data.__getitem__, ids))
