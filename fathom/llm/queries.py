@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_pack
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_token_id_output": op7_token_id_output,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
