@@ -1,7 +1,8 @@
 """Exact tokenising by the tokenizers library, at the speed of a dictionary.
 
 Both vocabularies treat each piece of a text between certain white-space boundaries on its own, so a piece
-that was met before needs no second encoding. Pieces are encoded by the library itself, in bulk.
+that was met before needs no second encoding. A new piece is encoded by the library: a plain word by its
+model alone, anything else by the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -10,104 +11,80 @@ import functools
 import os
 import re
 from array import array
-from collections import deque
 
 import numpy as np
 
-#: Distinct pieces kept by a worker; more are encoded again when they return.
-CACHE_PIECES = 600_000
-ODD_SPACE = re.compile(r"[^\S \n]")
-PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Distinct pieces kept by a worker, in each of two halves.
+CACHE_PIECES = 500_000
+ODD_SPACE = re.compile(r"[^\S \n]").search
+PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+STOPS = ".,!?;:"
+#: Below it, letters have been what they are in every version of Unicode, and stay as they are when composed.
+LATIN_END, DOTTED_I = "ɐ", "İ"
 
 
-class Pieces(dict):
-    """Piece -> ids; notes what it is asked for and lacks."""
+def byte_signs() -> dict[int, int]:
+    """Byte-level vocabularies write byte b as the character b if that is visible, else as the next from 256."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return dict(zip([b for b in range(256) if b not in seen], range(256, 512)))
 
-    def __init__(self):
-        self.lacking: list[str] = []
 
-    def __missing__(self, piece):
-        self.lacking.append(piece)
-
-
-class CachedEncoder:
+class CachedEncoder(dict):
     """Ids of whole texts as little-endian uint32 bytes, equal to those of the library for the whole text.
 
     kind "byte": byte-level BPE with a leading space. A match of its pattern never crosses from a
     non-space to a space, so a text may be cut there. kind "word": white space is dropped before the
     merges, so a text may be cut at every blank. Only the blank and the line feed count as such; a text
-    with any other white space is encoded whole. A comma or full stop after a letter is a match of its own.
+    with any other white space is encoded whole. Between a letter and stops a match always ends.
+    As a dictionary it holds the pieces met; what the full newer half pushes out returns when it is met.
     """
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.tokenizer, self.words, self.signs = Tokenizer.from_file(path), kind == "word", byte_signs()
         self.tokenizer.encode_special_tokens = True
-        self.cache, self.older = Pieces(), {}
-        self.mark = "\n" if kind == "byte" else "\x01"
-        self.gap = self.mark if kind == "byte" else f" {self.mark} "
-        self.mark_ids = np.array(self.whole([self.mark])[0], np.uint32)
-        self.stops = {x: np.array(self.whole([x])[0], np.uint32).tobytes() for x in ",."}
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes new pieces. Plain ASCII words go to the library's model as its normaliser and pattern would
-        hand them over; other pieces are joined by a mark that stands alone, or taken one by one."""
-        cache, older, stops, words = self.cache, self.older, self.stops, self.kind == "word"
-        if len(cache) + len(pieces) > CACHE_PIECES:  # what is met again comes back from the older half
-            older, self.older = cache, cache
-            cache = self.cache = Pieces()
-        tokenize, others = self.tokenizer.model.tokenize, []
-        for x in pieces:
-            if (ids := older.get(x)) is not None:
-                cache[x] = ids
-                continue
-            if x.isascii():
-                y = x[:-1] if x[-1:] in stops and x[-2:-1].isalpha() else x
-                word = y.lower() if words else "\u0120" + y[1:] if y[:1] == " " else y  # a leading blank's sign
-                if word[not words and y[:1] == " " :].isalpha():
-                    ids = cache.get(word) if words else None
-                    if ids is None:
-                        ids = array("I", [t.id for t in tokenize(word)]).tobytes()
-                        if words:
-                            cache[word] = ids
-                    cache[x] = ids if x is y or len(x) == len(y) else ids + stops[x[-1]]
-                    continue
-            others.append(x)
-        plain = [x for x in others if self.mark not in x] if len(self.mark_ids) == 1 else []
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.whole([self.gap.join(some)])[0], np.uint32)
-            at = np.flatnonzero(ids == self.mark_ids[0])
-            if len(at) != len(some) - 1:
-                break
-            data, start = ids.tobytes(), 0
-            for piece, end in zip(some, [*(at * 4).tolist(), 4 * len(ids)]):
-                cache[piece] = data[start:end]
-                start = end + 4
-        if rest := [x for x in others if x not in cache]:
-            for piece, ids in zip(rest, self.whole(rest)):
-                cache[piece] = np.array(ids, np.uint32).tobytes()
+        self.tokenize, self.older = self.tokenizer.model.tokenize, {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.fresh(piece)
+        if len(piece) < 64:
+            if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def fresh(self, piece: str) -> bytes:
+        word = piece.rstrip(STOPS)
+        if piece[:1] == "\n" and len(piece) > 1 and piece[1] not in " \n":  # a match of its own
+            return self["\n"] + self[piece[1:]]
+        blank = not self.words and piece[:1] == " "
+        if blank < len(word):
+            if (word[1:] if blank else word).isalpha() and max(word) < LATIN_END and DOTTED_I not in word:
+                if len(word) < len(piece):
+                    return self[word] + self[piece[len(word) :]]
+                if self.words and (low := word.lower()) != word:
+                    return self[low]
+                return array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.signs))]).tobytes()
+        return self.whole(piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = PIECES.findall if self.kind == "byte" else lambda s: s.replace("\n", " ").split(" ")
-        cut = [None if s and ODD_SPACE.search(s) else split(s) if s else [] for s in texts]
-        get = self.cache.__getitem__
-        for x in cut:
-            if x:
-                deque(map(get, x), 0)
-        if lacking := self.cache.lacking:
-            self.cache.lacking = []
-            old = self.cache
-            self.learn(set(lacking))
-            if old is not self.cache:
-                self.learn(set().union(*[x for x in cut if x]).difference(self.cache))
-            get = self.cache.__getitem__
-        return [np.array(self.whole([s])[0], np.uint32).tobytes() if x is None else b"".join(map(get, x)) for s, x in zip(texts, cut)]
+        get, out = self.__getitem__, []
+        for s in texts:
+            if not s:
+                out.append(b"")
+            elif ODD_SPACE(s):
+                out.append(self.whole(s))
+            else:
+                out.append(b"".join(map(get, s.replace("\n", " ").split(" ") if self.words else PIECES(s))))
+        return out
 
 
 @functools.lru_cache(maxsize=4)
