@@ -31,9 +31,9 @@ MAGIC = b"FTHMRP01"
 HEAD = struct.Struct("<8s6I")
 END = 2
 #: Ids of a shard, about; a longer document has a shard of its own.
-SHARD_IDS = 1 << 19
+SHARD_IDS = 1 << 18
 #: A pair becomes a rule if it occurs so often in its shard.
-LEAST_COUNT = 24
+LEAST_COUNT = 32
 #: Passes end when one shortens the sequence by less than this share.
 LEAST_GAIN = 0.02
 
@@ -52,29 +52,29 @@ def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_COUNT, gain: f
         doc_end[np.cumsum(sizes)[sizes > 0] - 1] = True
     left, right, passes, top = [], [], [], base
     while len(seq) > 1:
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         bits, place = (top - 1).bit_length(), (len(seq) - 1).bit_length()
+        from_ = np.flatnonzero(~doc_end[:-1]).astype(np.uint64)  # the last symbol of a document has no partner
+        wide = seq.astype(np.uint64)
+        pairs = ((wide[:-1] << np.uint64(bits)) | wide[1:])[~doc_end[:-1]]
         if 2 * bits + place > 64:  # does not fit beside the position
-            order = np.argsort(key, kind="stable")
-            pairs = key[order]
+            order = np.argsort(pairs, kind="stable")
+            pairs, order = pairs[order], from_[order].astype(np.int64)
         else:
-            both = ((key >> np.uint64(32)) << np.uint64(bits)) | (key & np.uint64(0xFFFFFFFF))
-            both = np.sort((both << np.uint64(place)) | np.arange(len(key), dtype=np.uint64))
+            both = np.sort((pairs << np.uint64(place)) | from_)
             order = (both & np.uint64((1 << place) - 1)).astype(np.int64)
-            both >>= np.uint64(place)
-            pairs = ((both >> np.uint64(bits)) << np.uint64(32)) | (both & np.uint64((1 << bits) - 1))
-        inside = ~doc_end[order]  # the last symbol of a document has no partner
-        order, pairs = order[inside], pairs[inside]
-        first = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1])) if len(pairs) else np.zeros(0, np.int64)
+            pairs = both >> np.uint64(place)
+        new = np.ones(len(pairs), bool)
+        new[1:] = pairs[1:] != pairs[:-1]
+        first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(pairs)))
-        often = np.flatnonzero(count >= least)
-        if not len(often):
+        frequent = np.flatnonzero(count >= least)
+        if not len(frequent):
             break
-        often = often[np.argsort(-count[often], kind="stable")]  # rank 0 is the most frequent
-        rank = np.full(len(first), -1, np.int64)
-        rank[often] = np.arange(len(often))
+        often = frequent[np.argsort(-count[frequent], kind="stable")]  # rank 0 is the most frequent
+        rank = np.empty(len(often), np.int64)
+        rank[np.searchsorted(frequent, often)] = np.arange(len(often))
         want = np.full(len(seq) + 1, -1, np.int64)
-        want[order] = np.repeat(rank, count)
+        want[order[np.repeat(count >= least, count)]] = np.repeat(rank, count[frequent])
         at = np.flatnonzero(want >= 0)
         # keep a place if no neighbouring place has a better rank; equal ranks (aaa): the first, third, ...
         r, before, after = want[at], want[at - 1], want[at + 1]
@@ -94,8 +94,8 @@ def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_COUNT, gain: f
         name = np.zeros(len(often), np.uint32)
         name[used] = top + np.arange(len(used), dtype=np.uint32)
         made = pairs[first[often[used]]]
-        left.append((made >> np.uint64(32)).astype(np.uint32))
-        right.append((made & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        left.append((made >> np.uint64(bits)).astype(np.uint32))
+        right.append((made & np.uint64((1 << bits) - 1)).astype(np.uint32))
         seq[at] = name[want[at]]
         doc_end[at] = doc_end[at + 1]
         gone = np.ones(len(seq), bool)

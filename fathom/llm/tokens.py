@@ -1,23 +1,18 @@
 """Exact tokenising by the tokenizers library, at the speed of a dictionary.
 
-Both vocabularies treat each piece of a text between certain white-space boundaries on its own, so a piece
-that was met before needs no second encoding. A new piece is encoded by the library: a plain word by its
-model alone, anything else by the whole tokenizer.
+Both vocabularies treat what stands between two single blanks on its own, so a piece that was met before
+needs no second encoding. A new piece is encoded by the library: a plain word by its model alone, anything
+else by the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 from array import array
 
-import numpy as np
-
 #: Distinct pieces kept by a worker, in each of two halves.
 CACHE_PIECES = 500_000
-ODD_SPACE = re.compile(r"[^\S \n]").search
-PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
 STOPS = ".,!?;:"
 #: Below it, letters have been what they are in every version of Unicode, and stay as they are when composed.
 LATIN_END, DOTTED_I = "ɐ", "İ"
@@ -29,14 +24,19 @@ def byte_signs() -> dict[int, int]:
     return dict(zip([b for b in range(256) if b not in seen], range(256, 512)))
 
 
+class OddSpace(Exception):
+    """White space at an end of a piece: the text must be encoded whole."""
+
+
 class CachedEncoder(dict):
     """Ids of whole texts as little-endian uint32 bytes, equal to those of the library for the whole text.
 
-    kind "byte": byte-level BPE with a leading space. A match of its pattern never crosses from a
-    non-space to a space, so a text may be cut there. kind "word": white space is dropped before the
-    merges, so a text may be cut at every blank. Only the blank and the line feed count as such; a text
-    with any other white space is encoded whole. Between a letter and stops a match always ends.
-    As a dictionary it holds the pieces met; what the full newer half pushes out returns when it is met.
+    kind "byte": byte-level BPE with a leading space. A match of its pattern never crosses from a non-space
+    to a space, so a text may be cut before a blank or line feed between two non-spaces; a text with other
+    white space at a cut is encoded whole. kind "word": white space is dropped before the merges, so a text
+    may be cut at every blank and line feed. Between a letter and stops a match always ends.
+    As a dictionary it holds the pieces met, without the blank before them; what the full newer half pushes
+    out returns when it is met.
     """
 
     def __init__(self, path: str, kind: str):
@@ -46,6 +46,8 @@ class CachedEncoder(dict):
         self.tokenizer, self.words, self.signs = Tokenizer.from_file(path), kind == "word", byte_signs()
         self.tokenizer.encode_special_tokens = True
         self.tokenize, self.older = self.tokenizer.model.tokenize, {}
+        self.stops = functools.lru_cache(maxsize=10_000)(self.whole)
+        self.feed, self.blank = self.whole("\n"), "" if self.words else " "
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -62,29 +64,41 @@ class CachedEncoder(dict):
         return ids
 
     def fresh(self, piece: str) -> bytes:
+        if self.words:
+            return self.plain("", piece)
+        feed = piece[:1] == "\n"
+        rest = piece[1:] if feed else piece
+        if not rest or rest[0].isspace() or rest[-1].isspace():
+            raise OddSpace
+        return self.feed + self.plain("", rest) if feed else self.plain(" ", rest)
+
+    def plain(self, lead: str, piece: str) -> bytes:
         word = piece.rstrip(STOPS)
-        if piece[:1] == "\n" and len(piece) > 1 and piece[1] not in " \n":  # a match of its own
-            return self["\n"] + self[piece[1:]]
-        blank = not self.words and piece[:1] == " "
-        if blank < len(word):
-            if (word[1:] if blank else word).isalpha() and max(word) < LATIN_END and DOTTED_I not in word:
-                if len(word) < len(piece):
-                    return self[word] + self[piece[len(word) :]]
-                if self.words and (low := word.lower()) != word:
-                    return self[low]
-                return array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.signs))]).tobytes()
-        return self.whole(piece)
+        if word.isalpha() and max(word) < LATIN_END and DOTTED_I not in word:
+            if len(word) < len(piece):
+                return (self[word] if lead == self.blank else self.plain(lead, word)) + self.stops(piece[len(word) :])
+            if self.words and (low := word.lower()) != word:
+                return self[low]
+            signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+            return array("I", [t.id for t in self.tokenize("Ġ" + signs if lead else signs)]).tobytes()
+        return self.whole(lead + piece)
+
+    def encode_one(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.words:
+            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        pieces = text.replace("\n", " \n").split(" ")
+        first = pieces.pop(0)
+        if not first or first[0].isspace() or first[-1].isspace():
+            return self.whole(text)
+        try:
+            return self.plain("", first) + b"".join(map(self.__getitem__, pieces))
+        except OddSpace:
+            return self.whole(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        get, out = self.__getitem__, []
-        for s in texts:
-            if not s:
-                out.append(b"")
-            elif ODD_SPACE(s):
-                out.append(self.whole(s))
-            else:
-                out.append(b"".join(map(get, s.replace("\n", " ").split(" ") if self.words else PIECES(s))))
-        return out
+        return list(map(self.encode_one, texts))
 
 
 @functools.lru_cache(maxsize=4)
