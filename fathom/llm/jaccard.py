@@ -331,3 +331,15 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     )
     match = (F.col("n") == F.col("c_n")) & (F.col("mark0") == F.col("c_mark0")) & (F.col("mark1") == F.col("c_mark1")) & F.coalesce(lone, F.lit(-1)).eqNullSafe(F.coalesce("c_lone", F.lit(-1)))
     return rows.select("rid", "doc_id", *same).join(named, match).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("kept_rid")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, of which one is left of each class of jaccard_classes(): that
+    of the smallest doc_id (null last). docs must give the same rows in the same partitions when it is read
+    again, as files do."""
+    row = "fathom row number"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    classes = jaccard_classes(numbered.select(F.col(row).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(row), "component_id")
+    ids = classes.join(numbered.select(row, "doc_id"), row)
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))).alias("first"))
+    return numbered.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,7 +33,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op3_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

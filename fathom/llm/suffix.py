@@ -132,8 +132,8 @@ class Texts:
     """A block's texts as one byte array, in an order that does not depend on how the rows arrived."""
 
     def __init__(self, table: pa.Table):
-        order = np.lexsort((table.column("mark").to_numpy(), table.column("doc_id").fill_null(-(2**63)).to_numpy()))
-        table = table.take(pa.array(order))
+        self.order = np.lexsort((table.column(MARK).to_numpy(), table.column("doc_id").fill_null(-(2**63)).to_numpy()))
+        table = table.select(["doc_id", "text"]).take(pa.array(self.order))
         self.ids = table.column("doc_id").combine_chunks()
         text = table.column("text").cast(pa.large_binary()).fill_null(b"").combine_chunks()
         if isinstance(text, pa.ChunkedArray):
@@ -206,7 +206,7 @@ def send_pairs(length: int, gram: int, buckets: int):
         cut = np.append(np.searchsorted(f, edges), len(f))
         b = [i for i in range(buckets) if cut[i] < cut[i + 1]]
         part = [slice(cut[i], cut[i + 1]) for i in b]
-        return pa.table([pa.array(b, pa.int32()), pa.array([table.column("block")[0].as_py()] * len(b), pa.int32()), pa.array([pack(f[x]) for x in part], pa.binary()), pa.array([c[x].tobytes() for x in part], pa.binary()), pa.array([np.minimum(n[x], 2).astype(np.uint8).tobytes() for x in part], pa.binary())], schema=PAIRS)
+        return pa.table([pa.array(b, pa.int32()), pa.array([table.column(BLOCK)[0].as_py()] * len(b), pa.int32()), pa.array([pack(f[x]) for x in part], pa.binary()), pa.array([c[x].tobytes() for x in part], pa.binary()), pa.array([np.minimum(n[x], 2).astype(np.uint8).tobytes() for x in part], pa.binary())], schema=PAIRS)
 
     return run
 
@@ -258,7 +258,7 @@ def send_contexts(length: int, gram: int, buckets: int):
     def run(table: pa.Table, states: pa.Table) -> pa.Table:
         if not table.num_rows:
             return CONTEXTS.empty_table()
-        texts, block = Texts(table), table.column("block")[0].as_py()
+        texts, block = Texts(table), table.column(BLOCK)[0].as_py()
         f, c, first, last, p = texts.anchors(length, gram)
         pf, _, _, number = pairs_of(f, c)
         states = states.sort_by("bucket")
@@ -372,50 +372,75 @@ def sort_contexts(length: int):
     return run
 
 
-def cut_out(keep_text: bool):
-    kind = pa.string() if keep_text else pa.binary()
+def kept_parts(t: Texts, ranges: pa.Table):
+    """For each text: whether each byte goes."""
+    low = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in ranges.column("low").to_pylist())])
+    high = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in ranges.column("high").to_pylist())])
+    step = np.zeros(len(t.data) + 1, np.int32)
+    np.add.at(step, low, 1)
+    np.add.at(step, high, -1)
+    gone = np.cumsum(step[:-1]) > 0
+    for a, b in zip(t.ends[:-1].tolist(), t.ends[1:].tolist()):
+        yield t.data[a:b], gone[a:b]
 
-    def run(table: pa.Table, ranges: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", kind)])
-        if not table.num_rows:
-            return schema.empty_table()
-        t = Texts(table)
-        low = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in ranges.column("low").to_pylist())])
-        high = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in ranges.column("high").to_pylist())])
-        step = np.zeros(len(t.data) + 1, np.int32)
-        np.add.at(step, low, 1)
-        np.add.at(step, high, -1)
-        gone = np.cumsum(step[:-1]) > 0
-        rows = []
-        for doc, a, b in zip(t.ids.to_pylist(), t.ends[:-1].tolist(), t.ends[1:].tolist()):
-            g = gone[a:b]
-            removed = int(np.count_nonzero(g))
-            left = t.data[a:b][~g].tobytes() if removed else t.data[a:b].tobytes()
-            spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(g[0]) if removed else 0
-            rows.append((doc, b - a, removed, spans, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if keep_text else None))
-        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    return run
+def digest_cuts(table: pa.Table, ranges: pa.Table) -> pa.Table:
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    if not table.num_rows:
+        return schema.empty_table()
+    t, rows = Texts(table), []
+    for doc, (data, gone) in zip(t.ids.to_pylist(), kept_parts(t, ranges)):
+        removed = int(np.count_nonzero(gone))
+        spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]) if removed else 0
+        rows.append((doc, len(data), removed, spans, hashlib.sha256((data[~gone] if removed else data).tobytes()).hexdigest()))
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: one row per document.
+def cut_texts(table: pa.Table, ranges: pa.Table) -> pa.Table:
+    """The rows with their texts cut; a character that a cut splits goes as a whole, a null text stays null."""
+    rows = table.drop_columns([MARK, BLOCK])
+    if not table.num_rows:
+        return rows
+    t = Texts(table)
+    rows = rows.take(pa.array(t.order))
+    null = rows.column("text").is_null().to_pylist()
+    kept = [None if n else data[~gone].tobytes().decode(errors="ignore") for n, (data, gone) in zip(null, kept_parts(t, ranges))]
+    return rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(kept, pa.string()))
 
-    Every byte that a `length`-byte string covers which also starts elsewhere, in the same or another text,
-    is removed; all is judged on the texts as given. kept is what is left, as text (bytes of a character that
-    a cut split are dropped from it, not from kept_sha256), or null without keep_text. Null and empty texts
-    are 0 bytes; shorter texts than `length` stay whole; long texts are read whole; rows that repeat, with a
-    doc_id or without, are texts of their own and each loses what the other has; an empty table gives no
-    rows. Columns other than doc_id and text are not read. `length` is 144 at least.
-    """
+
+MARK, BLOCK = "fathom mark", "fathom block"
+
+
+def repeats_of(docs: DataFrame, length: int):
+    """The rows dealt to blocks, and the ranges that go from each block's bytes."""
     if length < GRAM + SYMBOL:
         raise ValueError(f"length must be {GRAM + SYMBOL} at least")
     tune(docs.sparkSession)
     blocks = buckets = parts_for(docs, BLOCK_BYTES)
-    mark = F.xxhash64("text")
-    rows = need(docs, "doc_id", "text").select("doc_id", "text", mark.alias("mark"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
-    pairs = rows.groupBy("block").applyInArrow(send_pairs(length, GRAM, buckets), "bucket int, block int, grams binary, contexts binary, times binary")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    rows = docs.withColumn(MARK, F.xxhash64("text")).withColumn(BLOCK, block).repartition(blocks, BLOCK)
+    by_block = rows.groupBy(BLOCK)
+    pairs = by_block.applyInArrow(send_pairs(length, GRAM, buckets), "bucket int, block int, grams binary, contexts binary, times binary")
     states = pairs.groupBy("bucket").applyInArrow(judge_pairs, "block int, bucket int, states binary")
-    contexts = rows.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(send_contexts(length, GRAM, buckets), "bucket int, block int, starts binary, sizes binary, data binary, own boolean")
+    contexts = by_block.cogroup(states.groupBy("block")).applyInArrow(send_contexts(length, GRAM, buckets), "bucket int, block int, starts binary, sizes binary, data binary, own boolean")
     ranges = contexts.groupBy("bucket").applyInArrow(sort_contexts(length), "block int, low binary, high binary")
-    return rows.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(cut_out(keep_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if keep_text else 'binary'}")
+    return by_block, ranges.groupBy("block")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document.
+
+    Every byte that a `length`-byte string covers which also starts elsewhere, in the same or another text,
+    is removed; all is judged on the texts as given. Null and empty texts are 0 bytes; shorter texts than
+    `length` stay whole; long texts are read whole; rows that repeat, with a doc_id or without, are texts of
+    their own and each loses what the other has; an empty table gives no rows. Columns other than doc_id and
+    text are not read. `length` is 144 at least.
+    """
+    rows, ranges = repeats_of(need(docs, "doc_id", "text"), length)
+    return rows.cogroup(ranges).applyInArrow(digest_cuts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of docs, with all their columns, with what remove_repeats() removes cut from their texts."""
+    rows, ranges = repeats_of(docs, length)
+    return rows.cogroup(ranges).applyInArrow(cut_texts, docs.schema)

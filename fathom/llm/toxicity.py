@@ -240,3 +240,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, model: Sc
 
     rows = need(docs, "doc_id", "text").select("doc_id", "text", (fold_of("doc_id", folds) == 0).alias("held_out"))
     return rows.mapInArrow(run, RESULT)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, model: Scorer | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic; as score_toxicity() otherwise."""
+    tune(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, folds))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([s < 0.5 for s in score_rows(sent.value, b.column(at))[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
