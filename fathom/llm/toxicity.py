@@ -24,6 +24,8 @@ from .common import materialise, need, tune, words_of
 EXAMPLES, TERMS = 12_000, 1024
 #: Evidence that a term is more frequent among one label, twice the log-likelihood ratio (20: once in 100,000 by chance).
 LEAST_EVIDENCE = 20.0
+#: and the least share of label 1 among the examples that hold it: words of all kinds of text say nothing.
+LEAST_SHARE = 0.5
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the prior among the votes; a neighbour weighs its squared similarity.
 PRIOR_WEIGHT = 0.1
@@ -134,7 +136,7 @@ def evidence_of(terms: DataFrame, n: int, positive: int) -> DataFrame:
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     inside = part(a, k * p) + part(b, k * (1 - p))
     outside = part(F.lit(float(positive)) - a, (n - k) * p) + part(F.lit(float(n - positive)) - b, (n - k) * (1 - p))
-    return terms.where(a > k * p).withColumn("evidence", 2 * (inside + outside)).where(F.col("evidence") >= LEAST_EVIDENCE)
+    return terms.where((a > k * p) & (a >= LEAST_SHARE * k)).withColumn("evidence", 2 * (inside + outside)).where(F.col("evidence") >= LEAST_EVIDENCE)
 
 
 def fold_of(doc_id: str, folds: int):
