@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -18,6 +20,18 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 
 
+#: Bytes of a row group that a writing task gathers.
+ROW_GROUP = 16 << 20
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: workers live on between tasks, and what one
+    step has used would stand beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tune(spark: SparkSession) -> None:
     """Keeps Arrow batches small, so that a worker never holds many long texts at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
@@ -40,7 +54,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     executors, and fixes the rows that several later steps read. Deleted when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_edges, connected_components, materialise, mix, need, pack, parts_for, tune, unpack, word_hashes, words_of
+from .common import bucket_edges, connected_components, materialise, mix, need, pack, parts_for, trim, tune, unpack, word_hashes, words_of
 
 WORDS = 5
 PERCENT = 80
 #: Words of a block and documents of a block, at most; a longer document is a block of its own.
-BLOCK_WORDS, BLOCK_DOCS = 1 << 20, 30_000
+BLOCK_WORDS, BLOCK_DOCS = 3 << 18, 30_000
 #: A shingle that so many documents of one block hold is sent as a count.
 HEAVY = 64
 #: Bits of a shingle's hash that travel.
@@ -125,6 +125,8 @@ def sketch(k: int, buckets: int):
                     seq, block = seq + 1, Block(k, buckets)
         if block.ids:
             yield block.rows(part << 16 | seq)
+        del block
+        trim()
 
     return run
 
@@ -146,6 +148,8 @@ def count_documents(table: pa.Table) -> pa.Table:
     df = np.empty(len(g), np.int64)
     df[order] = np.add.reduceat(weight[order], first)[np.cumsum(new) - 1] if len(s) else 0
     df = np.minimum(df, 65535).astype("<u2")
+    del g, weight, order, s, new, first
+    trim()
     out: dict[str, list] = {"light": [], "light_doc": [], "light_df": [], "heavy_df": []}
     at = 0
     for h, d in zip(light, docs):
@@ -208,6 +212,8 @@ def prefixes(percent: int):
             prefix.append(g[a : min(b, a + int(spare[i]) + m - 1)])
             shared.append(np.sort(g[a:b]).astype("<i8").tobytes())
         rid = block * 32768 + np.arange(len(ids))
+        del g, doc, df, order
+        trim()
         return pa.table([pa.array(rid), pa.array(ids, pa.int64()), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(matches, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(shared, pa.binary())], schema=PREFIXES)
 
     return run

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_edges, mix, need, pack, parts_for, tune, unpack, word_hashes, words_of
+from .common import bucket_edges, mix, need, pack, parts_for, trim, tune, unpack, word_hashes, words_of
 
 ORDER = 3
 #: Weight, in counts, of the lower order's distribution at each order from the second on.
@@ -141,6 +141,8 @@ def ask_counts(order: int, buckets: int, drop: np.uint64):
             for b in range(buckets):
                 cols[f"h{k + 1}"].append(pack(g[cut[b] : cut[b + 1]]))
                 cols[f"c{k + 1}"].append(small(n[cut[b] : cut[b + 1]]))
+        del e, trained, g, t, n
+        trim()
         return pa.table([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
     return run, schema
@@ -226,6 +228,7 @@ def run_automaton(order: int, prior: float, buckets: int, drop: np.uint64):
             step[known] = np.log10((found[k][known] + prior * 10 ** arc[known]) / (state[known] + prior))
             arc = np.where(e.valid[k], step, arc)
         at = e.first_event
+        trim()
         return pa.table({
             "doc_id": e.ids, "held_out": pa.array(~e.train), "n_tokens": pa.array(e.words + 1), "n_known": pa.array(np.add.reduceat((found[0] > 0).astype(np.int64), at)),
             "train_tokens": pa.array(np.full(len(at), n)), "base_score": pa.array(np.add.reduceat(base, at)), "score": pa.array(np.add.reduceat(arc, at)),

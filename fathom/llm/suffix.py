@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_edges, mix, need, pack, parts_for, tune, unpack
+from .common import bucket_edges, mix, need, pack, parts_for, trim, tune, unpack
 
 LENGTH = 200
 GRAM = 128
@@ -203,6 +203,7 @@ def send_pairs(length: int, gram: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         f, c, *_ = Texts(table).anchors(length, gram)
         f, c, n, _ = pairs_of(f, c)
+        trim()
         cut = np.append(np.searchsorted(f, edges), len(f))
         b = [i for i in range(buckets) if cut[i] < cut[i + 1]]
         part = [slice(cut[i], cut[i + 1]) for i in b]
@@ -389,6 +390,7 @@ def digest_cuts(table: pa.Table, ranges: pa.Table) -> pa.Table:
     if not table.num_rows:
         return schema.empty_table()
     t, rows = Texts(table), []
+    trim()
     for doc, (data, gone) in zip(t.ids.to_pylist(), kept_parts(t, ranges)):
         removed = int(np.count_nonzero(gone))
         spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]) if removed else 0

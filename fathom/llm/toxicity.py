@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, need, tune, words_of
+from .common import materialise, need, trim, tune, words_of
 
 #: Bounds of the fitted model: labelled rows sampled, and terms kept.
 EXAMPLES, TERMS = 12_000, 1024
@@ -253,5 +253,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, model: Sco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([s < 0.5 for s in score_rows(sent.value, b.column(at))[0]], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
