@@ -35,7 +35,7 @@ SHARD_IDS = 1 << 18
 #: A pair becomes a rule if it occurs so often in its shard.
 LEAST_COUNT = 32
 #: Passes end when one shortens the sequence by less than this share.
-LEAST_GAIN = 0.02
+LEAST_GAIN = 0.04
 
 
 def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_COUNT, gain: float = LEAST_GAIN):

@@ -12,7 +12,7 @@ import os
 from array import array
 
 #: Distinct pieces kept by a worker, in each of two halves.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 500_000
 STOPS = ".,!?;:"
 #: Below it, letters have been what they are in every version of Unicode, and stay as they are when composed.
 LATIN_END, DOTTED_I = "ɐ", "İ"
@@ -74,12 +74,12 @@ class CachedEncoder(dict):
 
     def plain(self, lead: str, piece: str) -> bytes:
         word = piece.rstrip(STOPS)
-        if word.isalpha() and max(word) < LATIN_END and DOTTED_I not in word:
+        if word.isalpha() and ((plain := word.isascii()) or max(word) < LATIN_END and DOTTED_I not in word):
             if len(word) < len(piece):
                 return (self[word] if lead == self.blank else self.plain(lead, word)) + self.stops(piece[len(word) :])
             if self.words and (low := word.lower()) != word:
                 return self[low]
-            signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+            signs = word if plain else word.encode().decode("latin-1").translate(self.signs)
             return array("I", [t.id for t in self.tokenize("Ġ" + signs if lead else signs)]).tobytes()
         return self.whole(lead + piece)
 
