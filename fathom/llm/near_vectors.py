@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, need, tune
-from .vectors import kmeans, matrix, sample_of, squared, usable
+from .vectors import kmeans, matrix, sample_of, squared, unit, usable
 
 LEAST = 0.95
 TARGET = 0.999
@@ -73,12 +73,6 @@ def visit_limit(least: float, target: float, width: int) -> float:
     return NormalDist().inv_cdf(1 - (1 - target) / 2) ** 2 * (2 - 2 * least) / width
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    scale = np.abs(x).max(1, keepdims=True)  # so that squares of huge or tiny components neither overflow nor vanish
-    x = x / scale
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
-
-
 def deal(index: MultiIndex, width: int, limit: float):
     """(rid, times, vec) -> the vector in its own cell (side 0) and as a visitor of cells after it (side 1)."""
 

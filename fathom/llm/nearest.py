@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by additive quantisation, with exact reranking.
 
-A vector is coded as a sum of full-dimensional codewords, one from each codebook, found by beam search over
-what the earlier codewords leave. The code, the norm of the sum and the vector are stored. A query makes one
-table of its products with all codewords; a code's score is the sum of its entries. The best scored of a
-block are reranked there by exact products with the vectors, and the blocks' best merged.
+A vector's direction is coded as a sum of full-dimensional codewords, one from each codebook, found by beam
+search over what the earlier codewords leave. The code, the vector's norm and the vector are stored. A query
+makes one table of its products with all codewords; a code's score is the sum of its entries times the norm.
+The best scored of a block are reranked there by exact products with the vectors, and the blocks' best merged.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, tune
-from .vectors import kmeans, matrix, sample_of, squared, usable
+from .vectors import kmeans, lengths, matrix, sample_of, squared, unit, usable
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Rows that the codebooks are fitted on.
@@ -46,7 +46,7 @@ class AdditiveQuantiser:
         self.books = [fitted[x:y].astype(np.float32) for x, y in zip(offsets[:-1], offsets[1:])]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and squared norms of the coded vectors."""
+        """Codes, and squared norms of what they stand for."""
         x = x.astype(np.float32)
         n = len(x)
         codes = np.zeros((n, 1, len(self.books)), np.uint8)
@@ -76,8 +76,9 @@ def encode_rows(model: AdditiveQuantiser, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes, norms = model.encode(matrix(b.column(2).to_pylist(), width))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float64))], ["rid", "vec_id", "vec", "code", "norm"])
+                x = matrix(b.column(2).to_pylist(), width)
+                codes, norms = model.encode(unit(x))[0], lengths(x)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["rid", "vec_id", "vec", "code", "norm"])
 
     return run
 
@@ -92,12 +93,14 @@ def search_block(model: AdditiveQuantiser, width: int, top: int, share: float):
         x, q = matrix(data.column("vec").to_pylist(), width), matrix(queries.column("q_vec").to_pylist(), width)
         codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(x), -1).T.astype(np.intp)
         ids, rids = data.column("vec_id").to_numpy(zero_copy_only=False), data.column("rid").to_numpy()
+        norms = data.column("norm").to_numpy()
         most = min(len(x), max(64, top + 1, int(len(x) * share)))
         out: list[list] = [[], [], [], []]
-        for lut, v, rid, qid in zip(model.tables(q), q, queries.column("q_rid").to_pylist(), queries.column("q_id").to_pylist()):
+        for lut, v, rid, qid in zip(model.tables(unit(q)), q, queries.column("q_rid").to_pylist(), queries.column("q_id").to_pylist()):
             score = lut[0][codes[0]]
             for m in range(1, len(lut)):
                 score += lut[m][codes[m]]
+            score = score * norms
             near = np.argpartition(-score, most - 1)[:most] if most < len(x) else np.arange(len(x))
             near = near[rids[near] != rid]  # every row but the query's own
             exact = x[near] @ v
@@ -118,7 +121,7 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Ad
     width = good.agg(F.max(F.size("vec")).alias("w")).first().w
     if not width:
         return good, None, 0
-    model = AdditiveQuantiser(sample_of(good, sample, width))
+    model = AdditiveQuantiser(unit(sample_of(good, sample, width)))
     return materialise(good.mapInArrow(encode_rows(model, width), "rid long, vec_id long, vec array<double>, code binary, norm double"), "codes"), model, width
 
 
@@ -139,7 +142,7 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, share: float = RE
     n, m = index.count(), asked.count()
     blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
     number = lambda x, k: F.pmod(F.xxhash64(x), F.lit(k)).cast("int")
-    data = index.select("rid", "vec_id", "vec", "code").withColumn("block", number("rid", blocks)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    data = index.select("rid", "vec_id", "vec", "code", "norm").withColumn("block", number("rid", blocks)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     queries = asked.withColumn("q_group", number("q_rid", groups)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     near = data.groupBy("block", "group").cogroup(queries.groupBy("q_block", "q_group")).applyInArrow(search_block(model, width, top, share), "query_rid long, query_id long, vec_id long, score double")
     ranked = near.selectExpr("query_id", "CAST(row_number() OVER (PARTITION BY query_rid ORDER BY score DESC, vec_id) AS int) AS rank", "vec_id", "score")

@@ -42,8 +42,9 @@ def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_COUNT, gain: f
     """(sequence, symbols of each document, left, right, rules made up to each pass, first nonterminal).
 
     Each pass counts all adjacent pairs and gives every pair that occurs `least` times or more a
-    nonterminal; where two such pairs overlap, the more frequent is replaced. Passes repeat, with pairs of
-    nonterminals too, until no pair is frequent or little is gained.
+    nonterminal; where two such pairs overlap, the one of better rank is replaced: the more frequent, to a
+    factor of about 1.4. Passes repeat, with pairs of nonterminals too, until no pair is frequent or little
+    is gained.
     """
     seq = ids.astype(np.uint32)
     base = int(seq.max(initial=0)) + 1
@@ -70,7 +71,10 @@ def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_COUNT, gain: f
         frequent = np.flatnonzero(count >= least)
         if not len(frequent):
             break
-        often = frequent[np.argsort(-count[frequent], kind="stable")]  # rank 0 is the most frequent
+        # rank 0 is the most frequent; among about equal frequencies a hash decides, so that in a chain of
+        # overlapping pairs many are kept at once
+        size = np.floor(2 * np.log2(count[frequent]))
+        often = frequent[np.lexsort((pairs[first[frequent]] * np.uint64(0x9E3779B97F4A7C15), -size))]
         rank = np.empty(len(often), np.int64)
         rank[np.searchsorted(frequent, often)] = np.arange(len(often))
         want = np.full(len(seq) + 1, -1, np.int64)

@@ -27,6 +27,17 @@ def matrix(rows, width: int) -> np.ndarray:
     return out
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Norms of the rows, for huge and tiny components too."""
+    scale = np.abs(x).max(1, initial=1e-300)
+    return scale * np.sqrt(((x / scale[:, None]) ** 2).sum(1))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # so that squares of huge or tiny components neither overflow nor vanish
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None], 0)
 
