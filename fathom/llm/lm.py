@@ -7,8 +7,8 @@ failure arc's weight. Arc and failure weights come from Dirichlet smoothing of e
     p(v | s) = (c(s v) + m p(v | shorter s)) / (c(s) + m),   p(v) = (c(v) + 1) / (N + V + 1)
 
 so the failure weight of s is log10(m / (c(s) + m)), and all words together, known or not, have mass 1.
-`BackoffAutomaton` holds it as a whole, for small corpora. The distributed form never does: texts are dealt
-to blocks; a block asks for the counts of just the n-grams that its texts meet (sorted, packed hashes, dealt
+`BackoffAutomaton` holds it as a whole, for small corpora. The distributed form never does: texts are put
+into blocks; a block asks for the counts of just the n-grams that its texts meet (sorted, packed hashes, dealt
 by hash range, counted once over all blocks, and sent back), which are the arcs its texts can follow, and
 then its texts run over those arcs from left to right, the state being carried from token to token.
 """
@@ -18,9 +18,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ PRIOR = 8.0
 #: Bits kept of the hash of an n-gram of two or more words, besides those that number the blocks: the same
 #: few of 100,000 n-grams collide at every size. Single words keep all 64.
 HASH_BITS = 37
-#: Texts of a block, in bytes of the stored table.
-BLOCK_BYTES = 5 << 20
+#: Bytes of the texts of a block; a longer text has a block of its own.
+BLOCK_BYTES = 9 << 20
 
 START, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -90,10 +93,10 @@ class Events:
     """All token events of a block: hashes of the n-grams that end at each, by order."""
 
     def __init__(self, table: pa.Table, order: int, drop: np.uint64):
-        self.ids = table.column("doc_id")
-        self.train = table.column("train").to_numpy()
-        text = table.column("text").combine_chunks()
-        words, self.words = words_of(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
+        row = {c: table.column(c)[0] for c in ("docs", "train", "ends", "texts")}
+        self.ids, self.train = row["docs"].values, row["train"].values.to_numpy(zero_copy_only=False)
+        data = pa.py_buffer(zstandard.decompress(row["texts"].as_py()))
+        words, self.words = words_of(pa.LargeStringArray.from_buffers(len(self.ids), pa.py_buffer(row["ends"].as_py()), data))
         ends = np.cumsum(self.words + 2)
         seq = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
         inside = np.ones(len(seq), bool)
@@ -116,10 +119,38 @@ class Events:
         self.first_event = np.cumsum(self.words + 1) - (self.words + 1)
 
 
+BUNDLE = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("ends", pa.binary()), ("texts", pa.binary())])
+
+
+def bundles(size: int):
+    """mapInArrow function: doc_id, text, train -> blocks of texts, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, docs, train, texts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+
+        def flush():
+            ends = np.cumsum([0, *map(len, texts)]).astype("<i8").tobytes()
+            data = zstandard.compress(b"".join(texts), 1)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part << 20 | seq, docs, train, ends, data), BUNDLE)], schema=BUNDLE)
+
+        for b in batches:
+            raw = b.column(1).cast(pa.binary()).to_pylist()
+            for doc, text, t in zip(b.column(0).to_pylist(), raw, b.column(2).to_pylist()):
+                if held and held + len(text or b"") > size:
+                    yield flush()
+                    docs, train, texts, held, seq = [], [], [], 0, seq + 1
+                docs.append(doc), train.append(t), texts.append(text or b"")
+                held += len(text or b"")
+        if docs:
+            yield flush()
+
+    return run
+
+
 def ask_counts(order: int, buckets: int, drop: np.uint64):
     """A block's n-grams, sorted, with how often its training texts hold each, cut into hash ranges."""
     edges = bucket_edges(buckets)
-    fields = [("block", pa.int32()), ("bucket", pa.int32()), *[(f"{x}{k}", pa.binary()) for k in range(1, order + 1) for x in "hc"], ("starts", pa.int64())]
+    fields = [("block", pa.int64()), ("bucket", pa.int32()), *[(f"{x}{k}", pa.binary()) for k in range(1, order + 1) for x in "hc"], ("starts", pa.int64())]
     schema = pa.schema(fields)
 
     def run(table: pa.Table) -> pa.Table:
@@ -165,13 +196,13 @@ def unsmall(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def add_counts(order: int, blocks: int):
+def add_counts(order: int):
     """Adds a bucket's counts over all blocks and answers every block in the order in which it asked."""
-    schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), *[(f"c{k}", pa.binary()) for k in range(1, order + 1)], ("distinct", pa.int64()), ("tokens", pa.int64()), ("starts", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(f"c{k}", pa.binary()) for k in range(1, order + 1)], ("distinct", pa.int64()), ("tokens", pa.int64()), ("starts", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         asked = table.column("block").to_pylist()
-        cols: dict[str, list] = {"block": list(range(blocks)), "bucket": [table.column("bucket")[0].as_py()] * blocks}
+        cols: dict[str, list] = {"block": asked, "bucket": table.column("bucket").to_pylist()}
         for k in range(1, order + 1):
             h = [unpack(x) for x in table.column(f"h{k}").to_pylist()]
             c = [unsmall(x, len(y)) for x, y in zip(table.column(f"c{k}").to_pylist(), h)]
@@ -184,11 +215,10 @@ def add_counts(order: int, blocks: int):
             total = np.add.reduceat(np.concatenate(c)[by], first) if len(s) else np.zeros(0, np.int64)
             back = np.empty(len(g), np.int64)
             back[by] = total[np.cumsum(new) - 1]
-            mine = {b: small(back[ends[i] : ends[i + 1]]) for i, b in enumerate(asked)}
-            cols[f"c{k}"] = [mine.get(b, b"") for b in range(blocks)]
+            cols[f"c{k}"] = [small(back[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             if k == 1:
-                cols["distinct"], cols["tokens"] = [int((total > 0).sum())] * blocks, [int(total.sum())] * blocks
-        cols["starts"] = [sum(table.column("starts").to_pylist())] * blocks
+                cols["distinct"], cols["tokens"] = [int((total > 0).sum())] * len(asked), [int(total.sum())] * len(asked)
+        cols["starts"] = [sum(table.column("starts").to_pylist())] * len(asked)
         return pa.table([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
     return run, schema
@@ -251,14 +281,13 @@ def score_texts(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds
     and text are not read.
     """
     tune(docs.sparkSession)
-    blocks = buckets = parts_for(docs, BLOCK_BYTES)
-    drop = np.uint64(64 - min(62, HASH_BITS + blocks.bit_length()))
-    rows = need(docs, "doc_id", "text").select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text",
-        (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds != fold).alias("train"),
-    ).repartition(blocks, "block")
+    buckets = parts_for(docs, 5 << 20)
+    drop = np.uint64(64 - min(62, HASH_BITS + buckets.bit_length()))
+    fold_of = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
+    texts = need(docs, "doc_id", "text").select("doc_id", "text", (fold_of != fold).alias("train"))
+    rows = texts.mapInArrow(bundles(BLOCK_BYTES), "block long, docs array<long>, train array<boolean>, ends binary, texts binary").repartition(buckets, "block")
     ask, asked = ask_counts(order, buckets, drop)
-    add, answered = add_counts(order, blocks)
+    add, answered = add_counts(order)
     wants = rows.groupBy("block").applyInArrow(ask, ddl(asked))
     counts = wants.groupBy("bucket").applyInArrow(add, ddl(answered))
     return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run_automaton(order, prior, buckets, drop), RESULT)
