@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, materialise, need, tune
+from .common import batch, materialise, need, trim, tune
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -112,6 +112,7 @@ def pieces_of(tokenizer: str, capacity: int = CAPACITY, end: int = END):
                     rows.append((doc, k, i // 4, n, zlib.crc32(cut), part, seen[n]))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
+        trim()
 
     return run
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, need, parts_for, tune
+from .common import materialise, need, parts_for, trim, tune
 from .tokens import encoder
 
 MAGIC = b"FTHMRP01"
@@ -198,6 +198,7 @@ def write_shards(tokenizer: str, end: int, shard_ids: int):
                     docs, data, size, shard = [], [], 0, shard + 1
         if docs:
             yield flush()
+        trim()
 
     return run
 

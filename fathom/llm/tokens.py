@@ -12,7 +12,7 @@ import os
 from array import array
 
 #: Distinct pieces kept by a worker, in each of two halves.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 STOPS = ".,!?;:"
 #: Below it, letters have been what they are in every version of Unicode, and stay as they are when composed.
 LATIN_END, DOTTED_I = "ɐ", "İ"
