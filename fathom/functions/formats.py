@@ -29,7 +29,8 @@ def scaled_units(v: Column, step: int, units: list[str], no_decimals_below: bool
     out = None
     for k in range(len(units)):
         d = step**k
-        s = F.when(v >= 100 * d, ratio(v, F.lit(d), 0)).when(v >= 10 * d, ratio(v, F.lit(d), 1)).otherwise(ratio(v, F.lit(d), 2))
+        reached = lambda x: v >= x if x < 1 << 63 else F.lit(False)
+        s = F.when(reached(100 * d), ratio(v, F.lit(d), 0)).when(reached(10 * d), ratio(v, F.lit(d), 1)).otherwise(ratio(v, F.lit(d), 2))
         if k == 0 and no_decimals_below:
             s = v.cast("string")
         s = F.concat(s, F.lit(units[k]))
@@ -102,3 +103,34 @@ def duration(sec: Column) -> Column:
 def safe_name(name: Column) -> Column:
     clean = F.translate(name, "/\\:\t\n\r", "______")
     return F.when(clean == "", F.lit("tmp")).otherwise(clean)
+
+
+BINARY_UNITS = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
+
+
+def binary_bytes(v: Column) -> Column:
+    """1024-based with a blank before the unit: whole bytes, above them two decimals."""
+    out = F.concat(v.cast("string"), F.lit(" B"))
+    for k in range(1, len(BINARY_UNITS)):
+        out = F.when(v >= 1024**k, F.concat(ratio(v, F.lit(1024**k), 2), F.lit(" " + BINARY_UNITS[k]))).otherwise(out)
+    return out
+
+
+def count_note(files: Column, share: Column, total: Column) -> Column:
+    """(12%), from a million on (2M, 12%): a cell's second line; share of total in whole percent."""
+    percent = F.concat(F.when(total > 0, ratio(share * 100, F.greatest(total, F.lit(1)), 0)).otherwise(F.lit("0")), F.lit("%)"))
+    return F.when(files >= 10**6, F.concat(F.regexp_replace(rounded_suffix(files), r"\)$", ", "), percent)).otherwise(F.concat(F.lit("("), percent))
+
+
+def rough_duration(tenths: Column) -> Column:
+    """Tenths of a second as s, min, h or days."""
+    t = F.greatest(tenths, F.lit(0)).cast("long")
+    return (
+        F.when(t < 600, F.concat(ratio(t, F.lit(10), 1), F.lit(" s"))).when(t < 36000, F.concat(ratio(t, F.lit(600), 1), F.lit(" min")))
+        .when(t < 864000, F.concat(ratio(t, F.lit(36000), 2), F.lit(" h"))).otherwise(F.concat(ratio(t, F.lit(864000), 2), F.lit(" days")))
+    )
+
+
+def wall_clock(ts: Column) -> Column:
+    """Epoch seconds as a date and time of the session's zone, with its name."""
+    return F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd HH:mm:ss zzz")

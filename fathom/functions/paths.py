@@ -74,3 +74,26 @@ def trigrams(text: Column) -> Column:
 def path_trigrams(path: Column) -> Column:
     """Distinct 3-byte windows inside the names of a path; no window crosses a slash."""
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(F.split(path, "/"), lambda s: F.octet_length(s) >= 3), trigrams))))
+
+
+#: Characters of a path's lead that tables show.
+SHOWN = 28
+
+
+def shown_lead(path: Column, base: Column, level: int) -> Column:
+    """What stands before a path's last name in a table: the lead itself if it is short, else its last names
+    after ".../". From level 2 on the base is left out as "..."."""
+    lead = F.regexp_replace(path, "[^/]*$", "")
+
+    def tail(s: Column) -> Column:
+        cut = F.length(s) - SHOWN  # whole names only: on from the last slash before the cut
+        head = F.when(cut > 0, s.substr(F.lit(1), cut)).otherwise(F.lit(""))
+        start = F.length(F.regexp_extract(head, "^(.*/)?", 0))
+        return F.concat(F.lit(".../"), s.substr(start + 1, F.length(s)))
+
+    plain = F.when(F.length(lead) <= SHOWN, lead).otherwise(tail(lead))
+    if level < 2:
+        return plain
+    rest = lead.substr(F.length(base) + 1, F.length(lead))
+    inside = (base != "") & path.startswith(base) & ((path.substr(F.length(base) + 1, F.lit(1)) == "/") | (F.length(base) == F.length(lead)))
+    return F.when(~inside, plain).when(rest.isin("", "/"), F.lit(".../")).when(F.length(rest) <= SHOWN, F.concat(F.lit("..."), rest)).otherwise(tail(rest))
