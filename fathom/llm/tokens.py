@@ -48,6 +48,7 @@ class CachedEncoder(dict):
         self.tokenize, self.older = self.tokenizer.model.tokenize, {}
         self.stops = functools.lru_cache(maxsize=10_000)(self.whole)
         self.feed, self.blank = self.whole("\n"), "" if self.words else " "
+        self.ends = {x: self.whole(x) for x in STOPS}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -56,16 +57,26 @@ class CachedEncoder(dict):
         ids = self.older.get(piece)
         if ids is None:
             ids = self.fresh(piece)
-        if len(piece) < 64:
-            if len(self) >= CACHE_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
+        if len(self) >= CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
+    def known(self, word: str) -> bytes | None:
+        return self.get(word) or self.older.get(word)
+
+    def ids_of(self, signs: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(signs)]).tobytes()
+
     def fresh(self, piece: str) -> bytes:
         if self.words:
             return self.plain("", piece)
+        if piece.isascii():  # the most frequent cases, the long way round below
+            if piece.isalpha():
+                return self.ids_of("Ġ" + piece)
+            if piece[-1:] in self.ends and (word := piece[:-1]).isalpha():
+                return (self.known(word) or self.ids_of("Ġ" + word)) + self.ends[piece[-1]]
         feed = piece[:1] == "\n"
         rest = piece[1:] if feed else piece
         if not rest or rest[0].isspace() or rest[-1].isspace():
@@ -75,12 +86,17 @@ class CachedEncoder(dict):
     def plain(self, lead: str, piece: str) -> bytes:
         word = piece.rstrip(STOPS)
         if word.isalpha() and ((plain := word.isascii()) or max(word) < LATIN_END and DOTTED_I not in word):
-            if len(word) < len(piece):
-                return (self[word] if lead == self.blank else self.plain(lead, word)) + self.stops(piece[len(word) :])
-            if self.words and (low := word.lower()) != word:
-                return self[low]
-            signs = word if plain else word.encode().decode("latin-1").translate(self.signs)
-            return array("I", [t.id for t in self.tokenize("Ġ" + signs if lead else signs)]).tobytes()
+            ids = None
+            if len(word) < len(piece) and lead == self.blank:
+                ids = self.known(word)
+            if ids is None:
+                low = word.lower() if self.words else word
+                if low is not word and low != word:
+                    ids = self.known(low)
+                if ids is None:
+                    signs = low if plain else low.encode().decode("latin-1").translate(self.signs)
+                    ids = self.ids_of("Ġ" + signs if lead else signs)
+            return ids if len(word) == len(piece) else ids + self.stops(piece[len(word) :])
         return self.whole(lead + piece)
 
     def encode_one(self, text: str | None) -> bytes:
