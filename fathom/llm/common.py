@@ -173,6 +173,10 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
 
 
+#: Columns whose types operators rely on.
+KINDS = {"doc_id": "long", "vec_id": "long", "text": "string", "toxic": "int"}
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name do no harm."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return df.select(*[(F.col(f"`{n}`").cast(KINDS[n]) if n in KINDS else F.col(f"`{n}`")).alias(n) for n in names])

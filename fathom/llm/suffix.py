@@ -132,7 +132,7 @@ class Texts:
     """A block's texts as one byte array, in an order that does not depend on how the rows arrived."""
 
     def __init__(self, table: pa.Table):
-        self.order = np.lexsort((table.column(MARK).to_numpy(), table.column("doc_id").fill_null(-(2**63)).to_numpy()))
+        self.order = np.lexsort((table.column(MARK).to_numpy(), table.column("doc_id").cast(pa.int64()).fill_null(-(2**63)).to_numpy()))
         table = table.select(["doc_id", "text"]).take(pa.array(self.order))
         self.ids = table.column("doc_id").combine_chunks()
         text = table.column("text").cast(pa.large_binary()).fill_null(b"").combine_chunks()

@@ -12,7 +12,7 @@ import os
 from array import array
 
 #: Distinct pieces kept by a worker, in each of two halves.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 STOPS = ".,!?;:"
 #: Below it, letters have been what they are in every version of Unicode, and stay as they are when composed.
 LATIN_END, DOTTED_I = "ɐ", "İ"
@@ -45,7 +45,10 @@ class CachedEncoder(dict):
 
         self.tokenizer, self.words, self.signs = Tokenizer.from_file(path), kind == "word", byte_signs()
         self.tokenizer.encode_special_tokens = True
-        self.tokenize, self.older = self.tokenizer.model.tokenize, {}
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # the library's own cache would only be filled with words that come once
+        self.tokenize, self.older = model.tokenize, {}
         self.stops = functools.lru_cache(maxsize=10_000)(self.whole)
         self.feed, self.blank = self.whole("\n"), "" if self.words else " "
         self.ends = {x: self.whole(x) for x in STOPS}
