@@ -34,19 +34,27 @@ class AdditiveQuantiser:
             self.books.append(book)
             rest = rest - book[squared(rest, book).argmin(1)]
         self.books = [b.astype(np.float32) for b in self.books]
-        # least squares for all codewords together, with the sample's codes as they are
+        # least squares for all codewords together, with the sample's codes as they are; a few rows at a time,
+        # so that the driver holds one square matrix and little else
         codes = self.encode(sample)[0]
         offsets = np.cumsum([0, *map(len, self.books)])
-        a = np.zeros((len(sample), offsets[-1]))
-        for m in range(books):
-            a[np.arange(len(sample)), offsets[m] + codes[:, m]] = 1
-        gram = a.T @ a + np.eye(a.shape[1]) * 1e-2
         prior = np.concatenate(self.books).astype(np.float64)
-        fitted = prior + np.linalg.solve(gram, a.T @ (sample - a @ prior))
+        gram, right = np.eye(len(prior)) * 1e-2, np.zeros_like(prior)
+        for low in range(0, len(sample), 512):
+            part = codes[low : low + 512]
+            a = np.zeros((len(part), len(prior)))
+            for m in range(books):
+                a[np.arange(len(part)), offsets[m] + part[:, m]] = 1
+            gram += a.T @ a
+            right += a.T @ (sample[low : low + 512] - a @ prior)
+        fitted = prior + np.linalg.solve(gram, right)
         self.books = [fitted[x:y].astype(np.float32) for x, y in zip(offsets[:-1], offsets[1:])]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and squared norms of what they stand for."""
+        if len(x) > 512:
+            parts = [self.encode(x[i : i + 512]) for i in range(0, len(x), 512)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         x = x.astype(np.float32)
         n = len(x)
         codes = np.zeros((n, 1, len(self.books)), np.uint8)
