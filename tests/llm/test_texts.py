@@ -429,3 +429,10 @@ def test_packed_integers():
         rng = np.random.default_rng(seed)
         v = np.sort(rng.integers(0, 2 ** rng.integers(1, 63), rng.integers(0, 50)).astype(np.uint64))
         assert (unpack(pack(v)) == v).all()
+
+
+def test_small_integers_as_ids(spark):
+    d = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id int, text string")
+    assert rows_of(jaccard.jaccard_classes(d).select("doc_id", "component_id")) == [(1, 1), (2, 1)]
+    assert rows_of(suffix.without_repeats(d)) == rows_of(d)
+    assert packing.best_fit_pack(d, WORD).count() == lm.score_texts(d).count() == 2
