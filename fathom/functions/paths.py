@@ -54,13 +54,19 @@ def below(path: Column, base: Column) -> Column:
     return F.when(base == "", path).when(base == "/", path.substr(F.lit(2), F.length(path))).otherwise(path.substr(F.length(base) + 2, F.length(path)))
 
 
-def level_rows(path: Column, base: Column, levels: int) -> Column:
-    """(level, row_path) of the path under base, for the first `levels` names below it, file names included."""
-    names = components(below(path, base))
+def level_rows(names: Column, base: Column, levels: int) -> Column:
+    """(level, row_path) for the first `levels` of the names that a path has below base, file names included."""
     lead = F.when(base.isin("", "/"), base).otherwise(F.concat(base, F.lit("/")))
-    depth = F.least(F.size(names), F.lit(levels))
-    steps = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda k: F.struct(k.alias("level"), F.concat(lead, F.array_join(F.slice(names, F.lit(1), k), "/")).alias("row_path")))
+    return F.transform(steps(F.lit(1), F.least(F.size(names), F.lit(levels))), lambda k: F.struct(k.alias("level"), F.concat(lead, F.array_join(F.slice(names, F.lit(1), k), "/")).alias("row_path")))
+
+
+def steps(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def leads(names: Column, low: Column, high: Column) -> Column:
+    """The first low to high of a path's names joined from the root, as far as it has them."""
+    return F.transform(steps(low, F.least(F.size(names), high)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(names, F.lit(1), k), "/")))
 
 
 def trigrams(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.paths import ancestors, components, level_rows, under
+from fathom.functions.paths import below, components, leads, level_rows, under
 from fathom.operators.credit import with_credit
 from fathom.operators.heatmap import bucketed
 from fathom.schema import MOST_LEVELS, TOP_ROWS
@@ -35,7 +35,8 @@ def rollup(records: DataFrame, now: int, basis: str = "effective", levels: int =
         raise ValueError(f"levels must be 1 to {MOST_LEVELS}")
     files = bucketed(records, now, basis)
     bases = F.broadcast(base_prefixes(files))
-    rows = files.join(bases, CELL).select(*CELL, "credited", "led", F.explode(level_rows(F.col("path"), F.col("base"), levels)).alias("row"))
+    named = files.join(bases, CELL).select(*CELL, "credited", "led", "base", components(below(F.col("path"), F.col("base"))).alias("names"))
+    rows = named.select(*CELL, "credited", "led", F.explode(level_rows(F.col("names"), F.col("base"), levels)).alias("row"))
     mine = rows.groupBy(*CELL, F.col("row.level").alias("level"), F.col("row.row_path").alias("row_path")).agg(
         F.count("*").alias("bucket_files"), F.sum("credited").alias("bucket_bytes"), F.count_if("led").alias("led_files"),
         F.sum(F.when(F.col("led"), F.col("credited")).otherwise(F.lit(0))).cast("long").alias("led_bytes"),
@@ -43,11 +44,10 @@ def rollup(records: DataFrame, now: int, basis: str = "effective", levels: int =
     wanted = mine.select("row_path").distinct()
     deepest = F.size(components(F.col("row_path")))
     bounds = wanted.agg(F.min(deepest).alias("low"), F.max(deepest).alias("high"))
-    every = with_credit(records).crossJoin(F.broadcast(bounds))  # one row
-    up = ancestors(F.col("path"))
-    near = F.when(F.size(up) >= F.col("low"), F.slice(up, F.col("low"), F.col("high") - F.col("low") + 1))
-    below = every.select("type", "credited", F.explode(near).alias("row_path"))
-    totals = below.groupBy("row_path").agg(F.count_if(F.col("type") == "f").alias("total_files"), F.count_if(F.col("type") == "d").alias("total_dirs"), F.sum("credited").alias("total_bytes"))
+    every = with_credit(records).select("type", "credited", components(F.col("path")).alias("names")).crossJoin(F.broadcast(bounds))  # one row
+    every = every.select("type", "credited", F.explode(leads(F.col("names"), F.col("low"), F.col("high"))).alias("row_path"))
+    inside = every.join(wanted, "row_path", "left_semi")
+    totals = inside.groupBy("row_path").agg(F.count_if(F.col("type") == "f").alias("total_files"), F.count_if(F.col("type") == "d").alias("total_dirs"), F.sum("credited").alias("total_bytes"))
     return mine.join(totals, "row_path", "left").na.fill(0, ["total_files", "total_dirs", "total_bytes"])
 
 
