@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-From a bounded sample of labelled rows come the terms that separate the labels and the examples' vectors;
-idf counts every document of the corpus. Examples stand in blocks; for each term and block the index holds
-the largest weight, whose products with the query bound any similarity in the block, so blocks are read from
-the most promising on, until no other can hold one of the k nearest. Votes weighted by similarity, with a
+From a bounded sample of labelled rows come the examples' vectors, over all their terms; idf counts every
+document of the corpus, and the more a term separates the labels the more it weighs. Examples stand in blocks;
+for each term and block the index holds the largest weight, whose products with the query bound any similarity
+in the block: the most promising blocks are read first, then those that can still hold one of the k nearest. Votes weighted by similarity, with a
 prior's weight for documents that no example is near, are calibrated by leaving each example out once.
 """
 
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise, need, trim, tune, words_of
 
-#: Bounds of the fitted model: labelled rows sampled, and terms kept.
-EXAMPLES, TERMS = 12_000, 1024
-#: Evidence that a term is more frequent among one label, twice the log-likelihood ratio (20: once in 100,000 by chance).
+#: Bound of the fitted model: labelled rows sampled. All their terms are kept.
+EXAMPLES = 12_000
+#: Evidence that a term separates the labels, twice the log-likelihood ratio, below which it is dropped.
 LEAST_EVIDENCE = 20.0
-#: and the least share of label 1 among the examples that hold it: words of all kinds of text say nothing.
-LEAST_SHARE = 0.5
 NEIGHBOURS, BLOCK = 15, 64
+#: Share of the blocks, those of largest bounds, that are read before any is left out.
+FIRST = 1 / 8
 #: Weight of the prior among the votes; a neighbour weighs its squared similarity.
 PRIOR_WEIGHT = 0.1
 EDGES = ".,;:!?\"'()[]{}<>«»¿¡…-–—*_/\\|"
@@ -51,52 +51,64 @@ def counts_of(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return key // max(1, len(terms)), key % max(1, len(terms)), times
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i] to start[i] + size[i] - 1, one range after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class BlockMaxIndex:
-    """Unit vectors in blocks; vectors: lists of (term numbers, weights)."""
+    """Unit vectors in blocks; vectors: lists of (term numbers, weights). A segment is what one block holds of
+    one term's list."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         # alike examples share blocks: by their heaviest term
-        self.order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))
-        self.most, self.blocks = np.zeros((-(-len(vectors) // block), terms)), []
-        for b in range(len(self.most)):
-            own = self.order[b * block : (b + 1) * block]
-            used = np.unique(np.concatenate([vectors[i][0] for i in own]))
-            m = np.zeros((len(own), len(used)))
-            for r, i in enumerate(own):
-                m[r, np.searchsorted(used, vectors[i][0])] = vectors[i][1]
-            self.blocks.append((np.array(own), used, m))
-            self.most[b, used] = m.max(0)
+        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i)), np.int64)
+        term = np.concatenate([vectors[i][0] for i in self.order])
+        by_term = np.argsort(term, kind="stable")
+        term = term[by_term]
+        self.place = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(vectors[i][0]) for i in self.order])[by_term]
+        self.weight = np.concatenate([vectors[i][1] for i in self.order])[by_term]
+        own = self.place // block
+        start = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0))
+        self.start, self.size = start, np.diff(start, append=len(term))
+        self.block, self.most, self.blocks = own[start], np.maximum.reduceat(self.weight, start), -(-len(vectors) // block)
+        self.first = np.searchsorted(term[start], np.arange(terms + 1))
+
+    def scores(self, segments: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        size = self.size[segments]
+        at = ranges(self.start[segments], size)
+        return np.bincount(self.place[at], self.weight[at] * np.repeat(weights, size), minlength=len(self.order))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k vectors of largest positive cosine, (cosine, number), ties by number; exact."""
-        bound = self.most[:, terms] @ weights
-        query = np.zeros(self.most.shape[1])
-        query[terms] = weights
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            own, used, m = self.blocks[b]
-            s = m @ query[used]
-            best += [(float(s[i]), int(own[i])) for i in np.flatnonzero(s > 0) if own[i] != without]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        size = self.first[terms + 1] - self.first[terms]
+        segments, weights = ranges(self.first[terms], size), np.repeat(weights, size)
+        block = self.block[segments]
+        bound = np.bincount(block, self.most[segments] * weights, minlength=self.blocks)
+        read, score = np.zeros(self.blocks, bool), np.zeros(len(self.order))
+        read[np.argsort(-bound, kind="stable")[: max(1, int(self.blocks * FIRST))]] = True
+        for now in (read, ~read):
+            least = np.partition(score, -k - 1)[-k - 1] if len(score) > k else 0.0  # one may be `without`
+            use = (now & (bound > 0) & (bound >= least - 1e-12))[block]
+            score += self.scores(segments[use], weights[use])
+        least = np.partition(score, -k - 1)[-k - 1] if len(score) > k else 0.0
+        found = np.flatnonzero((score > 0) & (score >= least))
+        near = sorted((-float(score[i]), int(self.order[i])) for i in found)
+        return [(-s, i) for s, i in near if i != without][:k]
 
 
 class Scorer:
     """The fitted model: of bounded size, sent to every worker."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list, labels: np.ndarray, vectors: list, prior: float):
-        self.terms, self.idf, self.ids, self.labels, self.vectors, self.prior = terms, idf, ids, labels, vectors, prior
+    def __init__(self, terms: pa.Array, weights: np.ndarray, ids: list, labels: np.ndarray, prior: float):
+        self.terms, self.weights, self.ids, self.labels, self.prior = terms, weights, ids, labels, prior
         self.slope, self.offset, self.index = 1.0, 0.0, None
 
     def unit(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(times)) * self.idf[terms]
+        w = (1 + np.log(times)) * self.weights[terms]
         return terms, w / np.linalg.norm(w)
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, list]:
-        if self.index is None:
-            self.index = BlockMaxIndex(self.vectors, len(self.terms))
         near = self.index.nearest(terms, weights, NEIGHBOURS, without)
         total = sum(s * s for s, _ in near)
         return (sum(s * s * self.labels[i] for s, i in near) + PRIOR_WEIGHT * self.prior) / (total + PRIOR_WEIGHT), near
@@ -105,9 +117,10 @@ class Scorer:
         x = self.slope * math.log(max(vote, 1e-9) / max(1 - vote, 1e-9)) + self.offset
         return 1 / (1 + math.exp(-min(max(x, -40), 40)))
 
-    def calibrate(self) -> None:
-        """Logistic fit of the labels on the log-odds of votes with each example left out."""
-        v = np.array([self.vote(*x, without=i)[0] for i, x in enumerate(self.vectors)])
+    def learn(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Index of the examples, and logistic fit of their labels on the log-odds of votes with each left out."""
+        self.index = BlockMaxIndex(vectors, len(self.terms))
+        v = np.array([self.vote(*x, without=i)[0] for i, x in enumerate(vectors)])
         y = self.labels[: len(v)].astype(float)
         # targets that a finite sample allows, and no examples of one label: the votes stand as they are
         pos, neg = y.sum(), len(y) - y.sum()
@@ -129,21 +142,28 @@ class Scorer:
             self.slope, self.offset = float(a), float(b)
 
 
-def evidence_of(terms: DataFrame, n: int, positive: int) -> DataFrame:
-    """Terms that are more frequent among label 1: twice the log-likelihood ratio of their document counts."""
-    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-    p, k = positive / n, F.col("pos") + F.col("neg")
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    inside = part(a, k * p) + part(b, k * (1 - p))
-    outside = part(F.lit(float(positive)) - a, (n - k) * p) + part(F.lit(float(n - positive)) - b, (n - k) * (1 - p))
-    return terms.where((a > k * p) & (a >= LEAST_SHARE * k)).withColumn("evidence", 2 * (inside + outside)).where(F.col("evidence") >= LEAST_EVIDENCE)
+def evidence_of(pos: np.ndarray, neg: np.ndarray, n: int, positive: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of the terms' document counts: how far each separates the labels."""
+    p, k = positive / n, pos + neg
+
+    def part(x: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, e, 1))
+
+    inside = part(pos, k * p) + part(neg, k * (1 - p))
+    outside = part(positive - pos, (n - k) * p) + part(n - positive - neg, (n - k) * (1 - p))
+    return np.maximum(2 * (inside + outside), 0)
+
+
+def weight_of(evidence: np.ndarray) -> np.ndarray:
+    """Factor of a term's weight. Chance alone gives evidence 1, which all terms have at least."""
+    return np.sqrt(1 + evidence)
 
 
 def fold_of(doc_id: str, folds: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, examples: int = EXAMPLES, terms: int = TERMS) -> Scorer | None:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, examples: int = EXAMPLES) -> Scorer | None:
     """Fits the model on at most `examples` labelled rows outside fold 0, picked by a hash of doc_id."""
     known = need(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != 0))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(examples)  # doc_id and label alone
@@ -162,42 +182,41 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, examples: int = EXAM
             yield pa.RecordBatch.from_arrays([values.cast(pa.string()), pa.array(pos), pa.array(all_ - pos)], ["term", "pos", "neg"])
 
     counted = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(distinct, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    picked_terms = evidence_of(counted.where("term <> ''"), n, positive).orderBy(F.desc("evidence"), "term").limit(terms).select("term").collect()
-    vocabulary = sorted(r.term for r in picked_terms)
-    value_set = pa.array(vocabulary, pa.large_string())
+    table = counted.where("term <> ''").toArrow().sort_by("term")
+    evidence = evidence_of(table.column("pos").to_numpy(), table.column("neg").to_numpy(), n, positive)
+    table = table.filter(pa.array(evidence >= LEAST_EVIDENCE))
+    evidence = evidence[evidence >= LEAST_EVIDENCE]
+    vocabulary = table.column("term").cast(pa.large_string()).combine_chunks()
+    value_set = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the examples
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, df = 0, np.zeros(len(vocabulary), np.int64)
+        total, df = 0, np.zeros(len(value_set.value), np.int64)
         for b in batches:
-            df += np.bincount(counts_of(b.column(0), value_set)[1], minlength=len(vocabulary))
+            df += np.bincount(counts_of(b.column(0), value_set.value)[1], minlength=len(df))
             total += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([df], pa.list_(pa.int64()))], ["n", "df"])
+        # the number of texts as one more term
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, len(df)), pa.int64()), pa.array(np.append(df[held], total), pa.int64())], ["term", "df"])
 
-    if vocabulary:
-        parts = need(docs, "text").mapInArrow(frequencies, "n long, df array<long>")
-        sums = parts.select("n", F.posexplode("df").alias("term", "df")).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).collect()
-        idf = np.zeros(len(vocabulary))
-        for r in sums:
-            idf[r.term] = math.log((r.n + 1) / (r.df + 1)) + 1
-    else:
-        idf = np.zeros(0)
+    sums = need(docs, "text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[sums.column("term").to_numpy()] = sums.column("df").to_numpy()
+    weights = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * weight_of(evidence)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, term, times = counts_of(b.column(1), value_set)
+            text, term, times = counts_of(b.column(1), value_set.value)
             cut = np.searchsorted(text, np.arange(b.num_rows + 1))
-            part = lambda x: pa.array([x[i:j] for i, j in zip(cut[:-1], cut[1:])], pa.list_(pa.int64()))
+            part = lambda x: pa.array([x[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), part(term), part(times)], ["doc_id", "toxic", "terms", "times"])
 
-    rows = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, times array<long>").collect()
+    rows = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(vectors, "doc_id long, toxic int, terms binary, times binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic))
     with_terms, without = [r for r in rows if r.terms], [r for r in rows if not r.terms]
     prior = (sum(r.toxic for r in without) + 0.5) / (len(without) + 1)
-    scorer = Scorer(vocabulary, idf, [r.doc_id for r in with_terms], np.array([r.toxic for r in with_terms]), [], prior)
-    scorer.vectors = [scorer.unit(np.array(r.terms), np.array(r.times)) for r in with_terms]
+    scorer = Scorer(vocabulary, weights, [r.doc_id for r in with_terms], np.array([r.toxic for r in with_terms]), prior)
     if with_terms:
-        scorer.calibrate()
-    scorer.index = None
+        scorer.learn([scorer.unit(np.frombuffer(r.terms, np.int32), np.frombuffer(r.times, np.int32)) for r in with_terms])
     return scorer
 
 
@@ -211,8 +230,8 @@ def score_rows(scorer: Scorer | None, texts: pa.Array) -> tuple[list[float], lis
         return [0.0] * len(texts), [[]] * len(texts)
     base = scorer.prior
     score, why = [base] * len(texts), [[] for _ in range(len(texts))]
-    if scorer.terms and scorer.vectors:
-        text, term, times = counts_of(texts, pa.array(scorer.terms, pa.large_string()))
+    if scorer.index is not None:
+        text, term, times = counts_of(texts, scorer.terms)
         cut = np.flatnonzero(np.diff(text, prepend=-1))
         for a, b in zip(cut, np.append(cut[1:], len(text))):
             vote, near = scorer.vote(*scorer.unit(term[a:b], times[a:b]))
@@ -233,7 +252,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, model: Sc
     """
     tune(docs.sparkSession)
     scorer = model or fit(docs, labels, folds)
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by EXAMPLES and TERMS
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by EXAMPLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

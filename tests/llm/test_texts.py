@@ -233,6 +233,17 @@ def test_toxicity_finds_held_out_rows(spark, docs, odd_rows):
     assert {r.doc_id for r in kept.collect()} == {k for k, v in got.items() if not v.predicted}
 
 
+def test_toxicity_keeps_terms_of_clean_text_too(spark):
+    # of label 1: a tenth of all, two fifths of those with "mild", none of those with "calm"
+    rows = [(i, f"mild word{i % 7}" if i < 200 else f"calm word{i % 7}" if i < 600 else f"word{i % 7}", int(i < 80 or i >= 680)) for i in range(700)]
+    d, y = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(d, y)
+    assert {"mild", "calm"} <= {str(t) for t in model.terms}
+    got = {r.text: r for r in toxicity.score_toxicity(d, y, model=model).join(d, "doc_id").where("held_out").collect()}
+    assert all(got[f"{w} word{k}"].evidence for w in ("mild", "calm") for k in range(7))
+    assert min(got[f"mild word{k}"].score for k in range(7)) > max(got[f"calm word{k}"].score for k in range(7))
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vectors = []
