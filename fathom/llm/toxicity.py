@@ -10,6 +10,7 @@ prior's weight for documents that no example is near, are calibrated by leaving
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,6 @@ from .common import materialise, need, trim, tune, words_of
 
 #: Bound of the fitted model: labelled rows sampled. All their terms are kept.
 EXAMPLES = 12_000
-#: Evidence that a term separates the labels, twice the log-likelihood ratio, below which it is dropped.
-LEAST_EVIDENCE = 20.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Share of the blocks, those of largest bounds, that are read before any is left out.
 FIRST = 1 / 8
@@ -98,17 +97,35 @@ class BlockMaxIndex:
 
 
 class Scorer:
-    """The fitted model: of bounded size, sent to every worker."""
+    """The fitted model: of bounded size, sent to every worker. held: ends, term numbers and times of the
+    examples' terms, one example after the other; workers get them packed and make the index themselves."""
 
-    def __init__(self, terms: pa.Array, weights: np.ndarray, ids: list, labels: np.ndarray, prior: float):
-        self.terms, self.weights, self.ids, self.labels, self.prior = terms, weights, ids, labels, prior
+    def __init__(self, terms: pa.Array, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, prior: float, held: tuple):
+        self.terms, self.weights, self.ids, self.labels, self.prior, self.held = terms, weights, ids, labels, prior, held
         self.slope, self.offset, self.index = 1.0, 0.0, None
 
+    def __getstate__(self) -> dict:
+        ends, term, times = self.held
+        times = times.astype(np.min_scalar_type(int(times.max(initial=0))))
+        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(term, prepend=np.int32(0)), times)]
+        return {**vars(self), "index": None, "held": (ends, *packed, times.dtype.str)}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        ends, term, times, kind = self.held
+        self.held = ends, np.cumsum(np.frombuffer(zlib.decompress(term), np.int32), dtype=np.int32), np.frombuffer(zlib.decompress(times), kind)
+
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        ends, term, times = self.held
+        return [self.unit(term[a:b], times[a:b].astype(np.int32)) for a, b in zip(np.append(0, ends[:-1]), ends)]
+
     def unit(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(times)) * self.weights[terms]
         return terms, w / np.linalg.norm(w)
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, list]:
+        if self.index is None:
+            self.index = BlockMaxIndex(self.vectors(), len(self.terms))
         near = self.index.nearest(terms, weights, NEIGHBOURS, without)
         total = sum(s * s for s, _ in near)
         return (sum(s * s * self.labels[i] for s, i in near) + PRIOR_WEIGHT * self.prior) / (total + PRIOR_WEIGHT), near
@@ -117,10 +134,9 @@ class Scorer:
         x = self.slope * math.log(max(vote, 1e-9) / max(1 - vote, 1e-9)) + self.offset
         return 1 / (1 + math.exp(-min(max(x, -40), 40)))
 
-    def learn(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Index of the examples, and logistic fit of their labels on the log-odds of votes with each left out."""
-        self.index = BlockMaxIndex(vectors, len(self.terms))
-        v = np.array([self.vote(*x, without=i)[0] for i, x in enumerate(vectors)])
+    def calibrate(self) -> None:
+        """Logistic fit of the labels on the log-odds of votes with each example left out."""
+        v = np.array([self.vote(*x, without=i)[0] for i, x in enumerate(self.vectors())])
         y = self.labels[: len(v)].astype(float)
         # targets that a finite sample allows, and no examples of one label: the votes stand as they are
         pos, neg = y.sum(), len(y) - y.sum()
@@ -184,8 +200,6 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, examples: int = EXAM
     counted = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(distinct, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     table = counted.where("term <> ''").toArrow().sort_by("term")
     evidence = evidence_of(table.column("pos").to_numpy(), table.column("neg").to_numpy(), n, positive)
-    table = table.filter(pa.array(evidence >= LEAST_EVIDENCE))
-    evidence = evidence[evidence >= LEAST_EVIDENCE]
     vocabulary = table.column("term").cast(pa.large_string()).combine_chunks()
     value_set = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the examples
 
@@ -213,10 +227,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, examples: int = EXAM
     rows = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(vectors, "doc_id long, toxic int, terms binary, times binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic))
     with_terms, without = [r for r in rows if r.terms], [r for r in rows if not r.terms]
-    prior = (sum(r.toxic for r in without) + 0.5) / (len(without) + 1)
-    scorer = Scorer(vocabulary, weights, [r.doc_id for r in with_terms], np.array([r.toxic for r in with_terms]), prior)
-    if with_terms:
-        scorer.learn([scorer.unit(np.frombuffer(r.terms, np.int32), np.frombuffer(r.times, np.int32)) for r in with_terms])
+    prior = (sum(r.toxic for r in without) + positive / n) / (len(without) + 1)
+    flat = lambda x: np.frombuffer(b"".join(x), np.int32)
+    held = np.cumsum([len(r.terms) // 4 for r in with_terms]), flat(r.terms for r in with_terms), flat(r.times for r in with_terms)
+    scorer = Scorer(vocabulary, weights, np.array([r.doc_id for r in with_terms], np.int64), np.array([r.toxic for r in with_terms], np.int64), prior, held)
+    del rows, with_terms
+    if len(scorer.ids):
+        scorer.calibrate()
+    scorer.index = None
     return scorer
 
 
@@ -230,13 +248,13 @@ def score_rows(scorer: Scorer | None, texts: pa.Array) -> tuple[list[float], lis
         return [0.0] * len(texts), [[]] * len(texts)
     base = scorer.prior
     score, why = [base] * len(texts), [[] for _ in range(len(texts))]
-    if scorer.index is not None:
+    if len(scorer.ids):
         text, term, times = counts_of(texts, scorer.terms)
         cut = np.flatnonzero(np.diff(text, prepend=-1))
         for a, b in zip(cut, np.append(cut[1:], len(text))):
             vote, near = scorer.vote(*scorer.unit(term[a:b], times[a:b]))
             score[text[a]] = scorer.calibrated(vote)
-            why[text[a]] = [(scorer.ids[i], s, int(scorer.labels[i])) for s, i in near[:3]]
+            why[text[a]] = [(int(scorer.ids[i]), s, int(scorer.labels[i])) for s, i in near[:3]]
     return score, why
 
 
@@ -244,8 +262,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, model: Sc
     """doc_id, held_out, score, predicted, evidence (the nearest three examples): one row per document.
 
     Labels are learned only from rows whose crc32(doc_id as text) mod `folds` is not 0. Null and empty texts
-    and texts without a known term have the share of label 1 among such examples; without any labelled row
-    every score is 0. Null labels are not learned from; rows that repeat are scored, and learned from, each
+    and texts without a known term have the share of label 1 among such examples, drawn to that among all by
+    the weight of one example; without any labelled row every score is 0. Null labels are not learned from; rows that repeat are scored, and learned from, each
     by itself; a null doc_id counts as empty text for the fold and is never learned from; texts of any length
     are read whole; equal similarities rank by example; an empty table gives no rows. Only doc_id, text and
     toxic are read.

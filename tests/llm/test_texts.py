@@ -244,6 +244,18 @@ def test_toxicity_keeps_terms_of_clean_text_too(spark):
     assert min(got[f"mild word{k}"].score for k in range(7)) > max(got[f"calm word{k}"].score for k in range(7))
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    # of forty examples three hold "scum" and three "moron", all toxic; a held-out row holds one of them
+    learn = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:40]
+    held = next(i for i in range(3000, 3100) if zlib.crc32(str(i).encode()) % 5 == 0)
+    rows = [(i, f"a{i % 5} b{i % 3}" + (" scum" if k < 3 else " moron" if k < 6 else ""), int(k < 6)) for k, i in enumerate(learn)] + [(held, "a1 b2 scum", 1), (held + 1, "a1 b2", 0), (held + 2, "unknown", 0)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    y = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 3000], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(d, y).collect()}
+    assert [got[held + i] for i in range(3)] == [1, 0, 0]
+    assert held not in {r.doc_id for r in toxicity.without_toxic(d, y).collect()}
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vectors = []
