@@ -4,6 +4,8 @@ A vector's direction is coded as a sum of full-dimensional codewords, one from e
 search over what the earlier codewords leave. The code, the vector's norm and the vector are stored. A query
 makes one table of its products with all codewords; a code's score is the sum of its entries times the norm.
 The best scored of a block are reranked there by exact products with the vectors, and the blocks' best merged.
+Equal vectors are indexed once, with as many of their smallest ids as an answer can hold, and expanded after
+ranking.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, tune
@@ -84,9 +86,9 @@ def encode_rows(model: AdditiveQuantiser, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column(2).to_pylist(), width)
+                x = matrix(b.column(3).to_pylist(), width)
                 codes, norms = model.encode(unit(x))[0], lengths(x)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["rid", "vec_id", "vec", "code", "norm"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["k1", "k2", "ids", "vec", "code", "norm"])
 
     return run
 
@@ -100,37 +102,52 @@ def search_block(model: AdditiveQuantiser, width: int, top: int, share: float):
             return schema.empty_table()
         x, q = matrix(data.column("vec").to_pylist(), width), matrix(queries.column("q_vec").to_pylist(), width)
         codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(x), -1).T.astype(np.intp)
-        ids, rids = data.column("vec_id").to_numpy(zero_copy_only=False), data.column("rid").to_numpy()
+        ids, at = data.column("ids").to_pylist(), {k: i for i, k in enumerate(zip(data.column("k1").to_pylist(), data.column("k2").to_pylist()))}
+        least = np.array([i[0] for i in ids])
         norms = data.column("norm").to_numpy()
         most = min(len(x), max(64, top + 1, int(len(x) * share)))
         out: list[list] = [[], [], [], []]
-        for lut, v, rid, qid in zip(model.tables(unit(q)), q, queries.column("q_rid").to_pylist(), queries.column("q_id").to_pylist()):
+        for lut, v, rid, qid, *key in zip(model.tables(unit(q)), q, *[queries.column(c).to_pylist() for c in ("q_rid", "q_id", "q_k1", "q_k2")]):
             score = lut[0][codes[0]]
             for m in range(1, len(lut)):
                 score += lut[m][codes[m]]
             score = score * norms
             near = np.argpartition(-score, most - 1)[:most] if most < len(x) else np.arange(len(x))
-            near = near[rids[near] != rid]  # every row but the query's own
             exact = x[near] @ v
-            best = np.lexsort((ids[near], -exact))[:top]
-            out[0] += [rid] * len(best)
-            out[1] += [qid] * len(best)
-            out[2] += ids[near[best]].tolist()
-            out[3] += exact[best].tolist()
+            best = np.lexsort((least[near], -exact))[: top + 1]  # the query's own may hold no other row
+            own, found = at.get(tuple(key), -1), []
+            for c, p in zip(near[best].tolist(), exact[best].tolist()):
+                others = ids[c]
+                if c == own:  # every row but the query's own
+                    others = [*others]
+                    if qid in others:
+                        others.remove(qid)
+                found += [(-p, i) for i in others[:top]]
+            found = sorted(found)[:top]
+            out[0] += [rid] * len(found)
+            out[1] += [qid] * len(found)
+            out[2] += [i for _, i in found]
+            out[3] += [-p for p, _ in found]
         return pa.table([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     return run
 
 
-def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, AdditiveQuantiser | None, int]:
-    """The written index (rid, vec_id, vec, code, norm) of every usable row, the quantiser and the width."""
+def build_index(vectors: DataFrame, sample: int = SAMPLE, top: int = 20) -> tuple[DataFrame, DataFrame, AdditiveQuantiser | None, int]:
+    """The usable rows (rid, vec_id, vec, k1, k2), the written index (k1, k2, ids, vec, code, norm) of their
+    distinct vectors with the `top` + 1 smallest vec_ids of each, the quantiser and the width."""
     tune(vectors.sparkSession)
     good = materialise(usable(vectors).where(F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("rid"), "vec_id", "vec"), "vectors")
     width = good.agg(F.max(F.size("vec")).alias("w")).first().w
     if not width:
-        return good, None, 0
-    model = AdditiveQuantiser(unit(sample_of(good, sample, width)))
-    return materialise(good.mapInArrow(encode_rows(model, width), "rid long, vec_id long, vec array<double>, code binary, norm double"), "codes"), model, width
+        return good, good, None, 0
+    # the same vector, whatever row it is in; 128 bits
+    good = good.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vec")))).withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64(F.reverse("vec"), F.lit(7)))
+    # Spark keeps to the limit before it shuffles, so large groups stay small
+    first = good.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).where(F.col("nth") <= top + 1)
+    classes = materialise(first.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.any_value("vec").alias("vec")), "classes")
+    model = AdditiveQuantiser(unit(sample_of(classes, sample, width, "k1")))
+    return good, materialise(classes.mapInArrow(encode_rows(model, width), "k1 long, k2 long, ids array<long>, vec array<double>, code binary, norm double"), "codes"), model, width
 
 
 def search(vectors: DataFrame, every: int = 20, top: int = 20, share: float = RERANK) -> DataFrame:
@@ -143,14 +160,14 @@ def search(vectors: DataFrame, every: int = 20, top: int = 20, share: float = RE
     of their own; an empty table gives no rows. Only vec_id and embedding are read.
     """
     spark = vectors.sparkSession
-    index, model, width = build_index(vectors)
+    good, index, model, width = build_index(vectors, top=top)
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = index.where(F.col("vec_id") % every == 0).select(F.col("rid").alias("q_rid"), F.col("vec_id").alias("q_id"), F.col("vec").alias("q_vec"))
+    asked = good.where(F.col("vec_id") % every == 0).select(F.col("rid").alias("q_rid"), F.col("vec_id").alias("q_id"), F.col("vec").alias("q_vec"), F.col("k1").alias("q_k1"), F.col("k2").alias("q_k2"))
     n, m = index.count(), asked.count()
     blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
     number = lambda x, k: F.pmod(F.xxhash64(x), F.lit(k)).cast("int")
-    data = index.select("rid", "vec_id", "vec", "code", "norm").withColumn("block", number("rid", blocks)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    data = index.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     queries = asked.withColumn("q_group", number("q_rid", groups)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     near = data.groupBy("block", "group").cogroup(queries.groupBy("q_block", "q_group")).applyInArrow(search_block(model, width, top, share), "query_rid long, query_id long, vec_id long, score double")
     ranked = near.selectExpr("query_id", "CAST(row_number() OVER (PARTITION BY query_rid ORDER BY score DESC, vec_id) AS int) AS rank", "vec_id", "score")

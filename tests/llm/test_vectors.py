@@ -78,6 +78,18 @@ def test_search(spark, rows):
     assert hit >= 0.9 * 20 * len(asked)
 
 
+def test_search_finds_the_smallest_ids_of_many_copies(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0]  # more copies than are reranked
+    got = nearest.search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)).where("vec_id % 3 = 0 AND query_id % 3 = 0").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(by) == set(range(0, 3000, 60))
+    assert all(sorted(v) == [i for i in range(0, 66, 3) if i != k][:20] for k, v in by.items())
+
+
 def test_few_and_none(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_vectors.near_duplicates(empty).collect() == []
