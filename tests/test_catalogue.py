@@ -51,3 +51,10 @@ def test_golden_heat_map(spark):
 def test_round_trip_keeps_all_records(spark):
     want = {r.type: (r.n, r.b) for r in lineitem_records(spark, SF).groupBy("type").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
     assert {r.type: (r.n, r.bytes) for r in QUERIES["bin_roundtrip"](spark, SF).collect()} == want
+
+
+def test_repair_report_covers_all_records(spark):
+    d = "/root/testdata/sf0.01"  # owners beyond the first twenty
+    rows = QUERIES["repair_report"](spark, d).collect()
+    assert sum(r.records for r in rows) == lineitem_records(spark, d).count()
+    assert {(r.status, r.sidecar_ok) for r in rows} == {("ok", True)}
