@@ -300,6 +300,17 @@ def test_re_pair_round_trip():
             assert shard.symbols[i] <= n
 
 
+def test_re_pair_round_trip_as_in_production():
+    rng = np.random.default_rng(1)
+    for kinds in (3, 15, 60_000):  # rules of rules, rules, none
+        sizes = rng.integers(0, 4000, 12)
+        ids = rng.integers(0, kinds, sizes.sum()).astype(np.uint32)
+        shard = repair_store.Shard(repair_store.to_shard(ids, sizes))
+        assert (len(shard.left) > 0) == (kinds < 1000)
+        assert b"".join(shard.documents()) == ids.tobytes()
+        assert [len(shard.document(i)) for i in range(12)] == sizes.tolist()
+
+
 def test_re_pair_compresses():
     ids = np.tile(np.arange(50, dtype=np.uint32), 200)
     assert len(repair_store.to_shard(ids, np.array([5000, 5000]))) < len(ids)
