@@ -70,16 +70,15 @@ def leads(names: Column, low: Column, high: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct 3-byte windows, as 24-bit numbers, of a lower-cased string."""
-    hexed = F.hex(F.encode(ascii_lower(text), "UTF-8"))
-    n = F.octet_length(text)
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(6)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(windows)
+    """Distinct 3-byte windows without a slash, as 24-bit numbers, of a lower-cased string."""
+    signs = F.decode(F.encode(ascii_lower(text), "UTF-8"), "ISO-8859-1")  # a character for each byte
+    windows = F.array_distinct(F.regexp_extract_all(signs, F.lit("(?=([^/]{3}))"), 1))
+    return F.transform(windows, lambda g: F.ascii(g) * 65536 + F.ascii(F.substring(g, F.lit(2), F.lit(1))) * 256 + F.ascii(F.substring(g, F.lit(3), F.lit(1))))
 
 
 def path_trigrams(path: Column) -> Column:
-    """Distinct 3-byte windows inside the names of a path; no window crosses a slash."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(F.split(path, "/"), lambda s: F.octet_length(s) >= 3), trigrams))))
+    """Distinct 3-byte windows inside the names of a path, ascending; no window crosses a slash."""
+    return F.array_sort(trigrams(path))
 
 
 #: Characters of a path's lead that tables show.

@@ -12,9 +12,9 @@ ORDER = ["path", "size", "mtime", "atime", "ctime"]
 
 def with_credit(records: DataFrame) -> DataFrame:
     """Adds `credited`: the bytes that a record adds to totals. Of a file with several links only the first
-    of its inode has its size, the others 0; everything else has its own size. Only files with nlink > 1 are
-    shuffled."""
-    linked = (F.col("type") == "f") & (F.col("nlink") > 1)
+    of its inode has its size, the others 0; everything else has its own size, as have records whose type or
+    link count is null. Only files with nlink > 1 are shuffled."""
+    linked = F.coalesce((F.col("type") == "f") & (F.col("nlink") > 1), F.lit(False))
     first = F.row_number().over(Window.partitionBy(*KEY).orderBy(*ORDER)) == 1
     several = records.where(linked).withColumn("credited", F.when(first, F.col("size")).otherwise(F.lit(0)).cast("long"))
     return records.where(~linked).withColumn("credited", F.col("size")).unionByName(several)

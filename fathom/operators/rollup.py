@@ -30,7 +30,7 @@ def base_prefixes(files: DataFrame) -> DataFrame:
 
 def rollup(records: DataFrame, now: int, basis: str = "effective", levels: int = 3) -> DataFrame:
     """For each cell and each of the first `levels` names below its base: files and bytes of the cell, and of
-    everything below the same row path. Only directories that a cell has are looked up among all records."""
+    everything below the same row path, counted at the depths that the rows have."""
     if not 1 <= levels <= MOST_LEVELS:
         raise ValueError(f"levels must be 1 to {MOST_LEVELS}")
     files = bucketed(records, now, basis)
@@ -41,13 +41,12 @@ def rollup(records: DataFrame, now: int, basis: str = "effective", levels: int =
         F.count("*").alias("bucket_files"), F.sum("credited").alias("bucket_bytes"), F.count_if("led").alias("led_files"),
         F.sum(F.when(F.col("led"), F.col("credited")).otherwise(F.lit(0))).cast("long").alias("led_bytes"),
     )
-    wanted = mine.select("row_path").distinct()
     deepest = F.size(components(F.col("row_path")))
-    bounds = wanted.agg(F.min(deepest).alias("low"), F.max(deepest).alias("high"))
+    bounds = mine.agg(F.min(deepest).alias("low"), F.max(deepest).alias("high"))
     every = with_credit(records).select("type", "credited", components(F.col("path")).alias("names")).crossJoin(F.broadcast(bounds))  # one row
     every = every.select("type", "credited", F.explode(leads(F.col("names"), F.col("low"), F.col("high"))).alias("row_path"))
-    inside = every.join(wanted, "row_path", "left_semi")
-    totals = inside.groupBy("row_path").agg(F.count_if(F.col("type") == "f").alias("total_files"), F.count_if(F.col("type") == "d").alias("total_dirs"), F.sum("credited").alias("total_bytes"))
+    # added up before the shuffle: a directory that holds a large part of all records is one row of each task
+    totals = every.groupBy("row_path").agg(F.count_if(F.col("type") == "f").alias("total_files"), F.count_if(F.col("type") == "d").alias("total_dirs"), F.sum("credited").alias("total_bytes"))
     return mine.join(totals, "row_path", "left").na.fill(0, ["total_files", "total_dirs", "total_bytes"])
 
 

@@ -29,8 +29,10 @@ def measures() -> list[Column]:
 def totals(records: DataFrame, uid: int | None = None) -> DataFrame:
     """One row of a report's totals, for everyone or one owner; bytes are credited among the owner's records."""
     mine = records if uid is None else records.where(F.col("uid") == uid)
-    scanned = records.agg(F.count("*").alias("scanned"))
-    return with_credit(mine).withColumn("led", change_led()).agg(*measures()).crossJoin(F.broadcast(scanned))
+    out = with_credit(mine).withColumn("led", change_led()).agg(*measures())
+    if uid is None:  # all are scanned and all match: no second scan
+        return out.withColumn("scanned", F.col("matched"))
+    return out.crossJoin(F.broadcast(records.agg(F.count("*").alias("scanned"))))  # one row
 
 
 def by_uid(records: DataFrame) -> DataFrame:

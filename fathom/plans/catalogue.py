@@ -99,9 +99,9 @@ def _(spark, d):
     return heatmap.shares(grid(spark, d)).select("age_bucket", "size_bucket", "files_colour", "bytes_colour")
 
 
-@query("heatmap_dense_grid", with_sql("SELECT a::INT AS age_bucket, s::INT AS size_bucket, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, coalesce(led_files, 0) AS led_files, coalesce(led_bytes, 0) AS led_bytes FROM range(6) x(a) CROSS JOIN range(6) y(s) LEFT JOIN cells ON a = age_bucket AND s = size_bucket", f"files AS (SELECT *, {age_sql('greatest(atime, mtime, ctime)')} AS age_bucket, {size_sql('size')} AS size_bucket, {LED_SQL} AS led FROM acct WHERE type = 'f' AND uid < 1010)", CELLS_SQL).replace("FROM lineitem))", "FROM lineitem WHERE l_suppkey < 10))"))
+@query("heatmap_dense_grid", with_sql("SELECT a::INT AS age_bucket, s::INT AS size_bucket, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, coalesce(led_files, 0) AS led_files, coalesce(led_bytes, 0) AS led_bytes FROM range(6) x(a) CROSS JOIN range(6) y(s) LEFT JOIN cells ON a = age_bucket AND s = size_bucket", files_sql(), CELLS_SQL))
 def _(spark, d):
-    return heatmap.dense(heatmap.cells(lineitem_records(spark, d).where("uid < 1010"), NOW))
+    return heatmap.dense(grid(spark, d))
 
 
 @query("ctime_led_by_cell", with_sql("SELECT age_bucket, size_bucket, led_files, led_bytes FROM cells WHERE led_files > 0", files_sql(), CELLS_SQL))
@@ -152,6 +152,22 @@ def _(spark, d):
     return credit.winners(lineitem_records(spark, d)).select("dev_major", "dev_minor", "inode", "path", "size")
 
 
+ODD = [("/a", "f", 1, 5, 7, 2), ("/b", "f", 2, 6, 7, 2), ("/c", "f", 3, 7, 8, None), ("/d", None, 4, 8, 9, 2), (None, "f", 5, 9, None, 3), ("/e", "d", 6, None, 9, 2)]
+ODD_COLUMNS = "path, type, uid, size, inode, nlink"
+
+
+def odd_sql() -> str:
+    value = lambda x: "NULL" if x is None else repr(x)
+    return f"odd AS (SELECT path::VARCHAR AS path, type::VARCHAR AS type, uid::BIGINT AS uid, size::BIGINT AS size, inode::BIGINT AS inode, nlink::BIGINT AS nlink FROM (VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in ODD)}) t({ODD_COLUMNS}))"
+
+
+@query("credit_with_nulls", f"WITH {odd_sql()} SELECT uid, CASE WHEN coalesce(type = 'f' AND nlink > 1, false) AND row_number() OVER (PARTITION BY coalesce(type = 'f' AND nlink > 1, false), inode ORDER BY path NULLS FIRST, size NULLS FIRST) > 1 THEN 0 ELSE size END AS credited FROM odd")
+def _(spark, d):
+    rows = spark.createDataFrame(ODD, "path string, type string, uid long, size long, inode long, nlink long")
+    zero = F.lit(0).cast("long")
+    return credit.with_credit(rows.withColumns({c: zero for c in ("dev_major", "dev_minor", "mtime", "atime", "ctime")})).select("uid", "credited")
+
+
 @query("unique_file_bytes", with_sql("SELECT sum(credited)::BIGINT AS bytes, count(*) FILTER (WHERE credited > 0) AS credited_files FROM acct WHERE type = 'f'"))
 def _(spark, d):
     return credit.with_credit(lineitem_records(spark, d).where("type = 'f'")).agg(F.sum("credited").alias("bytes"), F.count_if(F.col("credited") > 0).alias("credited_files"))
@@ -194,9 +210,9 @@ def human_bytes_sql(v: str) -> str:
     return f"CASE {forms} WHEN {v} >= 100 THEN printf('%.0fB', {v}::DOUBLE) WHEN {v} >= 10 THEN printf('%.1fB', {v}::DOUBLE) ELSE printf('%.2fB', {v}::DOUBLE) END"
 
 
-@query("format_human_bytes", with_sql(f"SELECT v, {human_bytes_sql('v')} AS label FROM (SELECT * FROM {values_sql('v', BYTES)} UNION SELECT size FROM crawl WHERE uid = {OWNER})"))
+@query("format_human_bytes", with_sql(f"SELECT v, {human_bytes_sql('v')} AS label FROM (SELECT * FROM {values_sql('v', BYTES)} UNION SELECT size FROM crawl)"))
 def _(spark, d):
-    sizes = spark.createDataFrame([(v,) for v in BYTES], "v long").union(lineitem_records(spark, d).where(F.col("uid") == OWNER).select("size")).distinct()
+    sizes = spark.createDataFrame([(v,) for v in BYTES], "v long").union(lineitem_records(spark, d).select("size")).distinct()
     return sizes.select("v", formats.human_bytes(F.col("v")).alias("label"))
 
 
@@ -401,10 +417,10 @@ def _(spark, d):
     return rates.sliding_rates(spark.read.parquet(f"{d}/events.parquet"), 3600, 10)
 
 
-# ---------------------------------------------------------------- round trips without SQL
+# ---------------------------------------------------------------- round trips
 
 
-@query("bin_roundtrip")
+@query("bin_roundtrip", with_sql("SELECT type, count(*) AS n, sum(size)::BIGINT AS bytes FROM crawl GROUP BY type"))
 def _(spark, d):
     from fathom.sources.shards import read_shards, write_shards
 
