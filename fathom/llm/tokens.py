@@ -2,7 +2,8 @@
 
 Both vocabularies treat what stands between two single blanks on its own, so a piece that was met before
 needs no second encoding. A new piece is encoded by the library: a plain word by its model alone, anything
-else by the whole tokenizer.
+else by the whole tokenizer. A text that holds one of the vocabulary's added tokens, in upper or lower case,
+goes to the library as a whole, since the library looks for those before anything else.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ class CachedEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.signs = Tokenizer.from_file(path), kind == "word", byte_signs()
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.signals = sorted({a[0] for a in self.added})
         model = self.tokenizer.model
         if hasattr(model, "_resize_cache"):
             model._resize_cache(0)  # the library's own cache would only be filled with words that come once
@@ -102,9 +104,17 @@ class CachedEncoder(dict):
             return ids if len(word) == len(piece) else ids + self.stops(piece[len(word) :])
         return self.whole(lead + piece)
 
+    def holds_added(self, text: str) -> bool:
+        if not any(c in text or c.upper() in text for c in self.signals):
+            return False
+        low = text.lower()
+        return any(a in low for a in self.added)
+
     def encode_one(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.holds_added(text):
+            return self.whole(text)
         if self.words:
             return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
         pieces = text.replace("\n", " \n").split(" ")
