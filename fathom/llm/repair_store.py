@@ -1,14 +1,15 @@
-"""Token-id files with Re-Pair grammars: binary shards that decode any document on its own.
+"""Token-id files with Re-Pair grammars: binary shards that decode any document, or any ids of it, on its own.
 
 A shard is one row of a Parquet table (so it can live in any store that Spark reads) whose payload is
 self-contained, little-endian:
 
-    8 bytes   magic "FTHMRP01"
-    6 x u32   documents, rules, symbols of the compressed sequence, first nonterminal, passes, bytes a symbol
-    rules     left symbol u32 each, right symbol u32 each, expansion length u32 each
+    8 bytes   magic "FTHMRP02"
+    6 x u32   documents, rules, symbols of the compressed sequence, first nonterminal, passes, long expansions
     passes    rules made up to each pass, u32 each
     documents symbols u32 each (of the compressed sequence), ids u32 each (expanded)
-    sequence  the symbols, 2 bytes each where all fit in them, else 4
+    lengths   what each rule expands to, in ids: a byte each; 255 says that it is among the long ones, u32 each
+    rules     all left symbols, then all right symbols, in as few bits each as the largest symbol needs
+    sequence  the symbols, in as many bits each
 
 Grammar rules never cross documents, so a document's symbols expand to just its ids.
 """
@@ -27,24 +28,41 @@ from pyspark.sql import functions as F
 from .common import materialise, need, parts_for, trim, tune
 from .tokens import encoder
 
-MAGIC = b"FTHMRP01"
+MAGIC = b"FTHMRP02"
 HEAD = struct.Struct("<8s6I")
 END = 2
 #: Ids of a shard, about; a longer document has a shard of its own.
 SHARD_IDS = 1 << 18
-#: A pair becomes a rule if it occurs so often in its shard.
-LEAST_COUNT = 32
-#: Passes end when one shortens the sequence by less than this share.
-LEAST_GAIN = 0.04
 
 
-def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_COUNT, gain: float = LEAST_GAIN):
+def adjacent(seq: np.ndarray, lone: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(pairs, places, bits): all pairs of neighbours but the lone ones, ascending by pair and place; of pairs
+    that overlap themselves (aaa) only the first, third, ... of a run."""
+    bits, place = (top - 1).bit_length(), (len(seq) - 1).bit_length()
+    at = np.flatnonzero(~lone[:-1])
+    twin = at[seq[at] == seq[at + 1]]
+    if len(twin):
+        run = np.cumsum(np.diff(twin, prepend=-9) != 1)
+        nth = np.arange(len(twin)) - np.searchsorted(run, run)
+        drop = np.zeros(len(seq), bool)
+        drop[twin[nth % 2 == 1]] = True
+        at = at[~drop[at]]
+    wide = seq.astype(np.uint64)
+    pairs = (wide[at] << np.uint64(bits)) | wide[at + 1]
+    if 2 * bits + place > 64:  # does not fit beside the place
+        order = np.argsort(pairs, kind="stable")
+        return pairs[order], at[order], bits
+    both = np.sort((pairs << np.uint64(place)) | at.astype(np.uint64))
+    return both >> np.uint64(place), (both & np.uint64((1 << place) - 1)).astype(np.int64), bits
+
+
+def repair(ids: np.ndarray, sizes: np.ndarray):
     """(sequence, symbols of each document, left, right, rules made up to each pass, first nonterminal).
 
-    Each pass counts all adjacent pairs and gives every pair that occurs `least` times or more a
-    nonterminal; where two such pairs overlap, the one of better rank is replaced: the more frequent, to a
-    factor of about 1.4. Passes repeat, with pairs of nonterminals too, until no pair is frequent or little
-    is gained.
+    Each pass counts all adjacent pairs and gives every pair that occurs twice or more a nonterminal; where
+    two such pairs overlap, the one of better rank is replaced: the more frequent, to a factor of about 1.4.
+    A pair with fewer than two places left waits for the next pass. Passes repeat, with pairs of nonterminals
+    too, until no pair occurs twice.
     """
     seq = ids.astype(np.uint32)
     base = int(seq.max(initial=0)) + 1
@@ -52,23 +70,17 @@ def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_COUNT, gain: f
     if len(seq):
         doc_end[np.cumsum(sizes)[sizes > 0] - 1] = True
     left, right, passes, top = [], [], [], base
+    # places where no pair begins that can become a rule: the last symbol of a document has no partner, and a
+    # pair that occurs once will not occur twice later
+    lone = doc_end.copy()
     while len(seq) > 1:
-        bits, place = (top - 1).bit_length(), (len(seq) - 1).bit_length()
-        from_ = np.flatnonzero(~doc_end[:-1]).astype(np.uint64)  # the last symbol of a document has no partner
-        wide = seq.astype(np.uint64)
-        pairs = ((wide[:-1] << np.uint64(bits)) | wide[1:])[~doc_end[:-1]]
-        if 2 * bits + place > 64:  # does not fit beside the position
-            order = np.argsort(pairs, kind="stable")
-            pairs, order = pairs[order], from_[order].astype(np.int64)
-        else:
-            both = np.sort((pairs << np.uint64(place)) | from_)
-            order = (both & np.uint64((1 << place) - 1)).astype(np.int64)
-            pairs = both >> np.uint64(place)
+        pairs, order, bits = adjacent(seq, lone, top)
         new = np.ones(len(pairs), bool)
         new[1:] = pairs[1:] != pairs[:-1]
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(pairs)))
-        frequent = np.flatnonzero(count >= least)
+        lone[order[first[count == 1]]] = True
+        frequent = np.flatnonzero(count >= 2)
         if not len(frequent):
             break
         # rank 0 is the most frequent; among about equal frequencies a hash decides, so that in a chain of
@@ -77,24 +89,16 @@ def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_COUNT, gain: f
         often = frequent[np.lexsort((pairs[first[frequent]] * np.uint64(0x9E3779B97F4A7C15), -size))]
         rank = np.empty(len(often), np.int64)
         rank[np.searchsorted(frequent, often)] = np.arange(len(often))
-        want = np.full(len(seq) + 1, -1, np.int64)
-        want[order[np.repeat(count >= least, count)]] = np.repeat(rank, count[frequent])
-        at = np.flatnonzero(want >= 0)
-        # keep a place if no neighbouring place has a better rank; equal ranks (aaa): the first, third, ...
+        want = np.full(len(seq) + 1, len(often), np.int64)  # the last: no pair here
+        want[order[np.repeat(count >= 2, count)]] = np.repeat(rank, count[frequent])
+        at = np.flatnonzero(want < len(often))
+        # equal pairs never stand side by side: a place is kept if no neighbouring place has a better rank
         r, before, after = want[at], want[at - 1], want[at + 1]
-        before[at == 0] = -1
-        odd = np.flatnonzero((before == r) & (at > 0))
-        keep = ((before < 0) | (r < before)) & ((after < 0) | (r <= after))
-        if len(odd):
-            run = np.cumsum(~((before == r) & (np.diff(at, prepend=-9) == 1)))
-            nth = np.arange(len(at)) - np.searchsorted(run, run)
-            same = (nth % 2 == 0) & (nth > 0)
-            keep |= same & ((after < 0) | (r <= after))
-        at = at[keep]
-        at = at[np.diff(at, prepend=-9) > 1]  # an even place in a run and a kept neighbour
-        if len(at) < gain * len(seq):
-            break
-        used = np.unique(want[at])
+        before[at == 0] = len(often)
+        at = at[(r < before) & (r < after)]
+        uses = np.bincount(want[at], minlength=len(often))
+        at = at[uses[want[at]] >= 2]
+        used = np.flatnonzero(uses >= 2)
         name = np.zeros(len(often), np.uint32)
         name[used] = top + np.arange(len(used), dtype=np.uint32)
         made = pairs[first[often[used]]]
@@ -102,9 +106,11 @@ def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_COUNT, gain: f
         right.append((made & np.uint64((1 << bits) - 1)).astype(np.uint32))
         seq[at] = name[want[at]]
         doc_end[at] = doc_end[at + 1]
+        lone[at], lone[at[at > 0] - 1] = False, False
+        lone |= doc_end
         gone = np.ones(len(seq), bool)
         gone[at + 1] = False
-        seq, doc_end = seq[gone], doc_end[gone]
+        seq, doc_end, lone = seq[gone], doc_end[gone], lone[gone]
         top += len(used)
         passes.append(top - base)
     ends = np.flatnonzero(doc_end) + 1
@@ -114,33 +120,52 @@ def repair(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST_COUNT, gain: f
     return seq, symbols, np.concatenate(left or [empty]), np.concatenate(right or [empty]), np.array(passes, np.uint32), base
 
 
+def to_bits(values: np.ndarray, bits: int) -> bytes:
+    """The lowest `bits` of each value, one after the other."""
+    wide = np.unpackbits(np.ascontiguousarray(values, ">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(wide[:, 32 - bits :]).tobytes()
+
+
+def from_bits(data: bytes, n: int, bits: int, at: int) -> tuple[np.ndarray, int]:
+    """(n values, where they end in data)."""
+    size = (n * bits + 7) // 8
+    wide = np.zeros((n, 32), np.uint8)
+    wide[:, 32 - bits :] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * bits).reshape(n, bits)
+    return np.packbits(wide, axis=1).view(">u4").ravel().astype(np.uint32), at + size
+
+
 def to_shard(ids: np.ndarray, sizes: np.ndarray) -> bytes:
     """The payload of one shard: documents of sizes[i] ids each."""
     seq, symbols, left, right, passes, base = repair(ids, sizes)
-    lengths = np.ones(base + len(left), np.uint32)
-    done = 0
+    lengths, done = np.ones(base + len(left), np.uint32), 0
     for to in passes:
         lengths[base + done : base + to] = lengths[left[done:to]] + lengths[right[done:to]]
         done = int(to)
-    wide = 2 if base + len(left) <= 1 << 16 else 4
-    head = HEAD.pack(MAGIC, len(sizes), len(left), len(seq), base, len(passes), wide)
-    return b"".join([head, *(np.asarray(x).astype("<u4").tobytes() for x in (left, right, lengths[base:], passes, symbols, sizes)), seq.astype(f"<u{wide}").tobytes()])
+    lengths = lengths[base:]
+    long, bits = lengths[lengths >= 255], (base + len(left)).bit_length()
+    head = HEAD.pack(MAGIC, len(sizes), len(left), len(seq), base, len(passes), len(long))
+    tables = [np.asarray(x).astype("<u4").tobytes() for x in (passes, symbols, sizes)]
+    return b"".join([head, *tables, np.minimum(lengths, 255).astype(np.uint8).tobytes(), long.astype("<u4").tobytes(), to_bits(left, bits), to_bits(right, bits), to_bits(seq, bits)])
 
 
 class Shard:
-    """Reads a payload; document(i) expands only that document."""
+    """Reads a payload; document(i) expands only that document, span(i, low, high) only those ids of it."""
 
     def __init__(self, data: bytes):
-        magic, docs, rules, n, self.base, passes, wide = HEAD.unpack_from(data)
+        magic, docs, rules, n, self.base, passes, long = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token-id shard")
-        at = HEAD.size
-        parts = []
-        for k in (rules, rules, rules, passes, docs, docs):
+        at, parts = HEAD.size, []
+        for k in (passes, docs, docs):
             parts.append(np.frombuffer(data, "<u4", k, at))
             at += 4 * k
-        self.left, self.right, self.lengths, self.passes, self.symbols, self.sizes = parts
-        self.seq = np.frombuffer(data, f"<u{wide}", n, at).astype(np.uint32)
+        self.passes, self.symbols, self.sizes = parts
+        self.lengths = np.frombuffer(data, np.uint8, rules, at).astype(np.int64)
+        self.lengths[self.lengths == 255] = np.frombuffer(data, "<u4", long, at + rules)
+        at, bits = at + rules + 4 * long, (self.base + rules).bit_length()
+        self.left, at = from_bits(data, rules, bits, at)
+        self.right, at = from_bits(data, rules, bits, at)
+        self.seq, _ = from_bits(data, n, bits, at)
         self.starts = np.concatenate([[0], np.cumsum(self.symbols, dtype=np.int64)])
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
@@ -149,6 +174,8 @@ class Shard:
             low = self.base + (int(self.passes[k - 1]) if k else 0)
             big = seq >= low
             at = np.flatnonzero(big)
+            if not len(at):
+                continue
             to = at + np.arange(len(at))
             out = np.empty(len(seq) + len(at), np.uint32)
             put = np.ones(len(out), bool)
@@ -159,9 +186,39 @@ class Shard:
             seq = out
         return seq
 
+    def sizes_of(self, seq: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for, from the stored lengths."""
+        out = np.ones(len(seq), np.int64)
+        rule = seq >= self.base
+        out[rule] = self.lengths[seq[rule] - self.base]
+        return out
+
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.seq[self.starts[i] : self.starts[i + 1]])
 
+    def span(self, i: int, low: int, high: int) -> np.ndarray:
+        """Ids low to high - 1 of document i. The stored lengths say which symbols hold them; only the first
+        and the last of these are followed down, rule by rule, to where the span begins and ends."""
+        low, high = max(low, 0), min(high, int(self.sizes[i]))
+        if low >= high:
+            return np.zeros(0, np.uint32)
+        seq = self.seq[self.starts[i] : self.starts[i + 1]]
+        ends = np.cumsum(self.sizes_of(seq))
+        first, last = int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(ends, high))
+        skip, left = low - (int(ends[first - 1]) if first else 0), high - low
+        todo, out = seq[first : last + 1][::-1].tolist(), []
+        while left:
+            s = todo.pop()
+            n = 1 if s < self.base else int(self.lengths[s - self.base])
+            if skip >= n:
+                skip -= n
+            elif not skip and n <= left:
+                out.append(s)
+                left -= n
+            else:
+                todo += [int(self.right[s - self.base]), int(self.left[s - self.base])]
+        return self.expand(np.array(out, np.uint32))
+
     def documents(self) -> Iterator[bytes]:
         """All documents in order, as little-endian uint32 bytes."""
         data, end = self.expand(self.seq).astype("<u4").tobytes(), 0
@@ -208,11 +265,12 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int = END, shard_ids: int =
     written table: part, shard (both ascending with doc_id), doc_ids, n_ids, payload.
 
     Null doc_ids come first; null and empty texts are the end id alone; rows of the same doc_id are
-    documents of their own, in the order of their texts' hashes. Other columns are not read.
+    documents of their own, in the order of their texts' hashes; a row's number parts rows that repeat whole
+    among the tasks. Other columns are not read.
     """
     tune(docs.sparkSession)
-    keyed = need(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange(parts_for(docs, 8 << 20), "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    keyed = need(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(parts_for(docs, 8 << 20), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
     return materialise(ordered.select("doc_id", "text").mapInArrow(write_shards(tokenizer, end, shard_ids), SHARDS), "ids")
 
 
