@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import math
 import shutil
 import tempfile
 import uuid
@@ -77,6 +78,17 @@ def parts_for(df: DataFrame, each: int = 12 << 20) -> int:
     return int(min(max(least, input_bytes(df) // each + 1), 1 << 20))
 
 
+#: Bytes, at least and on average, of what a block of the input sends to one hash range.
+ROW_BYTES = 1024
+
+
+def block_bytes(df: DataFrame, least: int) -> int:
+    """Bytes of a block, where every block sends a row to every hash range of as many bytes: `least`, or what
+    keeps the rows so large that their number grows with the input and not with its square. A block then grows
+    with the input's square root (least = 5 MB holds up to 25 GB; 1 TB: 32 MB, 100 TB: 320 MB)."""
+    return max(least, math.isqrt(input_bytes(df) * ROW_BYTES))
+
+
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(id, component): the smallest id that each vertex of the edges reaches.
 

@@ -7,17 +7,17 @@ failure arc's weight. Arc and failure weights come from Dirichlet smoothing of e
     p(v | s) = (c(s v) + m p(v | shorter s)) / (c(s) + m),   p(v) = (c(v) + 1) / (N + V + 1)
 
 so the failure weight of s is log10(m / (c(s) + m)), and all words together, known or not, have mass 1.
-`BackoffAutomaton` holds it as a whole, for small corpora. The distributed form never does: texts are put
-into blocks; a block asks for the counts of just the n-grams that its texts meet (sorted, packed hashes, dealt
-by hash range, counted once over all blocks, and sent back), which are the arcs its texts can follow, and
-then its texts run over those arcs from left to right, the state being carried from token to token.
+No task holds the whole automaton: texts are put into blocks; a block asks for the counts of just the n-grams
+that its texts meet (sorted, packed hashes, dealt by hash range, counted once over all blocks, and sent back),
+makes from them the part of the automaton that its texts can reach, states, arcs and failure arcs, and reads
+each text once from left to right, carrying the state and adding up the weights of the arcs it follows.
+N-grams are told apart by hashes of 63 bits.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,72 +27,104 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_edges, mix, need, pack, parts_for, trim, tune, unpack, word_hashes, words_of
+from .common import block_bytes, bucket_edges, mix, need, pack, parts_for, trim, tune, unpack, word_hashes, words_of
 
 ORDER = 3
 #: Weight, in counts, of the lower order's distribution at each order from the second on.
 PRIOR = 8.0
-#: Bits kept of the hash of an n-gram of two or more words, besides those that number the blocks: the same
-#: few of 100,000 n-grams collide at every size. Single words keep all 64.
-HASH_BITS = 37
-#: Bytes of the texts of a block; a longer text has a block of its own.
+#: Bytes of the texts of a block, at least; a longer text has a block of its own.
 BLOCK_BYTES = 9 << 20
+#: Lowest bit of a hash: given up for a mark.
+MARK = np.uint64(1)
 
 START, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class BackoffAutomaton:
-    """The whole automaton of a small corpus. train: lists of words."""
-
-    def __init__(self, train: list[list[str]], order: int = ORDER, prior: float = PRIOR):
-        self.order, self.prior, self.counts, self.starts = order, prior, Counter(), len(train)
-        for words in train:
-            seq = ["\x02", *words, "\x03"]
-            for i in range(1, len(seq)):
-                for k in range(1, min(order, i + 1) + 1):
-                    self.counts[tuple(seq[i - k + 1 : i + 1])] += 1
-        ones = {g: c for g, c in self.counts.items() if len(g) == 1}
-        self.n, self.v = sum(ones.values()), len(ones)
-        self.arcs = {g: self.weight(g) for g in self.counts}
-
-    def context(self, s: tuple) -> int:
-        return self.starts if s == ("\x02",) else self.counts[s]
-
-    def failure(self, s: tuple) -> float:
-        return math.log10(self.prior / (self.context(s) + self.prior))
-
-    def weight(self, gram: tuple) -> float:
-        if len(gram) == 1:
-            return math.log10((self.counts[gram] + 1) / (self.n + self.v + 1))
-        lower = 10 ** self.step(gram[1:-1], gram[-1])[0]
-        return math.log10((self.counts[gram] + self.prior * lower) / (self.context(gram[:-1]) + self.prior))
-
-    def step(self, state: tuple, token: str) -> tuple[float, tuple]:
-        """Log-probability of the token and the next state."""
-        lost = 0.0
-        while state and state + (token,) not in self.counts:
-            lost += self.failure(state)
-            state = state[1:]
-        gram = state + (token,)
-        known = gram in self.counts
-        if not known:
-            return lost + math.log10(1 / (self.n + self.v + 1)), ()
-        w = self.arcs[gram] if hasattr(self, "arcs") and gram in self.arcs else self.weight(gram)
-        return lost + w, gram[-(self.order - 1) :] if self.order > 1 else ()
-
-    def score(self, words: list[str]) -> float:
-        state, total = ("\x02",) if self.order > 1 else (), 0.0
-        for token in [*words, "\x03"]:
-            weight, state = self.step(state, token)
-            total += weight
+    """States, arcs and failure arcs that the texts of a block can reach.
+
+    grams[k]: for each event (a token to read) the number of the n-gram of k + 1 tokens that ends there, -1 for
+    none; counts[k]: how often training texts hold each of these n-grams; starts: training texts; tokens,
+    types: N and V. State 0 has read nothing that it remembers, state 1 the start of a text; then come the
+    known n-grams of fewer tokens than `order`.
+    """
+
+    def __init__(self, grams: list[np.ndarray], counts: list[np.ndarray], first: np.ndarray, starts: int, tokens: int, types: int, prior: float):
+        order = len(grams)
+        self.order, self.known = order, counts[0][grams[0]] > 0
+        state_of, size, fail_to = [], 2, [np.array([0, 0])]  # state_of[k]: of each n-gram of k + 1 tokens
+        held = [np.array([0, starts])]  # training counts of the states
+        for k in range(order - 1):
+            fine = counts[k] > 0
+            states = np.where(fine, size + np.cumsum(fine) - 1, -1)
+            state_of.append(states)
+            size += int(fine.sum())
+            held.append(counts[k][fine])
+            if not k:
+                fail_to.append(np.zeros(int(fine.sum()), np.int64))
+                continue
+            # without its first token: the n-gram of one token fewer that ends at the same event
+            shorter = np.zeros(len(fine), np.int64)
+            here = np.flatnonzero(grams[k] >= 0)
+            shorter[grams[k][here]] = state_of[k - 1][grams[k - 1][here]]
+            fail_to.append(shorter[fine])
+        fail_to, held = np.concatenate(fail_to), np.concatenate(held)
+        loss = np.log10(prior / (held + prior))
+        loss[0] = 0.0
+        # arcs[k] by n-gram of k + 1 tokens: where it leads, -1 if there is none, and its weight. The arc of an
+        # unknown word leads from state 0 to itself
+        self.to, self.weight, lower = [], [], None
+        for k in range(order):
+            n, here = len(counts[k]), np.flatnonzero(grams[k] >= 0)
+            if not k:
+                weight = np.log10((counts[0] + 1) / (tokens + types + 1))
+                to = np.maximum(state_of[0], 0) if order > 1 else np.zeros(n, np.int64)
+            else:
+                source, shorter = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                before = state_of[k - 1][grams[k - 1][here - 1]]  # without its last token; -1: not known
+                if k == 1:
+                    begins = np.zeros(len(grams[k]), bool)
+                    begins[first] = True
+                    before = np.where(begins[here], 1, before)
+                source[grams[k][here]], shorter[grams[k][here]] = np.maximum(before, 0), grams[k - 1][here]
+                weight = np.log10((counts[k] + prior * 10 ** lower[shorter]) / (held[source] + prior))
+                if k < order - 1:
+                    to = state_of[k]
+                else:  # of as many tokens as a state may have
+                    to = np.where(counts[k] > 0, state_of[k - 1][shorter], -1)
+                # an n-gram that is not known is read over the failure arc
+                weight = np.where(counts[k] > 0, weight, lower[shorter] + loss[source])
+            lower = weight
+            at = np.where(grams[k] >= 0, to[grams[k]], -1)
+            self.to.append(array("q", at.astype(np.int64).tobytes()))
+            self.weight.append(array("d", np.where(at >= 0, weight[grams[k]], 0.0).tobytes()))
+        self.fail_to, self.loss = array("q", fail_to.astype(np.int64).tobytes()), array("d", loss.tobytes())
+
+    def score(self, low: int, high: int) -> float:
+        """Log-probability of the text whose events are low to high - 1."""
+        to, weight, fail_to, loss, most = self.to, self.weight, self.fail_to, self.loss, self.order - 1
+        total, state, held = 0.0, min(1, most), min(1, most)  # held: tokens that the state remembers
+        for i in range(low, high):
+            then = to[held][i]
+            while then < 0:
+                total += loss[state]
+                state = fail_to[state]
+                held -= 1
+                then = to[held][i]
+            total += weight[held][i]
+            state = then
+            if not then:
+                held = 0
+            elif held < most:
+                held += 1
         return total
 
 
 class Events:
     """All token events of a block: hashes of the n-grams that end at each, by order."""
 
-    def __init__(self, table: pa.Table, order: int, drop: np.uint64):
+    def __init__(self, table: pa.Table, order: int):
         row = {c: table.column(c)[0] for c in ("docs", "train", "ends", "texts")}
         self.ids, self.train = row["docs"].values, row["train"].values.to_numpy(zero_copy_only=False)
         data = pa.py_buffer(zstandard.decompress(row["texts"].as_py()))
@@ -114,7 +146,7 @@ class Events:
             here = np.zeros(len(seq), np.uint64)
             here[1:] = mix(last[:-1] * STEP + seq[1:] + np.uint64(k)) if len(seq) else 0
             last = here
-            self.grams.append(here[self.at] >> drop << drop)
+            self.grams.append(here[self.at])
             self.valid.append(place >= k - 1)
         self.first_event = np.cumsum(self.words + 1) - (self.words + 1)
 
@@ -147,28 +179,29 @@ def bundles(size: int):
     return run
 
 
-def ask_counts(order: int, buckets: int, drop: np.uint64):
+def ask_counts(order: int, buckets: int):
     """A block's n-grams, sorted, with how often its training texts hold each, cut into hash ranges."""
     edges = bucket_edges(buckets)
     fields = [("block", pa.int64()), ("bucket", pa.int32()), *[(f"{x}{k}", pa.binary()) for k in range(1, order + 1) for x in "hc"], ("starts", pa.int64())]
     schema = pa.schema(fields)
 
     def run(table: pa.Table) -> pa.Table:
-        e = Events(table, order, drop)
+        e = Events(table, order)
         cols: dict[str, list] = {n: [] for n in schema.names}
         cols["block"], cols["bucket"] = [table.column("block")[0].as_py()] * buckets, list(range(buckets))
         cols["starts"] = [int(e.train.sum())] + [0] * (buckets - 1)
         trained = e.train[e.doc]
         for k in range(order):
             g = e.grams[k][e.valid[k]]
-            # the lowest bit, which the hash gives up, says whether the event is for training
-            g = np.sort((g & ~np.uint64(1)) | trained[e.valid[k]].astype(np.uint64))
-            t = (g & np.uint64(1)).astype(np.int64)
-            g &= ~np.uint64(1)
+            # the mark says whether the event is for training
+            g = np.sort((g & ~MARK) | trained[e.valid[k]].astype(np.uint64))
+            t = (g & MARK).astype(np.int64)
+            g &= ~MARK
             first = np.flatnonzero(np.diff(g, prepend=~g[:1])) if len(g) else np.zeros(0, np.int64)
             n = np.add.reduceat(t, first) if len(g) else t
-            g = g[first] if k == 0 else g[first] >> drop
-            cut = np.append(np.searchsorted(g, edges if k == 0 else edges >> drop), len(g))
+            g = g[first]
+            cut = np.append(np.searchsorted(g, edges), len(g))
+            g >>= MARK
             for b in range(buckets):
                 cols[f"h{k + 1}"].append(pack(g[cut[b] : cut[b + 1]]))
                 cols[f"c{k + 1}"].append(small(n[cut[b] : cut[b + 1]]))
@@ -224,44 +257,35 @@ def add_counts(order: int):
     return run, schema
 
 
-def run_automaton(order: int, prior: float, buckets: int, drop: np.uint64):
-    """Runs a block's texts over the arcs that the counts give."""
+def run_automaton(order: int, prior: float, buckets: int):
+    """Makes a block's automaton from the counts and reads the block's texts with it."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(table: pa.Table, counts: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
-        e = Events(table, order, drop)
+        e = Events(table, order)
         counts = counts.sort_by("bucket")
         v, n, starts = (int(sum(counts.column(x).to_pylist())) for x in ("distinct", "tokens", "starts"))
-        found = []
+        grams, held = [], []
         for k in range(order):
-            g = e.grams[k][e.valid[k]] & ~np.uint64(1)
-            own, inverse = np.unique(g, return_inverse=True)
-            edges = np.append(np.searchsorted(own if k == 0 else own >> drop, bucket_edges(buckets) if k == 0 else bucket_edges(buckets) >> drop), len(own))
-            parts = [unsmall(x, m) for x, m in zip(counts.column(f"c{k + 1}").to_pylist(), np.diff(edges).tolist())]
-            full = np.zeros(len(e.at), np.int64)
-            full[e.valid[k]] = np.concatenate(parts)[inverse]
-            found.append(full)
-        arc = base = np.log10((found[0] + 1) / (n + v + 1))
-        inside = np.ones(len(arc), bool)
-        inside[e.first_event] = False
-        for k in range(1, order):
-            # the state before each event, as an n-gram of k words: its count in training; 0 is no such state
-            state = np.zeros(len(arc), np.int64)
-            state[1:] = found[k - 1][:-1]
-            state[~inside] = starts if k == 1 else 0
-            state[~e.valid[k]] = 0
-            fail = np.log10(prior / (state + prior))
-            known = found[k] > 0
-            step = arc + fail  # the failure arc, and on from the shorter state
-            step[known] = np.log10((found[k][known] + prior * 10 ** arc[known]) / (state[known] + prior))
-            arc = np.where(e.valid[k], step, arc)
+            own, inverse = np.unique(e.grams[k][e.valid[k]] & ~MARK, return_inverse=True)
+            cut = np.append(np.searchsorted(own, bucket_edges(buckets)), len(own))
+            parts = [unsmall(x, m) for x, m in zip(counts.column(f"c{k + 1}").to_pylist(), np.diff(cut).tolist())]
+            numbers = np.full(len(e.at), -1, np.int64)
+            numbers[e.valid[k]] = inverse
+            grams.append(numbers)
+            held.append(np.concatenate(parts))
+        e.grams = e.valid = None
         at = e.first_event
+        automaton = BackoffAutomaton(grams, held, at, starts, n, v, prior)
+        base, known = np.log10((held[0][grams[0]] + 1) / (n + v + 1)), automaton.known.astype(np.int64)
+        del grams, held
         trim()
+        score = [automaton.score(a, b) for a, b in zip(at.tolist(), (at + e.words + 1).tolist())]
         return pa.table({
-            "doc_id": e.ids, "held_out": pa.array(~e.train), "n_tokens": pa.array(e.words + 1), "n_known": pa.array(np.add.reduceat((found[0] > 0).astype(np.int64), at)),
-            "train_tokens": pa.array(np.full(len(at), n)), "base_score": pa.array(np.add.reduceat(base, at)), "score": pa.array(np.add.reduceat(arc, at)),
+            "doc_id": e.ids, "held_out": pa.array(~e.train), "n_tokens": pa.array(e.words + 1), "n_known": pa.array(np.add.reduceat(known, at)),
+            "train_tokens": pa.array(np.full(len(at), n)), "base_score": pa.array(np.add.reduceat(base, at)), "score": pa.array(score, pa.float64()),
         }, schema=schema)
 
     return run
@@ -281,16 +305,15 @@ def score_texts(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds
     and text are not read.
     """
     tune(docs.sparkSession)
-    buckets = parts_for(docs, 5 << 20)
-    drop = np.uint64(64 - min(62, HASH_BITS + buckets.bit_length()))
+    buckets = parts_for(docs, block_bytes(docs, 5 << 20))
     fold_of = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     texts = need(docs, "doc_id", "text").select("doc_id", "text", (fold_of != fold).alias("train"))
-    rows = texts.mapInArrow(bundles(BLOCK_BYTES), "block long, docs array<long>, train array<boolean>, ends binary, texts binary").repartition(buckets, "block")
-    ask, asked = ask_counts(order, buckets, drop)
+    rows = texts.mapInArrow(bundles(block_bytes(docs, BLOCK_BYTES)), "block long, docs array<long>, train array<boolean>, ends binary, texts binary").repartition(buckets, "block")
+    ask, asked = ask_counts(order, buckets)
     add, answered = add_counts(order)
     wants = rows.groupBy("block").applyInArrow(ask, ddl(asked))
     counts = wants.groupBy("bucket").applyInArrow(add, ddl(answered))
-    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run_automaton(order, prior, buckets, drop), RESULT)
+    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run_automaton(order, prior, buckets), RESULT)
 
 
 def ddl(schema: pa.Schema) -> str:
