@@ -1,15 +1,18 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 From a bounded sample of labelled rows come the examples' vectors, over all their terms; idf counts every
-document of the corpus, and the more a term separates the labels the more it weighs. Examples stand in blocks;
-for each term and block the index holds the largest weight, whose products with the query bound any similarity
-in the block: the most promising blocks are read first, then those that can still hold one of the k nearest. Votes weighted by similarity, with a
-prior's weight for documents that no example is near, are calibrated by leaving each example out once.
+document of the corpus, and the more a term separates the labels the more it weighs. Alike examples stand in
+blocks; for each term and block the index holds the largest weight, whose products with the query bound any
+similarity in the block: the most promising blocks are read first, then those that can still hold one of the k
+nearest. Postings of a term that many examples hold are stored block by block as rows of weights, those of other
+terms as lists. Votes weighted by similarity, with a prior's weight for documents that no example is near, are
+calibrated by leaving each example out once. No row is among its own neighbours.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -20,12 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, need, trim, tune, words_of
+from .vectors import kmeans, squared
 
 #: Bound of the fitted model: labelled rows sampled. All their terms are kept.
 EXAMPLES = 12_000
 NEIGHBOURS, BLOCK = 15, 64
 #: Share of the blocks, those of largest bounds, that are read before any is left out.
 FIRST = 1 / 8
+#: Share of the examples from which on a term's postings are rows of weights.
+DENSE = 1 / 32
+#: Queries that are searched together.
+BATCH = 128
+#: More than rounding in single precision can change a similarity; what is that near the least is computed anew.
+SLACK = 1e-5
 #: Weight of the prior among the votes; a neighbour weighs its squared similarity.
 PRIOR_WEIGHT = 0.1
 EDGES = ".,;:!?\"'()[]{}<>«»¿¡…-–—*_/\\|"
@@ -56,44 +66,115 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks; vectors: lists of (term numbers, weights). A segment is what one block holds of
-    one term's list."""
+    """Unit vectors in blocks; vectors: lists of (ascending term numbers, weights > 0). A segment is what one
+    block holds of one term's list."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        # alike examples share blocks: by their heaviest term
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i)), np.int64)
-        term = np.concatenate([vectors[i][0] for i in self.order])
-        by_term = np.argsort(term, kind="stable")
-        term = term[by_term]
-        self.place = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(vectors[i][0]) for i in self.order])[by_term]
-        self.weight = np.concatenate([vectors[i][1] for i in self.order])[by_term]
-        own = self.place // block
-        start = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0))
-        self.start, self.size = start, np.diff(start, append=len(term))
-        self.block, self.most, self.blocks = own[start], np.maximum.reduceat(self.weight, start), -(-len(vectors) // block)
-        self.first = np.searchsorted(term[start], np.arange(terms + 1))
-
-    def scores(self, segments: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        size = self.size[segments]
-        at = ranges(self.start[segments], size)
-        return np.bincount(self.place[at], self.weight[at] * np.repeat(weights, size), minlength=len(self.order))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k vectors of largest positive cosine, (cosine, number), ties by number; exact."""
-        size = self.first[terms + 1] - self.first[terms]
-        segments, weights = ranges(self.first[terms], size), np.repeat(weights, size)
-        block = self.block[segments]
-        bound = np.bincount(block, self.most[segments] * weights, minlength=self.blocks)
-        read, score = np.zeros(self.blocks, bool), np.zeros(len(self.order))
-        read[np.argsort(-bound, kind="stable")[: max(1, int(self.blocks * FIRST))]] = True
+        n, self.width = len(vectors), block
+        term, weight = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
+        size = np.array([len(v[0]) for v in vectors])
+        often = np.flatnonzero(np.bincount(term, minlength=terms) >= max(2, n * DENSE))
+        self.slot = np.full(terms, -1, np.int32)
+        self.slot[often] = np.arange(len(often))
+        rows = np.zeros((n, len(often)), np.float32)
+        slot, own = self.slot[term], np.repeat(np.arange(n), size)
+        rows[own[slot >= 0], slot[slot >= 0]] = weight[slot >= 0]
+        self.order = self.arrange(rows, block)
+        # the vectors one after the other, in the order of their places
+        self.size = size[self.order]
+        self.start = np.cumsum(self.size) - self.size
+        at = ranges((np.cumsum(size) - size)[self.order], self.size)
+        self.term, self.weight = term[at], weight[at]
+        self.asked = np.zeros(terms)  # one query's weights by term
+        self.blocks = -(-n // block)
+        rows = np.concatenate([rows[self.order], np.zeros((self.blocks * block - n, len(often)), np.float32)])
+        self.rows = np.ascontiguousarray(rows.reshape(self.blocks, block, -1).transpose(0, 2, 1))
+        self.row_most = self.rows.max(2).T.copy() if len(often) else np.zeros((0, self.blocks), np.float32)
+        # lists of the other terms
+        rare = np.flatnonzero(self.slot[self.term] < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        listed, self.place = self.term[rare], np.repeat(np.arange(n, dtype=np.int32), self.size)[rare]
+        self.list_weight, within = self.weight[rare].astype(np.float32), self.place // block
+        first = np.flatnonzero((np.diff(listed, prepend=-1) != 0) | (np.diff(within, prepend=-1) != 0))
+        self.list_start, self.list_size = first, np.diff(first, append=len(listed))
+        self.block = within[first]
+        self.most = np.maximum.reduceat(self.list_weight, first) if len(first) else np.zeros(0, np.float32)
+        self.segment = np.searchsorted(listed[first], np.arange(terms + 1))
+
+    @staticmethod
+    def arrange(rows: np.ndarray, block: int) -> np.ndarray:
+        """Numbers of the vectors so that alike ones, by the terms that many hold, share blocks."""
+        groups = max(1, len(rows) // (4 * block))
+        if groups == 1 or not rows.shape[1]:
+            return np.arange(len(rows))
+        near = squared(rows, kmeans(rows[:: max(1, len(rows) // (40 * groups))], groups, rounds=4).astype(np.float32)).argmin(1)
+        return np.argsort(near, kind="stable")
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (terms, weights) the k vectors of largest positive cosine but those in its `without`:
+        (cosine, number), ties by number; exact."""
+        out: list[list[tuple[float, int]]] = []
+        without = without or [()] * len(queries)
+        for low in range(0, len(queries), BATCH):
+            out += self.search(queries[low : low + BATCH], k, without[low : low + BATCH])
+        return out
+
+    def search(self, queries: list, k: int, without: list) -> list[list[tuple[float, int]]]:
+        n, wide = len(self.order), self.blocks * self.width
+        q, lists = np.zeros((len(queries), self.rows.shape[1]), np.float32), []
+        bound = np.zeros((len(queries), self.blocks), np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            slot = self.slot[terms]
+            q[i, slot[slot >= 0]] = weights[slot >= 0]
+            terms, weights = terms[slot < 0], weights[slot < 0]
+            size = self.segment[terms + 1] - self.segment[terms]
+            segments, weights = ranges(self.segment[terms], size), np.repeat(weights, size).astype(np.float32)
+            lists.append((segments, weights, self.block[segments]))
+            bound[i] = np.bincount(lists[i][2], self.most[segments] * weights, minlength=self.blocks)
+        bound += q @ self.row_most + SLACK
+        score, least = np.zeros((len(queries), wide), np.float32), np.zeros(len(queries), np.float32)
+        read = bound >= -np.partition(-bound, max(0, int(self.blocks * FIRST) - 1), axis=1)[:, max(0, int(self.blocks * FIRST) - 1), None]
         for now in (read, ~read):
-            least = np.partition(score, -k - 1)[-k - 1] if len(score) > k else 0.0  # one may be `without`
-            use = (now & (bound > 0) & (bound >= least - 1e-12))[block]
-            score += self.scores(segments[use], weights[use])
-        least = np.partition(score, -k - 1)[-k - 1] if len(score) > k else 0.0
-        found = np.flatnonzero((score > 0) & (score >= least))
-        near = sorted((-float(score[i]), int(self.order[i])) for i in found)
-        return [(-s, i) for s, i in near if i != without][:k]
+            if now is not read:
+                least = np.array([self.least(s, k + len(w)) for s, w in zip(score, without)], np.float32)
+                now = now & (bound >= least[:, None] - SLACK)
+            for b in np.flatnonzero(now.any(0)).tolist():
+                who = np.flatnonzero(now[:, b])
+                score[who, b * self.width : (b + 1) * self.width] += q[who] @ self.rows[b]
+            for i, (segments, weights, block) in enumerate(lists):
+                use = now[i, block]
+                segments, weights = segments[use], weights[use]
+                size = self.list_size[segments]
+                at = ranges(self.list_start[segments], size)
+                score[i] += np.bincount(self.place[at], self.list_weight[at] * np.repeat(weights, size), minlength=wide)
+        return [self.exact(x, s[:n], k, w) for x, s, w in zip(queries, score, without)]
+
+    @staticmethod
+    def least(score: np.ndarray, k: int) -> float:
+        """A bound of the k-th largest from below: the k-th largest of the maxima of groups."""
+        if len(score) <= k:
+            return 0.0
+        if len(score) >= 64 * k:
+            score = score[: len(score) // 16 * 16].reshape(16, -1).max(0)
+        return float(np.partition(score, -k)[-k])
+
+    def exact(self, query: tuple, score: np.ndarray, k: int, without) -> list[tuple[float, int]]:
+        """The k nearest among those that single precision puts near or above the k-th."""
+        near = np.flatnonzero(score >= max(self.least(score, k + len(without)) - SLACK, 1e-30))
+        near = near[~np.isin(self.order[near], without)] if len(without) else near
+        if not len(near):
+            return []
+        near = near[score[near] >= self.least(score[near], k) - SLACK]
+        at = ranges(self.start[near], self.size[near])
+        self.asked[query[0]] = query[1]
+        found = np.add.reduceat(self.asked[self.term[at]] * self.weight[at], np.cumsum(self.size[near]) - self.size[near])
+        self.asked[query[0]] = 0
+        best = np.lexsort((self.order[near], -found))[:k]
+        return [(float(found[i]), int(self.order[near[i]])) for i in best if found[i] > 0]
+
+
+#: The index that a worker made last, by its model's name.
+_made: dict[str, BlockMaxIndex] = {}
 
 
 class Scorer:
@@ -102,13 +183,13 @@ class Scorer:
 
     def __init__(self, terms: pa.Array, weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, prior: float, held: tuple):
         self.terms, self.weights, self.ids, self.labels, self.prior, self.held = terms, weights, ids, labels, prior, held
-        self.slope, self.offset, self.index = 1.0, 0.0, None
+        self.slope, self.offset, self.name = 1.0, 0.0, uuid.uuid4().hex
 
     def __getstate__(self) -> dict:
         ends, term, times = self.held
         times = times.astype(np.min_scalar_type(int(times.max(initial=0))))
         packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(term, prepend=np.int32(0)), times)]
-        return {**vars(self), "index": None, "held": (ends, *packed, times.dtype.str)}
+        return {**vars(self), "held": (ends, *packed, times.dtype.str)}
 
     def __setstate__(self, state: dict) -> None:
         vars(self).update(state)
@@ -123,21 +204,31 @@ class Scorer:
         w = (1 + np.log(times)) * self.weights[terms]
         return terms, w / np.linalg.norm(w)
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, list]:
-        if self.index is None:
-            self.index = BlockMaxIndex(self.vectors(), len(self.terms))
-        near = self.index.nearest(terms, weights, NEIGHBOURS, without)
-        total = sum(s * s for s, _ in near)
-        return (sum(s * s * self.labels[i] for s, i in near) + PRIOR_WEIGHT * self.prior) / (total + PRIOR_WEIGHT), near
+    def votes(self, queries: list, without: list) -> list[tuple[float, list]]:
+        """(share of label 1 among the neighbours, neighbours) of each query."""
+        if self.name not in _made:
+            _made.clear()
+            _made[self.name] = BlockMaxIndex(self.vectors(), len(self.terms))
+        out = []
+        for near in _made[self.name].nearest(queries, NEIGHBOURS, without):
+            total = sum(s * s for s, _ in near)
+            out.append(((sum(s * s * self.labels[i] for s, i in near) + PRIOR_WEIGHT * self.prior) / (total + PRIOR_WEIGHT), near))
+        return out
+
+    def same(self, ids: list) -> list[list[int]]:
+        """For each doc_id the numbers of the examples that are this row: they have no vote on it."""
+        by: dict[int, list[int]] = {}
+        for i, doc in enumerate(self.ids.tolist()):
+            by.setdefault(doc, []).append(i)
+        return [by.get(x, []) for x in ids]
 
     def calibrated(self, vote: float) -> float:
         x = self.slope * math.log(max(vote, 1e-9) / max(1 - vote, 1e-9)) + self.offset
         return 1 / (1 + math.exp(-min(max(x, -40), 40)))
 
-    def calibrate(self) -> None:
-        """Logistic fit of the labels on the log-odds of votes with each example left out."""
-        v = np.array([self.vote(*x, without=i)[0] for i, x in enumerate(self.vectors())])
-        y = self.labels[: len(v)].astype(float)
+    def calibrate(self, v: np.ndarray) -> None:
+        """Logistic fit of the labels on the log-odds of votes v, each example's without its own row."""
+        y = self.labels.astype(float)
         # targets that a finite sample allows, and no examples of one label: the votes stand as they are
         pos, neg = y.sum(), len(y) - y.sum()
         if not pos or not neg:
@@ -233,8 +324,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, examples: int = EXAM
     scorer = Scorer(vocabulary, weights, np.array([r.doc_id for r in with_terms], np.int64), np.array([r.toxic for r in with_terms], np.int64), prior, held)
     del rows, with_terms
     if len(scorer.ids):
-        scorer.calibrate()
-    scorer.index = None
+        sent, n = docs.sparkSession.sparkContext.broadcast(scorer), len(scorer.ids)  # bounded by the examples
+
+        def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vectors, model = sent.value.vectors(), sent.value
+            for b in batches:
+                i = b.column(0).to_numpy()
+                votes = model.votes([vectors[x] for x in i], model.same(model.ids[i].tolist()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v for v, _ in votes], pa.float64())], ["id", "vote"])
+
+        voted = docs.sparkSession.range(0, n, 1, min(16, n // 256 + 1)).mapInArrow(left_out, "id long, vote double").toArrow().sort_by("id")
+        scorer.calibrate(voted.column("vote").to_numpy())
     return scorer
 
 
@@ -242,26 +342,27 @@ RESULT = "doc_id long, held_out boolean, score double, predicted int, evidence a
 EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
 
-def score_rows(scorer: Scorer | None, texts: pa.Array) -> tuple[list[float], list[list[tuple]]]:
+def score_rows(scorer: Scorer | None, ids: pa.Array, texts: pa.Array) -> tuple[list[float], list[list[tuple]]]:
     """Scores and evidence of texts. Texts without known terms have the prior of such examples."""
     if scorer is None:
         return [0.0] * len(texts), [[]] * len(texts)
-    base = scorer.prior
-    score, why = [base] * len(texts), [[] for _ in range(len(texts))]
+    score, why = [scorer.prior] * len(texts), [[] for _ in range(len(texts))]
     if len(scorer.ids):
         text, term, times = counts_of(texts, scorer.terms)
         cut = np.flatnonzero(np.diff(text, prepend=-1))
-        for a, b in zip(cut, np.append(cut[1:], len(text))):
-            vote, near = scorer.vote(*scorer.unit(term[a:b], times[a:b]))
-            score[text[a]] = scorer.calibrated(vote)
-            why[text[a]] = [(int(scorer.ids[i]), s, int(scorer.labels[i])) for s, i in near[:3]]
+        queries = [scorer.unit(term[a:b], times[a:b]) for a, b in zip(cut, np.append(cut[1:], len(text)))]
+        own = scorer.same(ids.to_pylist())
+        for t, (vote, near) in zip(text[cut].tolist(), scorer.votes(queries, [own[t] for t in text[cut].tolist()])):
+            score[t] = scorer.calibrated(vote)
+            why[t] = [(int(scorer.ids[i]), s, int(scorer.labels[i])) for s, i in near[:3]]
     return score, why
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, model: Scorer | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (the nearest three examples): one row per document.
 
-    Labels are learned only from rows whose crc32(doc_id as text) mod `folds` is not 0. Null and empty texts
+    Labels are learned only from rows whose crc32(doc_id as text) mod `folds` is not 0; the examples with a
+    row's own doc_id have no vote on it. Null and empty texts
     and texts without a known term have the share of label 1 among such examples, drawn to that among all by
     the weight of one example; without any labelled row every score is 0. Null labels are not learned from; rows that repeat are scored, and learned from, each
     by itself; a null doc_id counts as empty text for the fold and is never learned from; texts of any length
@@ -274,7 +375,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, model: Sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score, why = score_rows(sent.value, b.column(1))
+            score, why = score_rows(sent.value, b.column(0), b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array([[dict(zip(("doc_id", "similarity", "toxic"), x)) for x in w] for w in why], EVIDENCE)], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     rows = need(docs, "doc_id", "text").select("doc_id", "text", (fold_of("doc_id", folds) == 0).alias("held_out"))
@@ -285,11 +386,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, model: Sco
     """The rows of docs, with all their columns, that are not predicted toxic; as score_toxicity() otherwise."""
     tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, folds))
-    at = docs.columns.index("text")
+    at, doc = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([s < 0.5 for s in score_rows(sent.value, b.column(at))[0]], pa.bool_()))
+            yield b.filter(pa.array([s < 0.5 for s in score_rows(sent.value, b.column(doc), b.column(at))[0]], pa.bool_()))
         trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -296,23 +296,66 @@ def test_toxicity_learns_from_few_labels(spark):
     assert held not in {r.doc_id for r in toxicity.without_toxic(d, y).collect()}
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("dense", [1 / 32, 2.0])
+def test_block_max_search_is_exact(monkeypatch, dense):
+    monkeypatch.setattr(toxicity, "DENSE", dense)  # some terms as rows of weights; all as lists
     rng = np.random.default_rng(3)
     vectors = []
-    for _ in range(300):
+    for _ in range(700):
         t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
-        w = rng.random(len(t))
+        w = rng.random(len(t)) + 0.01
         vectors.append((t, w / np.linalg.norm(w)))
     vectors += vectors[:20]
     index = toxicity.BlockMaxIndex(vectors, 40, 16)
     m = np.zeros((len(vectors), 40))
     for i, (t, w) in enumerate(vectors):
         m[i, t] = w
-    for i in range(50):
+    got = index.nearest(vectors, 7, [[i] if i % 2 else [i, (i + 1) % 720] for i in range(720)])
+    for i in range(720):
         s = m @ m[i]
-        want = sorted(((-x, j) for j, x in enumerate(s) if x > 0 and j != i))[:7]
-        got = index.nearest(*vectors[i], 7, without=i)
-        assert [round(x, 9) for x, _ in got] == [round(-x, 9) for x, _ in want]
+        want = sorted((-round(x, 9), j) for j, x in enumerate(s) if x > 0 and j != i and (i % 2 or j != (i + 1) % 720))[:7]
+        assert [(-round(x, 9), j) for x, j in got[i]] == want
+
+
+def brute_scores(rows, labels):
+    """Scores by the definition: every example against every text, nothing left out but a row's own."""
+    terms = lambda t: collections.Counter(x for w in words(t) if (x := w.lower().strip(toxicity.EDGES)))
+    bags, df = [terms(t) for _, t in rows], collections.Counter()
+    for b in bags:
+        df.update(set(b))
+    learn = [(d, b, labels[d]) for (d, _), b in zip(rows, bags) if labels.get(d) is not None and zlib.crc32(str(d).encode()) % 5]
+    n, positive = len(learn), sum(y for *_, y in learn)
+    seen = [collections.Counter(t for _, b, y in learn if y == z for t in b) for z in (0, 1)]
+    known = sorted(set(seen[0]) | set(seen[1]))
+    evidence = toxicity.evidence_of(*(np.array([seen[z][t] for t in known], float) for z in (1, 0)), n, positive)
+    weight = {t: (math.log((len(rows) + 1) / (df[t] + 1)) + 1) * math.sqrt(1 + e) for t, e in zip(known, evidence)}
+
+    def unit(b):
+        v = {t: (1 + math.log(c)) * weight[t] for t, c in b.items() if t in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    examples, empty = sorted((d, unit(b), y) for d, b, y in learn if b), [y for _, b, y in learn if not b]
+    prior = (sum(empty) + positive / n) / (len(empty) + 1)
+
+    def vote(v, own):
+        near = sorted((-sum(x * e.get(t, 0) for t, x in v.items()), i) for i, (d, e, _) in enumerate(examples) if d != own)
+        near = [(-s, i) for s, i in near if s < 0][: toxicity.NEIGHBOURS]
+        return (sum(s * s * examples[i][2] for s, i in near) + 0.1 * prior) / (sum(s * s for s, _ in near) + 0.1)
+
+    model = toxicity.Scorer(None, None, None, np.array([y for *_, y in examples]), prior, None)
+    model.calibrate(np.array([vote(e, d) for d, e, _ in examples]))
+    return [model.calibrated(vote(v, d)) if (v := unit(b)) else prior for (d, _), b in zip(rows, bags)]
+
+
+def test_toxicity_equals_brute_force(spark, odd_rows):
+    rows, labels = [r[:2] for r in odd_rows if r[0] is not None], {}
+    rows = list({r[0]: r for r in rows}.values()) + [(5000 + i, t) for i, t, _ in labelled(random.Random(6), 300)]
+    labels = {d: y for (d, _), (_, _, y) in zip(rows[-300:], labelled(random.Random(6), 300))} | {r[0]: 0 for r in rows[:20]} | {rows[21][0]: None}
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    have = {r.doc_id: r.score for r in got.collect()}
+    assert [have[d] for d, _ in rows] == pytest.approx(brute_scores(rows, labels), abs=1e-9)
+    assert all(e.doc_id != r.doc_id for r in got.collect() for e in r.evidence)  # no row is its own neighbour
 
 
 def test_toxicity_without_labels(spark, docs):
