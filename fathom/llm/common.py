@@ -192,3 +192,11 @@ KINDS = {"doc_id": "long", "vec_id": "long", "text": "string", "toxic": "int"}
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name do no harm."""
     return df.select(*[(F.col(f"`{n}`").cast(KINDS[n]) if n in KINDS else F.col(f"`{n}`")).alias(n) for n in names])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

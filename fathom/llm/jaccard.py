@@ -7,10 +7,14 @@
 2. All shingles have one global order: rare first. If two documents have an overlap of t, the first n - t + l
    shingles of both share l at least. Each document picks its own l: a longer prefix meets more documents but
    asks for more shared shingles; estimated candidate cost decides. A pair with prefixes l and m must share
-   min(l, m).
-3. Documents whose prefixes share a shingle, directly or through others, form a group. A group is cut into
-   chunks; a task takes two chunks, counts shared prefix shingles, verifies the pairs that share enough and
-   returns only edges of a spanning forest, never the pairs.
+   min(l, m) in them. The first of these is among the first n - t + 1 of both: only those are indexed.
+3. The index lists the documents of each indexed shingle; equal lists are one. A task takes one list, or a
+   chunk of a long one with the documents that visit it, counts the shared prefix shingles of each pair,
+   verifies the pairs that share enough and returns only edges of a spanning forest, never the pairs. First,
+   every document is compared inside its two longest lists, chunk by chunk, which links most copies. Then
+   come the lists that still hold several components: there, documents of different components are compared,
+   each pair in the first list that it shares. Documents outside a long list's largest component visit all its
+   chunks; those inside stay in theirs.
 4. Connected components of the forests are the duplicate classes.
 
 Documents with equal sets are one class before step 3, so that copies cost one document.
@@ -23,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_edges, connected_components, materialise, mix, need, pack, parts_for, trim, tune, unpack, word_hashes, words_of
+from .common import block_bytes, bucket_edges, connected_components, free_name, materialise, mix, need, pack, parts_for, trim, tune, unpack, word_hashes, words_of
 
 WORDS = 5
 PERCENT = 80
@@ -37,9 +41,11 @@ HEAVY = 64
 #: Bits of a shingle's hash that travel.
 HASH_BITS = 52
 #: Longest prefix extension tried, and the cost of verifying one shingle against reading one posting.
-MOST_MATCHES, VERIFY_COST = 8, 0.05
-#: Documents of a chunk of a candidate group.
+MOST_MATCHES, VERIFY_COST = 16, 0.05
+#: Documents of a chunk of a list, on average, and of the visitors that are compared with it at a time.
 CHUNK = 128
+#: Lists of each document that are read before the others.
+FIRST = 2
 STEP = np.uint64(0x9E3779B97F4A7C15)
 DROP = np.uint64(64 - HASH_BITS)
 
@@ -69,8 +75,8 @@ class Block:
 
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("light", pa.binary()), ("light_doc", pa.binary()), ("heavy", pa.binary()), ("heavy_n", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("marks", pa.binary()), ("lists", pa.binary())])
 
-    def __init__(self, k: int, buckets: int):
-        self.k, self.buckets, self.edges = k, buckets, bucket_edges(buckets) >> DROP
+    def __init__(self, k: int, buckets: int, most: int = BLOCK_WORDS):
+        self.k, self.buckets, self.most, self.edges = k, buckets, most, bucket_edges(buckets) >> DROP
         self.ids, self.hashes, self.counts, self.size = [], [], [], 0
 
     def add(self, ids: pa.Array, texts: pa.Array) -> None:
@@ -114,15 +120,15 @@ class Block:
         ], schema=self.schema)
 
 
-def sketch(k: int, buckets: int):
+def sketch(k: int, buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, block = TaskContext.get().partitionId(), 0, Block(k, buckets)
+        part, seq, block = TaskContext.get().partitionId(), 0, Block(k, buckets, most)
         for b in batches:
             for i in range(0, b.num_rows, 128):
                 block.add(b.column(0).slice(i, 128), b.column(1).slice(i, 128))
-                if block.size >= BLOCK_WORDS or len(block.ids) >= BLOCK_DOCS:
+                if block.size >= most or len(block.ids) >= BLOCK_DOCS:
                     yield block.rows(part << 16 | seq)
-                    seq, block = seq + 1, Block(k, buckets)
+                    seq, block = seq + 1, Block(k, buckets, most)
         if block.ids:
             yield block.rows(part << 16 | seq)
         del block
@@ -165,7 +171,7 @@ def count_documents(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(out[f.name], f.type) if f.name in out else table.column(f.name).cast(f.type) for f in SHARED], schema=SHARED)
 
 
-PREFIXES = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("mark0", pa.int64()), ("mark1", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
+PREFIXES = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("mark0", pa.int64()), ("mark1", pa.int64()), ("matches", pa.int32()), ("spare", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
 
 
 def pick_matches(df: np.ndarray, spare: int, n: int) -> int:
@@ -201,42 +207,60 @@ def prefixes(percent: int):
         lone = sizes - np.diff(ends)  # shingles that no other document has come first in the order
         least = -(-sizes * percent // 100)
         spare = sizes - least + 1 - lone
-        matches, prefix, shared = [], [], []
+        matches, index, prefix, shared = [], [], [], []
         for i in range(len(ids)):
             a, b = int(ends[i]), int(ends[i + 1])
             if a == b or spare[i] <= 0:
-                matches.append(None), prefix.append(None), shared.append(None)
+                matches.append(None), index.append(None), prefix.append(None), shared.append(None)
                 continue
             m = pick_matches(df[a:b], int(spare[i]), int(sizes[i]))
             matches.append(m)
+            index.append(min(b - a, int(spare[i])))
             prefix.append(g[a : min(b, a + int(spare[i]) + m - 1)])
             shared.append(np.sort(g[a:b]).astype("<i8").tobytes())
         rid = block * 32768 + np.arange(len(ids))
         del g, doc, df, order
         trim()
-        return pa.table([pa.array(rid), pa.array(ids, pa.int64()), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(matches, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(shared, pa.binary())], schema=PREFIXES)
+        return pa.table([pa.array(rid), pa.array(ids, pa.int64()), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(matches, pa.int32()), pa.array(index, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(shared, pa.binary())], schema=PREFIXES)
 
     return run
 
 
-def link_chunks(percent: int):
-    """mapInArrow over rows sorted by (grp, i, j): links between the documents of two chunks, as forests."""
+#: What a task reads of each document; rows come by (list, chunk), those whose own chunk this is first.
+DEALT = ["list", "chunk", "own", "rid", "component", "minor", "n", "matches", "prefix", "shared", "lists"]
 
-    def forest(rid, chunk, n, matches, prefix, shared) -> list[tuple[int, int]]:
-        k = len(rid)
-        pairs = product(prefix)
-        fits = pairs >= np.minimum.outer(matches, matches)
+
+def link_lists(percent: int):
+    """mapInArrow over rows of DEALT: links between documents of different components, as forests. lists: of
+    each document, so that a pair is compared in the first that it shares; null: it is compared here."""
+
+    def forest(rows: list, inside: int) -> list[tuple[int, int]]:
+        """rows: first those of the chunk (`inside`: how many), then visitors; without visitors all pairs of the
+        chunk, else those of a visitor and one of the chunk."""
+        here, k = rows[0], len(rows)
+        component, n = np.array([r[4] for r in rows]), np.array([r[6] for r in rows], np.int64)
+        fits = (component[:, None] != component[None, :]) & np.tri(k, k, -1, dtype=bool)
         fits &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
-        fits &= np.tri(k, k, -1, bool)
-        if chunk.min() != chunk.max():
-            fits &= chunk[:, None] != chunk[None, :]
+        if inside < k:
+            fits[:inside], fits[:, inside:] = False, False
+            # two that visit each other's chunks are compared in the later one
+            own, minor = np.array([r[2] for r in rows]), np.array([r[5] for r in rows])
+            fits &= ~minor[None, :] | (own[:, None] < here[1])
+        if not fits.any():
+            return []
+        used = np.flatnonzero(fits.any(0) | fits.any(1))
+        fits, rows, n = fits[np.ix_(used, used)], [rows[i] for i in used], n[used]
+        matches = np.array([r[7] for r in rows])
+        fits &= product([r[8] for r in rows]) >= np.minimum.outer(matches, matches)
+        if fits.any() and here[10] is not None:
+            fits &= product([r[10][r[10] < here[0]] for r in rows]) == 0
         if not fits.any():
             return []
-        used = fits.any(0) | fits.any(1)
-        common = np.zeros((k, k), np.int64)
-        common[np.ix_(used, used)] = product([x for x, u in zip(shared, used) if u])
+        used = np.flatnonzero(fits.any(0) | fits.any(1))
+        fits, rows, n = fits[np.ix_(used, used)], [rows[i] for i in used], n[used]
+        common = product([np.frombuffer(r[9], "<i8") for r in rows])
         links = fits & (100 * common >= percent * (np.add.outer(n, n) - common))
-        root, out = list(range(k)), []
+        root, out = list(range(len(rows))), []
         for a, b in zip(*np.nonzero(links)):
             x, y = int(a), int(b)
             while root[x] != x:
@@ -245,30 +269,77 @@ def link_chunks(percent: int):
                 root[y] = y = root[root[y]]
             if x != y:
                 root[max(x, y)] = min(x, y)
-                out.append((int(rid[a]), int(rid[b])))
+                out.append((rows[a][3], rows[b][3]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, inside, visitors, edges = None, [], [], []
+
+        def meet() -> None:
+            if inside and visitors:
+                edges.extend(forest(inside + visitors, len(inside)))
+            visitors.clear()
 
-        def done():
-            cols = list(zip(*rows))
-            edges = forest(np.array(cols[0]), np.array(cols[1]), np.array(cols[2], np.int64), np.array(cols[3]), cols[4], cols[5])
-            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["src", "dst"])
+        def close() -> None:
+            meet()
+            if len(inside) > 1:
+                edges.extend(forest(inside, len(inside)))
+            inside.clear()
 
         for b in batches:
-            for r in zip(*[b.column(i).to_pylist() for i in range(9)]):
-                if r[:3] != key:
-                    if len(rows) > 1:
-                        yield done()
-                    key, rows = r[:3], []
-                rows.append((*r[3:7], np.array(r[7], np.int64), np.frombuffer(r[8], "<i8")))
-        if len(rows) > 1:
-            yield done()
+            for r in zip(*[b.column(i).to_pylist() for i in range(len(DEALT))]):
+                if r[:2] != key:
+                    close()
+                    key = r[:2]
+                r = (*r[:8], np.array(r[8], np.int64), r[9], None if r[10] is None else np.array(r[10], np.int64))
+                (inside if r[2] == r[1] else visitors).append(r)
+                if len(visitors) >= CHUNK:
+                    meet()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*edges) if edges else ([], []))], ["src", "dst"])
+            edges.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*edges) if edges else ([], []))], ["src", "dst"])
 
     return run
 
 
+def posting_lists(live: DataFrame) -> DataFrame:
+    """rid, list, df: the lists that each document is in, of those with two documents or more; of equal lists
+    one. Lists are numbered so that shorter ones come first."""
+    post = live.select("rid", F.explode(F.slice("prefix", F.lit(1), F.col("spare"))).alias("token"))
+    held = post.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(7))).alias("y")).where("df > 1")
+    number = F.shiftleft(F.least("df", F.lit((1 << 10) - 1)), HASH_BITS).bitwiseOR(F.col("token"))
+    kept = held.groupBy("df", "x", "y").agg(F.min("token").alias("token")).select("token", "df", number.alias("list"))
+    return post.join(kept, "token").select("rid", "list", "df")
+
+
+def candidate_links(live: DataFrame, percent: int, parts: int) -> DataFrame:
+    """src, dst: edges that connect all documents (rid, n, matches, spare, prefix, shared) which links connect."""
+    mine = materialise(posting_lists(live), "lists")
+    chunks = F.ceil(F.col("df") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("rid", "list"), F.col("chunks").cast("long")).cast("int")
+
+    def linked(rows: DataFrame, tag: str) -> DataFrame:
+        tasks = rows.join(live, "rid").select(*DEALT).repartition(parts, "list", "chunk").sortWithinPartitions("list", "chunk", F.col("own") != F.col("chunk"))
+        return materialise(tasks.mapInArrow(link_lists(percent), "src long, dst long"), tag)
+
+    longest = mine.withColumn("nth", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("df"), "list"))).where(F.col("nth") <= FIRST)
+    first = longest.withColumn("chunks", chunks).withColumn("own", own).select("rid", "list", "own", F.col("own").alias("chunk"), F.col("rid").alias("component"), F.lit(False).alias("minor"), F.lit(None).cast("array<long>").alias("lists"))
+    edges = linked(first, "first")
+
+    known = connected_components(edges)
+    named = mine.join(known.withColumnRenamed("id", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    several = named.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("list")
+    named = materialise(named.join(several, "list", "left_semi"), "several")
+    size = named.groupBy("list", "component").agg(F.count("*").alias("size"))
+    main = size.groupBy("list").agg(F.max(F.struct("size", "component")).alias("main")).select("list", F.col("main.component").alias("main"))
+    rows = named.join(main, "list").withColumn("minor", F.col("component") != F.col("main")).withColumn("chunks", chunks).withColumn("own", own)
+    visits = F.when(F.col("minor") & (F.col("chunks") > 1), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))
+    lists = mine.join(named.select("rid").distinct(), "rid", "left_semi").groupBy("rid").agg(F.array_sort(F.collect_list("list")).alias("lists"))
+    more = linked(rows.withColumn("chunk", F.explode(visits)).select("rid", "list", "own", "chunk", "component", "minor").join(lists, "rid"), "links")
+    return edges.unionByName(more)
+
+
 def product(sets: list[np.ndarray], wide: int = 8192) -> np.ndarray:
     """Sizes of all intersections, from 0/1 matrices a slab of columns at a time."""
     k = len(sets)
@@ -300,34 +371,18 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     spark = docs.sparkSession
     tune(spark)
-    buckets = parts_for(docs)
-    sent = need(docs, "doc_id", "text").mapInArrow(sketch(words, buckets), "bucket int, block long, light binary, light_doc binary, heavy binary, heavy_n binary, docs array<long>, sizes binary, marks binary, lists binary")
+    buckets, most = parts_for(docs, block_bytes(docs, 12 << 20)), max(BLOCK_WORDS, block_bytes(docs, 1) // 8)
+    sent = need(docs, "doc_id", "text").mapInArrow(sketch(words, buckets, most), "bucket int, block long, light binary, light_doc binary, heavy binary, heavy_n binary, docs array<long>, sizes binary, marks binary, lists binary")
     counted = sent.groupBy("bucket").applyInArrow(count_documents, "block long, light binary, light_doc binary, light_df binary, heavy binary, heavy_n binary, heavy_df binary, docs array<long>, sizes binary, marks binary, lists binary, bucket int")
-    rows = materialise(counted.groupBy("block").applyInArrow(prefixes(percent), "rid long, doc_id long, n long, mark0 long, mark1 long, matches int, prefix array<long>, shared binary"), "prefixes")
+    rows = materialise(counted.groupBy("block").applyInArrow(prefixes(percent), "rid long, doc_id long, n long, mark0 long, mark1 long, matches int, spare int, prefix array<long>, shared binary"), "prefixes")
 
     same = ["n", "mark0", "mark1"]
     lone = F.when(F.col("n") == 0, F.col("rid"))  # without shingles: a class of its own
     # of rows with the same least doc_id, any one stands for the class
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     classes = materialise(rows.groupBy(*same, lone.alias("lone")).agg(F.min("rid").alias("rid"), first.alias("first")).select(*same, "lone", "rid", F.col("first.doc_id").alias("least"), F.col("first.rid").alias("least_rid")), "classes")
-    live = rows.where("prefix IS NOT NULL").join(classes.select("rid"), "rid", "left_semi").select("rid", "n", "matches", "prefix", "shared")
-    live = materialise(live, "candidates")
-
-    post = live.select("rid", F.explode("prefix").alias("token"))
-    hubs = post.groupBy("token").agg(F.min("rid").alias("hub"), F.count("*").alias("df")).where("df > 1").select("token", "hub")
-    group = connected_components(post.join(hubs, "token").where("rid <> hub").select(F.col("rid").alias("src"), F.col("hub").alias("dst")).distinct())
-
-    size = group.groupBy("component").agg(F.count("*").alias("size"))
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("rid"), chunks.cast("long")).cast("int")
-    dealt = group.join(size, "component").select(F.col("id").alias("rid"), F.col("component").alias("grp"), chunks.alias("chunks"), mine.alias("chunk"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("rid", "grp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
-    # a pair inside one chunk is linked in the task (i, i) alone
-    tasks = dealt.join(live, "rid").select("grp", "i", "j", "rid", "chunk", "n", "matches", "prefix", "shared")
-    n = parts_for(docs)
-    edges = tasks.repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(link_chunks(percent), "src long, dst long")
-    linked = connected_components(materialise(edges, "links"))
+    live = rows.where("prefix IS NOT NULL").join(classes.select("rid"), "rid", "left_semi").select("rid", "n", "matches", "spare", "prefix", "shared")
+    linked = connected_components(candidate_links(materialise(live, "candidates"), percent, buckets))
 
     least = linked.withColumnRenamed("id", "rid").join(classes, "rid").groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("least_rid"))).alias("m"))
     best = linked.join(least, "component").select(F.col("id").alias("rid"), F.col("m.least").alias("top"), F.col("m.least_rid").alias("top_rid"))
@@ -341,10 +396,9 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, of which one is left of each class of jaccard_classes(): that
-    of the smallest doc_id (null last). docs must give the same rows in the same partitions when it is read
-    again, as files do."""
-    row = "fathom row number"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    of the smallest doc_id (null last). Columns may have any names."""
+    row = free_name(docs, "row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     classes = jaccard_classes(numbered.select(F.col(row).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(row), "component_id")
     ids = classes.join(numbered.select(row, "doc_id"), row)
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))).alias("first"))

@@ -63,7 +63,7 @@ def brute_classes(rows):
 
 
 def test_jaccard_classes(docs, odd_rows, monkeypatch):
-    monkeypatch.setattr(jaccard, "CHUNK", 4)  # groups of several chunks
+    monkeypatch.setattr(jaccard, "CHUNK", 4)  # lists of several chunks
     got = jaccard.jaccard_classes(docs)
     want, classes = brute_classes(odd_rows)
     assert rows_of(got.select("doc_id", "n_shingles", "component_id")) == want
@@ -83,6 +83,23 @@ def test_jaccard_near_the_threshold(spark):
     assert rows_of(got) == brute_classes(rows)[0]
 
 
+@pytest.mark.parametrize("chunk, first", [(128, 2), (5, 2), (3, 0)])
+def test_jaccard_of_pages_from_few_sentences(spark, monkeypatch, chunk, first):
+    # most pages share sentences with many others, few are alike; a crowd of near copies that chains link
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "FIRST", first)
+    rng = random.Random(12)
+    pool = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(12)) for _ in range(40)]
+    pages = [[rng.choice(pool) for _ in range(12)] for _ in range(160)]
+    for i in range(60):
+        p = list(pages[i % 7]) if i % 2 else list(pages[-1])
+        p[rng.randrange(12)] = rng.choice(pool)
+        pages.append(p)
+    rows = [(i, " ".join(p)) for i, p in enumerate(pages)]
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert rows_of(got) == brute_classes(rows)[0]
+
+
 def test_heavy_shingles_travel_as_counts(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HEAVY", 3)
     rows = [(i, "one two three four five six seven eight nine ten " + ("x" * (i % 3))) for i in range(40)]
