@@ -6,6 +6,7 @@ import hashlib
 import inspect
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -171,20 +172,28 @@ def brute_licence(text):
     import re
 
     norm = lambda s: re.sub(licences.WORD_GAP, " ", s).strip(" ")
-    units = {norm(x) for x in [low, *low.split("\n"), *re.split(licences.SENTENCE, low)]}
-    hits = []
-    for u in units:
-        w = u.split(" ")
-        g = {f"{a} {b}" for a, b in zip(w, w[1:])}
-        best = min(((-2.0 * len(g & set(t)) / (len(g) + len(t)), n) for n, t in ((n, licences.bigrams(t)) for n, t in licences.TEMPLATES.items()) if g), default=None)
-        if best and best[0] <= -0.8:
-            hits.append(best)
-    return (len(hits), min(hits)[1], -min(hits)[0]) if hits else (0, None, None)
+    pairs = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:])]
+    dice = lambda g, t: 2.0 * len(set(g) & set(t)) / (len(set(g)) + len(t))
+    row, found = pairs(norm(low).split(" ")), []
+    templates = {n: licences.bigrams(t) for n, t in licences.TEMPLATES.items()}
+    windows = {(n, i - at) for n, t in licences.TEMPLATES.items() for g, at in licences.anchors(t, 0.8) for i, x in enumerate(row) if x == g}
+    for n, start in windows:
+        found.append((-dice(row[max(start, 0) : start + len(licences.words_of(licences.TEMPLATES[n])) - 1], templates[n]), n))
+    for u in {norm(x) for x in [low, *low.split("\n"), *re.split(licences.SENTENCE, low)]} if windows else ():
+        if g := pairs(u.split(" ")):
+            found.append(min((-dice(g, t), n) for n, t in templates.items()))
+    hits = [f for f in found if f[0] <= -0.8]
+    return (len({n for _, n in hits}), min(hits)[1], -min(hits)[0]) if hits else (0, None, None)
+
+
+def wrapped(text, width, mark):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
 
 
 def test_licences(spark, docs, odd_rows):
     t = licences.TEMPLATES
     texts = [*t.values(), "Intro. " + t["MIT"] + " More prose follows here.\nAnd more.", "Licensed under the Apache Licence, Version 2.0.", t["GPL-3.0"].upper() + "\n" + t["CC-BY-NC-4.0"], t["ISC"].replace(" ", "\n"), "the mit license", "Released under the MIT License. Released under the MIT License"]
+    texts += [t["MIT-grant"][:-40], "x " * 30 + t["ISC-text"][60:] + " y" * 30, "license " * 3000]
     rows = [(i, x) for i, x in enumerate(texts)] + [r[:2] for r in odd_rows]
     want = sorted(((i, *brute_licence(x)) for i, x in rows), key=repr)
     assert rows_of(licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"))) == want
@@ -192,6 +201,18 @@ def test_licences(spark, docs, odd_rows):
     assert "Python" not in licences.scan_licences(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_wrapped_notices_inside_long_files(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice("def return value self import the of with open file".split()) for _ in range(150))
+    names, rows = sorted(licences.TEMPLATES), []
+    for i, n in enumerate(names):
+        for k, (width, mark) in enumerate(((70, ""), (76, "# "), (40, " * "), (60, "// "))):
+            rows.append((i * 10 + k, prose() + "\n\n" + wrapped(licences.TEMPLATES[n], width, mark) + "\n\n" + prose()))
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.dice == 1.0 and r.n_matches >= 1 for r in got.values())
+    assert {names[k // 10] for k, r in got.items() if r.licence != names[k // 10]} <= {n for n in names if any(m != n and set(licences.bigrams(licences.TEMPLATES[m])) <= set(licences.bigrams(licences.TEMPLATES[n])) for m in names)}
+
+
 # ------------------------------------------------------------ 5
 
 
