@@ -12,6 +12,10 @@ that its texts meet (sorted, packed hashes, dealt by hash range, counted once ov
 makes from them the part of the automaton that its texts can reach, states, arcs and failure arcs, and reads
 each text once from left to right, carrying the state and adding up the weights of the arcs it follows.
 N-grams are told apart by hashes of 63 bits.
+
+Counts are asked for in two rounds. The first also tells which n-grams other blocks hold too. An n-gram of the
+longest order whose first or last tokens form one that this block holds alone is in this block alone as well: the
+block knows its count, and does not ask in the second round.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -150,6 +155,22 @@ class Events:
             self.valid.append(place >= k - 1)
         self.first_event = np.cumsum(self.words + 1) - (self.words + 1)
 
+    def number(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of n-grams of k + 1 tokens: the distinct ones, ascending; for each event the number of its own, -1
+        for none; how often the block's training texts hold each."""
+        valid = self.valid[k]
+        own, inverse = np.unique(self.grams[k][valid] & ~MARK, return_inverse=True)
+        numbers = np.full(len(self.at), -1, np.int64)
+        numbers[valid] = inverse
+        return own, numbers, np.bincount(inverse, self.train[self.doc][valid], minlength=len(own)).astype(np.int64)
+
+    def unsure(self, k: int, numbers: np.ndarray, n: int, shorter: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+        """Which of the n n-grams of k + 1 tokens other blocks may hold: both of those of k tokens in them,
+        numbered by `shorter`, are there elsewhere."""
+        out, here = np.zeros(n, bool), np.flatnonzero(numbers >= 0)
+        out[numbers[here]] = elsewhere[shorter[here - 1]] & elsewhere[shorter[here]]
+        return out
+
 
 BUNDLE = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("ends", pa.binary()), ("texts", pa.binary())])
 
@@ -179,37 +200,72 @@ def bundles(size: int):
     return run
 
 
+def rounds(order: int) -> tuple[range, range]:
+    """What is asked for first and then: orders, from 0."""
+    return (range(order - 1), range(order - 1, order)) if order > 2 else (range(order), range(0))
+
+
+def wanted(ks: range) -> pa.Schema:
+    return pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(f"{x}{k + 1}", pa.binary()) for k in ks for x in "hc"], ("starts", pa.int64())])
+
+
+def by_bucket(g: np.ndarray, n: np.ndarray, buckets: int) -> tuple[list[bytes], list[bytes]]:
+    """Ascending n-grams and their counts, packed, by hash range."""
+    cut = np.append(np.searchsorted(g, bucket_edges(buckets)), len(g))
+    g = g >> MARK
+    return [pack(g[a:b]) for a, b in zip(cut, cut[1:])], [small(n[a:b]) for a, b in zip(cut, cut[1:])]
+
+
 def ask_counts(order: int, buckets: int):
-    """A block's n-grams, sorted, with how often its training texts hold each, cut into hash ranges."""
-    edges = bucket_edges(buckets)
-    fields = [("block", pa.int64()), ("bucket", pa.int32()), *[(f"{x}{k}", pa.binary()) for k in range(1, order + 1) for x in "hc"], ("starts", pa.int64())]
-    schema = pa.schema(fields)
+    """First round: a block's n-grams, sorted, with how often its training texts hold each, by hash range."""
+    ks = rounds(order)[0]
 
     def run(table: pa.Table) -> pa.Table:
-        e = Events(table, order)
-        cols: dict[str, list] = {n: [] for n in schema.names}
-        cols["block"], cols["bucket"] = [table.column("block")[0].as_py()] * buckets, list(range(buckets))
-        cols["starts"] = [int(e.train.sum())] + [0] * (buckets - 1)
+        e = Events(table, ks.stop)
+        cols: dict[str, list] = {"block": [table.column("block")[0].as_py()] * buckets, "bucket": list(range(buckets)), "starts": [int(e.train.sum())] + [0] * (buckets - 1)}
         trained = e.train[e.doc]
-        for k in range(order):
-            g = e.grams[k][e.valid[k]]
+        for k in ks:
             # the mark says whether the event is for training
-            g = np.sort((g & ~MARK) | trained[e.valid[k]].astype(np.uint64))
+            g = np.sort((e.grams[k][e.valid[k]] & ~MARK) | trained[e.valid[k]].astype(np.uint64))
             t = (g & MARK).astype(np.int64)
             g &= ~MARK
             first = np.flatnonzero(np.diff(g, prepend=~g[:1])) if len(g) else np.zeros(0, np.int64)
             n = np.add.reduceat(t, first) if len(g) else t
-            g = g[first]
-            cut = np.append(np.searchsorted(g, edges), len(g))
-            g >>= MARK
-            for b in range(buckets):
-                cols[f"h{k + 1}"].append(pack(g[cut[b] : cut[b + 1]]))
-                cols[f"c{k + 1}"].append(small(n[cut[b] : cut[b + 1]]))
+            cols[f"h{k + 1}"], cols[f"c{k + 1}"] = by_bucket(g[first], n, buckets)
         del e, trained, g, t, n
         trim()
-        return pa.table([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
+        return pa.table([pa.array(cols[f.name], f.type) for f in wanted(ks)], schema=wanted(ks))
 
-    return run, schema
+    return run
+
+
+def ask_more(order: int, buckets: int):
+    """Second round: of the longest n-grams those that other blocks may hold."""
+    k, schema = order - 1, wanted(rounds(order)[1])
+
+    def run(table: pa.Table, counts: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return schema.empty_table()
+        e = Events(table, order)
+        own, shorter, _ = e.number(k - 1)
+        elsewhere = answers(counts, k - 1, own, buckets)[1]
+        own, numbers, local = e.number(k)
+        ask = e.unsure(k, numbers, len(own), shorter, elsewhere)
+        h, c = by_bucket(own[ask], local[ask], buckets)
+        del e, own, numbers, local, shorter, elsewhere
+        trim()
+        return pa.table({"block": [table.column("block")[0].as_py()] * buckets, "bucket": pa.array(range(buckets), pa.int32()), f"h{order}": pa.array(h, pa.binary()), f"c{order}": pa.array(c, pa.binary()), "starts": [0] * buckets}, schema=schema)
+
+    return run
+
+
+def answers(counts: pa.Table, k: int, own: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the n-grams (ascending) that this block asked for the counts over all blocks, and whether another
+    block asked too."""
+    rows = counts.filter(pa.compute.is_valid(counts.column(f"c{k + 1}"))).sort_by("bucket")
+    cut = np.append(np.searchsorted(own, bucket_edges(buckets)), len(own))
+    x = np.concatenate([unsmall(x, m) for x, m in zip(rows.column(f"c{k + 1}").to_pylist(), np.diff(cut).tolist())])
+    return x >> 1, (x & 1).astype(bool)
 
 
 def small(n: np.ndarray) -> bytes:
@@ -229,16 +285,20 @@ def unsmall(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def add_counts(order: int):
-    """Adds a bucket's counts over all blocks and answers every block in the order in which it asked."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(f"c{k}", pa.binary()) for k in range(1, order + 1)], ("distinct", pa.int64()), ("tokens", pa.int64()), ("starts", pa.int64())])
+def answered(order: int) -> pa.Schema:
+    return pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(f"c{k}", pa.binary()) for k in range(1, order + 1)], ("distinct", pa.int64()), ("tokens", pa.int64()), ("starts", pa.int64())])
+
+
+def add_counts(order: int, ks: range):
+    """Adds a bucket's counts over all blocks and answers every block in the order in which it asked; counts of
+    other orders are null."""
 
     def run(table: pa.Table) -> pa.Table:
         asked = table.column("block").to_pylist()
-        cols: dict[str, list] = {"block": asked, "bucket": table.column("bucket").to_pylist()}
-        for k in range(1, order + 1):
-            h = [unpack(x) for x in table.column(f"h{k}").to_pylist()]
-            c = [unsmall(x, len(y)) for x, y in zip(table.column(f"c{k}").to_pylist(), h)]
+        cols: dict[str, list] = {"block": asked, "bucket": table.column("bucket").to_pylist(), **{x: [0] * len(asked) for x in ("distinct", "tokens")}}
+        for k in ks:
+            h = [unpack(x) for x in table.column(f"h{k + 1}").to_pylist()]
+            c = [unsmall(x, len(y)) for x, y in zip(table.column(f"c{k + 1}").to_pylist(), h)]
             ends = np.cumsum([0, *map(len, h)])
             g = np.concatenate(h)
             by = np.argsort(g, kind="stable")
@@ -247,14 +307,14 @@ def add_counts(order: int):
             first = np.flatnonzero(new)
             total = np.add.reduceat(np.concatenate(c)[by], first) if len(s) else np.zeros(0, np.int64)
             back = np.empty(len(g), np.int64)
-            back[by] = total[np.cumsum(new) - 1]
-            cols[f"c{k}"] = [small(back[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            if k == 1:
+            back[by] = (2 * total + (np.diff(np.append(first, len(s))) > 1))[np.cumsum(new) - 1] if len(s) else 0
+            cols[f"c{k + 1}"] = [small(back[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+            if not k:
                 cols["distinct"], cols["tokens"] = [int((total > 0).sum())] * len(asked), [int(total.sum())] * len(asked)
         cols["starts"] = [sum(table.column("starts").to_pylist())] * len(asked)
-        return pa.table([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
+        return pa.table([pa.array(cols.get(f.name, [None] * len(asked)), f.type) for f in answered(order)], schema=answered(order))
 
-    return run, schema
+    return run
 
 
 def run_automaton(order: int, prior: float, buckets: int):
@@ -265,17 +325,18 @@ def run_automaton(order: int, prior: float, buckets: int):
         if not table.num_rows:
             return schema.empty_table()
         e = Events(table, order)
-        counts = counts.sort_by("bucket")
         v, n, starts = (int(sum(counts.column(x).to_pylist())) for x in ("distinct", "tokens", "starts"))
         grams, held = [], []
         for k in range(order):
-            own, inverse = np.unique(e.grams[k][e.valid[k]] & ~MARK, return_inverse=True)
-            cut = np.append(np.searchsorted(own, bucket_edges(buckets)), len(own))
-            parts = [unsmall(x, m) for x, m in zip(counts.column(f"c{k + 1}").to_pylist(), np.diff(cut).tolist())]
-            numbers = np.full(len(e.at), -1, np.int64)
-            numbers[e.valid[k]] = inverse
+            own, numbers, local = e.number(k)
+            if k in rounds(order)[0]:
+                count, elsewhere = answers(counts, k, own, buckets)
+                held.append(count)
+            else:
+                ask = e.unsure(k, numbers, len(own), grams[k - 1], elsewhere)
+                local[ask] = answers(counts, k, own[ask], buckets)[0]
+                held.append(local)
             grams.append(numbers)
-            held.append(np.concatenate(parts))
         e.grams = e.valid = None
         at = e.first_event
         automaton = BackoffAutomaton(grams, held, at, starts, n, v, prior)
@@ -309,10 +370,12 @@ def score_texts(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds
     fold_of = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     texts = need(docs, "doc_id", "text").select("doc_id", "text", (fold_of != fold).alias("train"))
     rows = texts.mapInArrow(bundles(block_bytes(docs, BLOCK_BYTES)), "block long, docs array<long>, train array<boolean>, ends binary, texts binary").repartition(buckets, "block")
-    ask, asked = ask_counts(order, buckets)
-    add, answered = add_counts(order)
-    wants = rows.groupBy("block").applyInArrow(ask, ddl(asked))
-    counts = wants.groupBy("bucket").applyInArrow(add, ddl(answered))
+    once, more = rounds(order)
+    wants = rows.groupBy("block").applyInArrow(ask_counts(order, buckets), ddl(wanted(once)))
+    counts = wants.groupBy("bucket").applyInArrow(add_counts(order, once), ddl(answered(order)))
+    if more:
+        wants = rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(ask_more(order, buckets), ddl(wanted(more)))
+        counts = counts.unionByName(wants.groupBy("bucket").applyInArrow(add_counts(order, more), ddl(answered(order))))
     return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run_automaton(order, prior, buckets), RESULT)
 
 
