@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, need, tune
-from .vectors import kmeans, matrix, sample_of, squared, unit, usable
+from .vectors import fine, kmeans, matrix, sample_of, squared, unit, usable
 
 LEAST = 0.95
 TARGET = 0.999
@@ -166,7 +166,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, target: float = TA
     with a multiplicity. Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing. The index is fitted on at most `sample` rows and holds every row. component_id is the smallest
     vec_id that links reach, kept whether it is the row's own. Rows that repeat a vec_id are vectors of their
-    own; a null vec_id is never the smallest; an empty table gives no rows. Only vec_id and embedding are read.
+    own; a null vec_id is never the smallest and never kept; an empty table gives no rows. Only vec_id and embedding are read.
     """
     tune(vectors.sparkSession)
     good = usable(vectors)
@@ -176,8 +176,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, target: float = TA
     classes = materialise(classes.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     size = classes.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
     n, width = size.n, max(2, size.width or 0)
-    bad = need(vectors, "vec_id", "embedding").select("vec_id").exceptAll(good.select("vec_id"))
-    alone = bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    bad = need(vectors, "vec_id", "embedding").where(~fine("embedding"))
+    alone = bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not n:
         return alone
     words = min(MOST_WORDS, max(2, math.ceil(math.sqrt(n / CELL))))

@@ -4,6 +4,7 @@ A vector's direction is coded as a sum of full-dimensional codewords, one from e
 search over what the earlier codewords leave. The code, the vector's norm and the vector are stored. A query
 makes one table of its products with all codewords; a code's score is the sum of its entries times the norm.
 The best scored of a block are reranked there by exact products with the vectors, and the blocks' best merged.
+How many: as many as brute force over the sample shows to be needed for the target recall, for these vectors.
 Equal vectors are indexed once, with as many of their smallest ids as an answer can hold, and expanded after
 ranking.
 """
@@ -23,8 +24,11 @@ from .vectors import kmeans, lengths, matrix, sample_of, squared, unit, usable
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Rows that the codebooks are fitted on.
 SAMPLE = 8192
-#: Vectors of a block, queries of a block, and the share of a block's codes that is reranked (64 at least).
+#: Vectors of a block, queries of a block, and the least share of a block's codes that is reranked (64 at least).
 BLOCK, QUERIES, RERANK = 8192, 1024, 1 / 24
+#: Recall that the reranked share must reach on the sample, by this many of its vectors as queries; and by how
+#: much it is then enlarged.
+TARGET, PROBES, MARGIN = 0.98, 128, 1.25
 
 
 class AdditiveQuantiser:
@@ -82,6 +86,22 @@ class AdditiveQuantiser:
         return np.stack([queries.astype(np.float32) @ b.T for b in self.books], 1)
 
 
+def rerank_share(model: AdditiveQuantiser, sample: np.ndarray, top: int) -> float:
+    """Share of the sample's codes, by score, that holds TARGET of the `top` nearest of its own vectors."""
+    if len(sample) <= top + 1:
+        return 1.0
+    codes, norms = model.encode(unit(sample))[0].T.astype(np.intp), lengths(sample)
+    probes, ranks = np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(int), []
+    for i, lut in zip(probes, model.tables(unit(sample[probes]))):
+        score = sum(lut[m][codes[m]] for m in range(len(lut))) * norms
+        exact = sample @ sample[i]
+        exact[i] = -np.inf
+        rank = np.empty(len(sample), np.int64)
+        rank[np.argsort(-score, kind="stable")] = np.arange(len(sample))
+        ranks.append(rank[np.argpartition(-exact, top - 1)[:top]])
+    return min(1.0, max(RERANK, MARGIN * (float(np.quantile(np.concatenate(ranks), TARGET)) + 1) / len(sample)))
+
+
 def encode_rows(model: AdditiveQuantiser, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,34 +153,37 @@ def search_block(model: AdditiveQuantiser, width: int, top: int, share: float):
     return run
 
 
-def build_index(vectors: DataFrame, sample: int = SAMPLE, top: int = 20) -> tuple[DataFrame, DataFrame, AdditiveQuantiser | None, int]:
+def build_index(vectors: DataFrame, sample: int = SAMPLE, top: int = 20) -> tuple[DataFrame, DataFrame, AdditiveQuantiser | None, int, float]:
     """The usable rows (rid, vec_id, vec, k1, k2), the written index (k1, k2, ids, vec, code, norm) of their
-    distinct vectors with the `top` + 1 smallest vec_ids of each, the quantiser and the width."""
+    distinct vectors with the `top` + 1 smallest vec_ids of each, the quantiser, the width and the share to rerank."""
     tune(vectors.sparkSession)
     good = materialise(usable(vectors).where(F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("rid"), "vec_id", "vec"), "vectors")
     width = good.agg(F.max(F.size("vec")).alias("w")).first().w
     if not width:
-        return good, good, None, 0
+        return good, good, None, 0, 1.0
     # the same vector, whatever row it is in; 128 bits
     good = good.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vec")))).withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64(F.reverse("vec"), F.lit(7)))
     # Spark keeps to the limit before it shuffles, so large groups stay small
     first = good.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).where(F.col("nth") <= top + 1)
     classes = materialise(first.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.any_value("vec").alias("vec")), "classes")
-    model = AdditiveQuantiser(unit(sample_of(classes, sample, width, "k1")))
-    return good, materialise(classes.mapInArrow(encode_rows(model, width), "k1 long, k2 long, ids array<long>, vec array<double>, code binary, norm double"), "codes"), model, width
+    rows = sample_of(classes, sample, width, "k1")
+    model = AdditiveQuantiser(unit(rows))
+    index = materialise(classes.mapInArrow(encode_rows(model, width), "k1 long, k2 long, ids array<long>, vec array<double>, code binary, norm double"), "codes")
+    return good, index, model, width, rerank_share(model, rows, top)
 
 
-def search(vectors: DataFrame, every: int = 20, top: int = 20, share: float = RERANK) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, top: int = 20, share: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose vec_id is divisible by `every` the `top` other rows of
     largest inner product found, best first, ties by smaller vec_id; all of them if there are fewer.
 
     Scores are exact products in double precision; which rows are found is approximate (`share` of each
-    block's codes is reranked). Vectors that are null, empty, zero or hold null or non-finite components, and
+    block's codes is reranked, by default what rerank_share() finds). Vectors that are null, empty, zero or hold null or non-finite components, and
     rows without a vec_id, take no part; shorter vectors count as if zeros followed; rows that repeat are rows
     of their own; an empty table gives no rows. Only vec_id and embedding are read.
     """
     spark = vectors.sparkSession
-    good, index, model, width = build_index(vectors, top=top)
+    good, index, model, width, needed = build_index(vectors, top=top)
+    share = needed if share is None else share
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = good.where(F.col("vec_id") % every == 0).select(F.col("rid").alias("q_rid"), F.col("vec_id").alias("q_id"), F.col("vec").alias("q_vec"), F.col("k1").alias("q_k1"), F.col("k2").alias("q_k2"))

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from .common import need
 
 
-def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """vec_id, vec: rows whose vector is there, has only finite components and is not zero. Shorter vectors
-    count as if zeros followed."""
+def fine(column: str):
+    """Whether a vector is there, has only finite components and is not zero."""
     x = F.col(column)
-    fine = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
-    return need(vectors, "vec_id", column).where(fine).select("vec_id", x.cast("array<double>").alias("vec"))
+    held = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
+    return F.coalesce(held, F.lit(False))
+
+
+def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """vec_id, vec: rows whose vector is fine(). Shorter vectors count as if zeros followed."""
+    return need(vectors, "vec_id", column).where(fine(column)).select("vec_id", F.col(column).cast("array<double>").alias("vec"))
 
 
 def matrix(rows, width: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fathom.llm import near_vectors, nearest
 
@@ -55,7 +56,7 @@ def test_near_duplicates(spark, rows, monkeypatch, chunk):
 
 
 def test_search(spark, rows):
-    got = nearest.search(spark.createDataFrame(rows, SCHEMA), share=1 / 8).collect()
+    got = nearest.search(spark.createDataFrame(rows, SCHEMA)).collect()
     good = [r for r in rows if r[1] and all(v is not None and np.isfinite(v) for v in r[1]) and any(r[1])]
     m = np.zeros((len(good), 16))
     for i, r in enumerate(good):
@@ -78,6 +79,25 @@ def test_search(spark, rows):
     assert hit >= 0.9 * 20 * len(asked)
 
 
+@pytest.mark.parametrize("n, width", [(3000, 256), (6000, 64)])
+def test_recall_as_in_production(spark, n, width):
+    x = np.random.default_rng(8).normal(size=(n, width)).astype(np.float32).astype(np.float64)
+    got = nearest.search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)).collect()
+    found = {(r.query_id, r.vec_id) for r in got}
+    s = x[::20] @ x.T
+    s[np.arange(len(s)), np.arange(0, n, 20)] = -np.inf
+    want = {(20 * q, int(i)) for q, row in enumerate(s) for i in np.argsort(-row)[:20]}
+    assert len(found & want) >= 0.95 * len(want)
+
+
+def test_ties_rank_by_vec_id(spark):
+    rows = [(i, [1.0, float(i % 3), 0.0], 0) for i in range(90)]
+    got = nearest.search(spark.createDataFrame(rows, SCHEMA).withColumns({"score": F.lit(1), "block": F.lit(2), "rid": F.lit(3)})).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {1.0}
+    clash = spark.createDataFrame(rows, SCHEMA).withColumns({"n": F.lit(1), "rid": F.lit(2), "cell": F.lit(3)})
+    assert {(r.vec_id, r.component_id) for r in near_vectors.near_duplicates(clash).collect()} == {(i, i % 3) for i in range(90)}
+
+
 def test_search_finds_the_smallest_ids_of_many_copies(spark):
     x = np.random.default_rng(5).normal(size=(3000, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
