@@ -217,7 +217,7 @@ def prefixes(percent: int):
             matches.append(m)
             index.append(min(b - a, int(spare[i])))
             prefix.append(g[a : min(b, a + int(spare[i]) + m - 1)])
-            shared.append(np.sort(g[a:b]).astype("<i8").tobytes())
+            shared.append(pack(np.sort(g[a:b]).astype(np.uint64)))
         rid = block * 32768 + np.arange(len(ids))
         del g, doc, df, order
         trim()
@@ -258,7 +258,7 @@ def link_lists(percent: int):
             return []
         used = np.flatnonzero(fits.any(0) | fits.any(1))
         fits, rows, n = fits[np.ix_(used, used)], [rows[i] for i in used], n[used]
-        common = product([np.frombuffer(r[9], "<i8") for r in rows])
+        common = product([unpack(r[9]).astype(np.int64) for r in rows])
         links = fits & (100 * common >= percent * (np.add.outer(n, n) - common))
         root, out = list(range(len(rows))), []
         for a, b in zip(*np.nonzero(links)):
@@ -396,10 +396,15 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, of which one is left of each class of jaccard_classes(): that
-    of the smallest doc_id (null last). Columns may have any names."""
-    row = free_name(docs, "row")
-    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    classes = jaccard_classes(numbered.select(F.col(row).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(row), "component_id")
-    ids = classes.join(numbered.select(row, "doc_id"), row)
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))).alias("first"))
-    return numbered.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    of the smallest doc_id (null last). Rows without words all stay. Columns may have any names. Rows are known
+    by a hash of doc_id and text, so docs may be read twice in any order."""
+    key, nth = free_name(docs, "key"), free_name(docs, "nth")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    held = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    classes = jaccard_classes(keyed.where(held).select(F.col(key).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(key), "component_id").distinct()
+    ids = classes.join(keyed.where(held).select(key, "doc_id").distinct(), key)
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))).alias("first"))
+    left = keyed.where(held).join(first.select(F.col("first.key").alias(key)), key, "left_semi")
+    left = left.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1)  # of rows that repeat
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return left.select(*columns).unionByName(keyed.where(~held).select(*columns))
