@@ -38,6 +38,8 @@ BATCH = 128
 SLACK = 1e-5
 #: Weight of the prior among the votes; a neighbour weighs its squared similarity.
 PRIOR_WEIGHT = 0.1
+#: How strongly calibration is drawn to leaving the votes as they are: few labels change them little.
+RIDGE = 1.0
 EDGES = ".,;:!?\"'()[]{}<>«»¿¡…-–—*_/\\|"
 
 
@@ -239,8 +241,8 @@ class Scorer:
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
             w = p * (1 - p) + 1e-9
-            g = np.array([((p - t) * x).sum() + 1e-3 * (a - 1), (p - t).sum() + 1e-3 * b])
-            h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
+            g = np.array([((p - t) * x).sum() + RIDGE * (a - 1), (p - t).sum() + RIDGE * b])
+            h = np.array([[(w * x * x).sum() + RIDGE, (w * x).sum()], [(w * x).sum(), w.sum() + RIDGE]])
             step = np.linalg.solve(h, g)
             a, b = a - step[0], b - step[1]
             if np.abs(step).max() < 1e-9:
