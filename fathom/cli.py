@@ -64,13 +64,12 @@ def main(argv: list[str] | None = None) -> int:
         print(key_values(summary.crawl_totals(records).first().asDict()), end="")
     elif a.command in ("report", "index"):
         records = read_all(spark, [f"{d}/records" for d in a.dirs])
-        if a.uid is not None:
-            records = records.where(F.col("uid") == a.uid)
         if a.command == "report":
             folder = a.report_dir or (f"./{a.uid}" if a.uid is not None else "./all_users")
-            print(key_values(write_report(records, folder, a.now or int(time.time()), a.basis, a.bucket_details)), end="")
+            print(key_values(write_report(records, folder, a.now or int(time.time()), a.basis, a.bucket_details, a.uid)), end="")
         else:
-            print(key_values(PathIndex.build(records, a.index_dir).meta()), end="")
+            mine = records if a.uid is None else records.where(F.col("uid") == a.uid)
+            print(key_values(PathIndex.build(mine, a.index_dir).meta()), end="")
     elif a.command == "search":
         index = PathIndex(spark, a.index_dir)
         try:

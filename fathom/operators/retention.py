@@ -26,8 +26,8 @@ def candidates(records: DataFrame, root: str, basis: str | None = None, days: in
 
 
 def empty_directories(records: DataFrame, root: str, basis: str | None = None, days: int = 0, now: int = 0) -> DataFrame:
-    """Directories below root with nothing left in them, however deep, once the candidates are gone; deepest
-    first. Directories are those recorded and those that paths pass through."""
+    """Directories below root with nothing left in them, however deep, once the candidates are gone; depth
+    gives the order of removal. Directories are those recorded and those that paths pass through."""
     inside = records.where(under(F.col("path"), F.lit(root)))
     up = ancestors(F.col("path"))
     above = lambda rows: rows.select(F.explode(F.slice(up, 1, F.greatest(F.size(up) - 1, F.lit(0)))).alias("path"))

@@ -51,12 +51,14 @@ def bucket_pages(records: DataFrame, now: int, basis: str, levels: int) -> dict[
     return pages
 
 
-def write_report(records: DataFrame, folder: str, now: int, basis: str = "effective", levels: int = 0) -> dict:
+def write_report(records: DataFrame, folder: str, now: int, basis: str = "effective", levels: int = 0, uid: int | None = None) -> dict:
+    """Writes the pages, of one owner if uid is given; returns the totals, with all records as scanned."""
     os.makedirs(folder, exist_ok=True)
-    for name, text in ({"index.html": report_html(records, now, basis)} | bucket_pages(records, now, basis, levels)).items():
+    mine = records if uid is None else records.where(F.col("uid") == uid)
+    for name, text in ({"index.html": report_html(mine, now, basis)} | bucket_pages(mine, now, basis, levels)).items():
         with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
             f.write(text)
-    return summary.totals(records).first().asDict()
+    return summary.totals(records, uid).first().asDict()
 
 
 def key_values(row: dict) -> str:
