@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,37 +68,45 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks; vectors: lists of (ascending term numbers, weights > 0). A segment is what one
-    block holds of one term's list."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        n, self.width = len(vectors), block
-        term, weight = np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
-        size = np.array([len(v[0]) for v in vectors])
+    """Unit vectors in blocks; vectors: (ascending term numbers, weights > 0) one after the other. A segment is
+    what one block holds of one term's list. Each worker makes one, so what is needed only to make it goes as
+    soon as it can."""
+
+    def __init__(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
+        parts = list(vectors)
+        n, self.width = len(parts), block
+        size = np.array([len(v[0]) for v in parts])
+        term, weight = np.concatenate([v[0] for v in parts]), np.concatenate([v[1] for v in parts])
+        del parts
         often = np.flatnonzero(np.bincount(term, minlength=terms) >= max(2, n * DENSE))
         self.slot = np.full(terms, -1, np.int32)
         self.slot[often] = np.arange(len(often))
         rows = np.zeros((n, len(often)), np.float32)
-        slot, own = self.slot[term], np.repeat(np.arange(n), size)
-        rows[own[slot >= 0], slot[slot >= 0]] = weight[slot >= 0]
+        slot = self.slot[term]
+        rows[np.repeat(np.arange(n, dtype=np.int32), size)[slot >= 0], slot[slot >= 0]] = weight[slot >= 0]
+        del slot
         self.order = self.arrange(rows, block)
+        self.blocks = -(-n // block)
+        self.rows = np.zeros((self.blocks, len(often), block), np.float32)
+        for b in range(self.blocks):
+            here = self.order[b * block : (b + 1) * block]
+            self.rows[b, :, : len(here)] = rows[here].T
+        del rows
+        self.row_most = self.rows.max(2).T.copy() if len(often) else np.zeros((0, self.blocks), np.float32)
         # the vectors one after the other, in the order of their places
         self.size = size[self.order]
         self.start = np.cumsum(self.size) - self.size
         at = ranges((np.cumsum(size) - size)[self.order], self.size)
         self.term, self.weight = term[at], weight[at]
+        del term, weight, at
         self.asked = np.zeros(terms)  # one query's weights by term
-        self.blocks = -(-n // block)
-        rows = np.concatenate([rows[self.order], np.zeros((self.blocks * block - n, len(often)), np.float32)])
-        self.rows = np.ascontiguousarray(rows.reshape(self.blocks, block, -1).transpose(0, 2, 1))
-        self.row_most = self.rows.max(2).T.copy() if len(often) else np.zeros((0, self.blocks), np.float32)
         # lists of the other terms
         rare = np.flatnonzero(self.slot[self.term] < 0)
         rare = rare[np.argsort(self.term[rare], kind="stable")]
         listed, self.place = self.term[rare], np.repeat(np.arange(n, dtype=np.int32), self.size)[rare]
         self.list_weight, within = self.weight[rare].astype(np.float32), self.place // block
         first = np.flatnonzero((np.diff(listed, prepend=-1) != 0) | (np.diff(within, prepend=-1) != 0))
-        self.list_start, self.list_size = first, np.diff(first, append=len(listed))
+        self.list_start, self.list_size = first.astype(np.int32), np.diff(first, append=len(listed)).astype(np.min_scalar_type(-block - 1))
         self.block = within[first]
         self.most = np.maximum.reduceat(self.list_weight, first) if len(first) else np.zeros(0, np.float32)
         self.segment = np.searchsorted(listed[first], np.arange(terms + 1))
@@ -130,7 +138,7 @@ class BlockMaxIndex:
             q[i, slot[slot >= 0]] = weights[slot >= 0]
             terms, weights = terms[slot < 0], weights[slot < 0]
             size = self.segment[terms + 1] - self.segment[terms]
-            segments, weights = ranges(self.segment[terms], size), np.repeat(weights, size).astype(np.float32)
+            segments, weights = ranges(self.segment[terms], size).astype(np.int32), np.repeat(weights, size).astype(np.float32)
             lists.append((segments, weights, self.block[segments]))
             bound[i] = np.bincount(lists[i][2], self.most[segments] * weights, minlength=self.blocks)
         bound += q @ self.row_most + SLACK
@@ -198,9 +206,14 @@ class Scorer:
         ends, term, times, kind = self.held
         self.held = ends, np.cumsum(np.frombuffer(zlib.decompress(term), np.int32), dtype=np.int32), np.frombuffer(zlib.decompress(times), kind)
 
-    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of example i."""
         ends, term, times = self.held
-        return [self.unit(term[a:b], times[a:b].astype(np.int32)) for a, b in zip(np.append(0, ends[:-1]), ends)]
+        a, b = ends[i - 1] if i else 0, ends[i]
+        return self.unit(term[a:b], times[a:b].astype(np.int32))
+
+    def vectors(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return map(self.vector, range(len(self.ids)))
 
     def unit(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(times)) * self.weights[terms]
@@ -211,6 +224,7 @@ class Scorer:
         if self.name not in _made:
             _made.clear()
             _made[self.name] = BlockMaxIndex(self.vectors(), len(self.terms))
+            trim()
         out = []
         for near in _made[self.name].nearest(queries, NEIGHBOURS, without):
             total = sum(s * s for s, _ in near)
@@ -329,10 +343,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, examples: int = EXAM
         sent, n = docs.sparkSession.sparkContext.broadcast(scorer), len(scorer.ids)  # bounded by the examples
 
         def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vectors, model = sent.value.vectors(), sent.value
+            model = sent.value
             for b in batches:
                 i = b.column(0).to_numpy()
-                votes = model.votes([vectors[x] for x in i], model.same(model.ids[i].tolist()))
+                votes = model.votes([model.vector(x) for x in i], model.same(model.ids[i].tolist()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v for v, _ in votes], pa.float64())], ["id", "vote"])
 
         voted = docs.sparkSession.range(0, n, 1, min(16, n // 256 + 1)).mapInArrow(left_out, "id long, vote double").toArrow().sort_by("id")
