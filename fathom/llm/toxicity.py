@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ NEIGHBOURS, BLOCK = 15, 64
 #: Share of the blocks, those of largest bounds, that are read before any is left out.
 FIRST = 1 / 8
 #: Share of the examples from which on a term's postings are rows of weights.
-DENSE = 1 / 32
+DENSE = 1 / 16
 #: Queries that are searched together.
 BATCH = 128
 #: More than rounding in single precision can change a similarity; what is that near the least is computed anew.
@@ -53,9 +53,13 @@ def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def counts_of(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term number, times) of the listed terms in the texts, ascending."""
+    """(text, term number, times) of the listed terms, which are distinct, in the texts, ascending."""
     values, index, text = terms_of(texts)
-    number = pc.index_in(values, value_set=terms.cast(values.type)).fill_null(-1).to_numpy()
+    # the hash table is of the texts' few terms, not of the list
+    place = pc.index_in(terms, value_set=values.cast(terms.type)).fill_null(-1).to_numpy()
+    number = np.full(len(values), -1)
+    listed = np.flatnonzero(place >= 0)
+    number[place[listed]] = listed
     found = number[index] if len(index) else np.zeros(0, np.int64)
     key = text[found >= 0] * len(terms) + found[found >= 0]
     key, times = np.unique(key, return_counts=True)
@@ -72,12 +76,20 @@ class BlockMaxIndex:
     what one block holds of one term's list. Each worker makes one, so what is needed only to make it goes as
     soon as it can."""
 
-    def __init__(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         parts = list(vectors)
-        n, self.width = len(parts), block
-        size = np.array([len(v[0]) for v in parts])
-        term, weight = np.concatenate([v[0] for v in parts]), np.concatenate([v[1] for v in parts])
-        del parts
+        self.make(np.array([len(v[0]) for v in parts]), np.concatenate([v[0] for v in parts]), np.concatenate([v[1] for v in parts]), terms, block)
+
+    @classmethod
+    def of(cls, scorer: Scorer) -> BlockMaxIndex:
+        """The index of a model's examples."""
+        made = cls.__new__(cls)
+        made.make(np.diff(scorer.held[0], prepend=0), scorer.held[1], scorer.flat_weights(), len(scorer.terms), BLOCK)
+        return made
+
+    def make(self, size: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, block: int) -> None:
+        """size: terms of each vector; term, weight: all vectors', one after the other."""
+        n, self.width = len(size), block
         often = np.flatnonzero(np.bincount(term, minlength=terms) >= max(2, n * DENSE))
         self.slot = np.full(terms, -1, np.int32)
         self.slot[often] = np.arange(len(often))
@@ -96,12 +108,14 @@ class BlockMaxIndex:
         # the vectors one after the other, in the order of their places
         self.size = size[self.order]
         self.start = np.cumsum(self.size) - self.size
-        at = ranges((np.cumsum(size) - size)[self.order], self.size)
-        self.term, self.weight = term[at], weight[at]
-        del term, weight, at
+        bounds = [(b - z, b) for b, z in zip(np.cumsum(size)[self.order].tolist(), self.size.tolist())]
+        self.term = np.concatenate([term[a:b] for a, b in bounds])
+        del term
+        self.weight = np.concatenate([weight[a:b] for a, b in bounds])
+        del weight, bounds
         self.asked = np.zeros(terms)  # one query's weights by term
         # lists of the other terms
-        rare = np.flatnonzero(self.slot[self.term] < 0)
+        rare = np.flatnonzero(self.slot[self.term] < 0).astype(np.min_scalar_type(-len(self.term) - 1))
         rare = rare[np.argsort(self.term[rare], kind="stable")]
         listed, self.place = self.term[rare], np.repeat(np.arange(n, dtype=np.int32), self.size)[rare]
         self.list_weight, within = self.weight[rare].astype(np.float32), self.place // block
@@ -117,7 +131,8 @@ class BlockMaxIndex:
         groups = max(1, len(rows) // (4 * block))
         if groups == 1 or not rows.shape[1]:
             return np.arange(len(rows))
-        near = squared(rows, kmeans(rows[:: max(1, len(rows) // (40 * groups))], groups, rounds=4).astype(np.float32)).argmin(1)
+        centres = kmeans(rows[:: max(1, len(rows) // (40 * groups))], groups, rounds=4).astype(np.float32)
+        near = np.concatenate([squared(rows[i : i + 1024], centres).argmin(1) for i in range(0, len(rows), 1024)])
         return np.argsort(near, kind="stable")
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list | None = None) -> list[list[tuple[float, int]]]:
@@ -212,8 +227,13 @@ class Scorer:
         a, b = ends[i - 1] if i else 0, ends[i]
         return self.unit(term[a:b], times[a:b].astype(np.int32))
 
-    def vectors(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        return map(self.vector, range(len(self.ids)))
+    def flat_weights(self) -> np.ndarray:
+        """The weights of all examples' unit vectors, one after the other."""
+        out = np.empty(len(self.held[1]))
+        for i, end in enumerate(self.held[0].tolist()):
+            w = self.vector(i)[1]
+            out[end - len(w) : end] = w
+        return out
 
     def unit(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(times)) * self.weights[terms]
@@ -223,7 +243,7 @@ class Scorer:
         """(share of label 1 among the neighbours, neighbours) of each query."""
         if self.name not in _made:
             _made.clear()
-            _made[self.name] = BlockMaxIndex(self.vectors(), len(self.terms))
+            _made[self.name] = BlockMaxIndex.of(self)
             trim()
         out = []
         for near in _made[self.name].nearest(queries, NEIGHBOURS, without):
@@ -362,6 +382,9 @@ def score_rows(scorer: Scorer | None, ids: pa.Array, texts: pa.Array) -> tuple[l
     """Scores and evidence of texts. Texts without known terms have the prior of such examples."""
     if scorer is None:
         return [0.0] * len(texts), [[]] * len(texts)
+    if len(texts) > BATCH:  # few texts' words at a time
+        parts = [score_rows(scorer, ids.slice(i, BATCH), texts.slice(i, BATCH)) for i in range(0, len(texts), BATCH)]
+        return sum((p[0] for p in parts), []), sum((p[1] for p in parts), [])
     score, why = [scorer.prior] * len(texts), [[] for _ in range(len(texts))]
     if len(scorer.ids):
         text, term, times = counts_of(texts, scorer.terms)
