@@ -33,6 +33,26 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What a worker made last and keeps for its next task of the same step, by name.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """What make() returns, made once by each worker."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+        trim()
+    return _kept[name]
+
+
+def release() -> None:
+    """Lets go what a worker keeps for another step."""
+    if _kept:
+        _kept.clear()
+        trim()
+
+
 def tune(spark: SparkSession) -> None:
     """Keeps Arrow batches small, so that a worker never holds many long texts at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:

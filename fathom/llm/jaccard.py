@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_bytes, bucket_edges, connected_components, free_name, materialise, mix, need, pack, parts_for, trim, tune, unpack, word_hashes, words_of
+from .common import block_bytes, bucket_edges, connected_components, free_name, materialise, mix, need, pack, parts_for, release, trim, tune, unpack, word_hashes, words_of
 
 WORDS = 5
 PERCENT = 80
@@ -122,6 +122,7 @@ class Block:
 
 def sketch(k: int, buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, seq, block = TaskContext.get().partitionId(), 0, Block(k, buckets, most)
         for b in batches:
             for i in range(0, b.num_rows, 128):
@@ -192,6 +193,7 @@ def pick_matches(df: np.ndarray, spare: int, n: int) -> int:
 
 def prefixes(percent: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         col = lambda n: table.column(n).to_pylist()
         table = table.sort_by("bucket")
         own = next(i for i, x in enumerate(col("docs")) if x is not None)
@@ -273,6 +275,7 @@ def link_lists(percent: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         key, inside, visitors, edges = None, [], [], []
 
         def meet() -> None:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, materialise, need, trim, tune
+from .common import batch, materialise, need, release, trim, tune
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -100,6 +100,7 @@ def pieces_of(tokenizer: str, capacity: int = CAPACITY, end: int = END):
     last = np.array([end], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         enc, part, seen = encoder(tokenizer, "word"), TaskContext.get().partitionId(), [0] * (capacity + 1)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
         for b in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_edges, mix, need, pack, parts_for, trim, tune, unpack
+from .common import bucket_edges, mix, need, pack, parts_for, release, trim, tune, unpack
 
 LENGTH = 200
 GRAM = 128
@@ -201,6 +201,7 @@ def send_pairs(length: int, gram: int, buckets: int):
     edges = bucket_edges(buckets)
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         f, c, *_ = Texts(table).anchors(length, gram)
         f, c, n, _ = pairs_of(f, c)
         trim()

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, need, trim, tune, words_of
+from .common import kept, materialise, need, trim, tune, words_of
 from .vectors import kmeans, squared
 
 #: Bound of the fitted model: labelled rows sampled. All their terms are kept.
@@ -198,10 +198,6 @@ class BlockMaxIndex:
         return [(float(found[i]), int(self.order[near[i]])) for i in best if found[i] > 0]
 
 
-#: The index that a worker made last, by its model's name.
-_made: dict[str, BlockMaxIndex] = {}
-
-
 class Scorer:
     """The fitted model: of bounded size, sent to every worker. held: ends, term numbers and times of the
     examples' terms, one example after the other; workers get them packed and make the index themselves."""
@@ -241,12 +237,8 @@ class Scorer:
 
     def votes(self, queries: list, without: list) -> list[tuple[float, list]]:
         """(share of label 1 among the neighbours, neighbours) of each query."""
-        if self.name not in _made:
-            _made.clear()
-            _made[self.name] = BlockMaxIndex.of(self)
-            trim()
-        out = []
-        for near in _made[self.name].nearest(queries, NEIGHBOURS, without):
+        out, index = [], kept(self.name, lambda: BlockMaxIndex.of(self))
+        for near in index.nearest(queries, NEIGHBOURS, without):
             total = sum(s * s for s, _ in near)
             out.append(((sum(s * s * self.labels[i] for s, i in near) + PRIOR_WEIGHT * self.prior) / (total + PRIOR_WEIGHT), near))
         return out
@@ -382,9 +374,6 @@ def score_rows(scorer: Scorer | None, ids: pa.Array, texts: pa.Array) -> tuple[l
     """Scores and evidence of texts. Texts without known terms have the prior of such examples."""
     if scorer is None:
         return [0.0] * len(texts), [[]] * len(texts)
-    if len(texts) > BATCH:  # few texts' words at a time
-        parts = [score_rows(scorer, ids.slice(i, BATCH), texts.slice(i, BATCH)) for i in range(0, len(texts), BATCH)]
-        return sum((p[0] for p in parts), []), sum((p[1] for p in parts), [])
     score, why = [scorer.prior] * len(texts), [[] for _ in range(len(texts))]
     if len(scorer.ids):
         text, term, times = counts_of(texts, scorer.terms)
