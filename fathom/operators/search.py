@@ -51,6 +51,12 @@ def postings(paths: DataFrame) -> DataFrame:
     return paths.select("path_id", F.explode(path_trigrams(F.col("path"))).alias("trigram")).select("trigram", "path_id")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file, wherever it is stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 class PathIndex:
     """A written index: paths, postings in folders by trigram, and one row of counts."""
 
@@ -62,6 +68,13 @@ class PathIndex:
         spark = records.sparkSession
         mine = records if uid is None else records.where(F.col("uid") == uid)
         numbered(mine).write.mode("overwrite").parquet(f"{folder}/paths")
+        return cls.resume(spark, folder)
+
+    @classmethod
+    def resume(cls, spark: SparkSession, folder: str) -> PathIndex:
+        """Postings and counts from paths that are written already: what is left of a build that stopped."""
+        if not exists(spark, f"{folder}/paths/_SUCCESS"):
+            raise ValueError(f"no whole list of paths in {folder}")
         paths = spark.read.parquet(f"{folder}/paths")
         posts = postings(paths).withColumn("bucket", F.shiftright("trigram", BUCKET_SHIFT))
         # a trigram's list may be long: several files for each folder, sorted so that row groups can be skipped
@@ -72,8 +85,12 @@ class PathIndex:
         return cls(spark, folder)
 
     def meta(self) -> dict:
+        """The counts; 0 where none are written."""
+        none = {"indexed_paths": 0, "trigram_records": 0, "unique_trigrams": 0}
+        if not exists(self.spark, f"{self.folder}/meta/_SUCCESS"):
+            return none
         row = self.spark.read.json(f"{self.folder}/meta").first()
-        return row.asDict() if row else {"indexed_paths": 0, "trigram_records": 0, "unique_trigrams": 0}
+        return row.asDict() if row else none
 
     def candidates(self, term: str) -> DataFrame:
         """path_ids that hold all trigrams of the term."""
@@ -90,8 +107,8 @@ class PathIndex:
 
     def answer(self, term: str, skip: int = 0, limit: int = 50) -> str:
         """One JSON object, as the HTTP front end returns it."""
-        found = self.search(term).cache()
+        found, meta = self.search(term).cache(), self.meta()
         rows = [r.path for r in found.orderBy("path_id").offset(skip).limit(limit).collect()]
-        out = {"total": found.count(), "skip": skip, "limit": limit, "index_keys": self.meta()["unique_trigrams"], "indexed_paths": self.meta()["indexed_paths"], "paths": rows}
+        out = {"total": found.count(), "skip": skip, "limit": limit, "index_keys": meta["unique_trigrams"], "indexed_paths": meta["indexed_paths"], "paths": rows}
         found.unpersist()
         return json.dumps(out, ensure_ascii=False)

@@ -25,10 +25,13 @@ def of_owner(records: DataFrame, uid: int, shards: int = UID_SHARDS) -> DataFram
 
 def read_all(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Several crawls as one: a plain union; links are credited once over all of them."""
-    out = None
-    for folder in folders:
-        one = spark.read.parquet(folder)
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    if out is None:
+    return union_all([spark.read.parquet(folder) for folder in folders])
+
+
+def union_all(crawls: list[DataFrame]) -> DataFrame:
+    if not crawls:
         raise ValueError("no crawl to read")
+    out = crawls[0]
+    for one in crawls[1:]:
+        out = out.unionByName(one, allowMissingColumns=True)
     return out

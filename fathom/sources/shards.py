@@ -3,8 +3,10 @@ the path's bytes; a sidecar `.ckpt` lists record starts at about every 32 MiB.""
 
 from __future__ import annotations
 
+import mmap
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +39,7 @@ def decode(data: bytes, at: int, end: int, rows: int = 20_000) -> Iterator[pa.Re
         n, kind, _, mode, uid, gid, size, inode, major, minor, nlink, atime, mtime, ctime = ENTRY.unpack_from(data, at)
         if at + ENTRY.size + n > len(data):
             break
-        path = data[at + ENTRY.size : at + ENTRY.size + n].decode("utf-8", "replace")
+        path = data[at + ENTRY.size : at + ENTRY.size + n].decode("utf-8", "backslashreplace")
         out.append((path, chr(kind), signed(mode, 32), signed(uid, 64), signed(gid, 64), signed(size, 64), signed(inode, 64), signed(major, 32), signed(minor, 32), signed(nlink, 64), signed(atime, 64), signed(mtime, 64), signed(ctime, 64)))
         at += ENTRY.size + n
         if len(out) >= rows:
@@ -52,7 +54,7 @@ def encode(rows) -> bytes:
     for r in rows:
         path = r["path"].encode()
         if len(path) > 65535:
-            continue  # the format has 16 bits for a path's length
+            raise ValueError(f"the format has 16 bits for a path's length: {len(path)} bytes")
         u = lambda v, bits: (v or 0) & ((1 << bits) - 1)
         out.append(ENTRY.pack(len(path), ord((r.get("type") or "o")[0]), 0, u(r.get("mode"), 32), u(r["uid"], 64), u(r["gid"], 64), u(r["size"], 64), u(r["inode"], 64), u(r["dev_major"], 32), u(r["dev_minor"], 32), u(r["nlink"], 64), u(r["atime"], 64), u(r["mtime"], 64), u(r["ctime"], 64)) + path)
     return b"".join(out)
@@ -106,6 +108,7 @@ def write_shards(records: DataFrame, folder: str, shards: int) -> int:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[int, object] = {}
+        attempt = uuid.uuid4().hex  # two attempts of a task never write to one file
         for b in batches:
             by: dict[int, list] = {}
             for r in b.to_pylist():
@@ -114,17 +117,18 @@ def write_shards(records: DataFrame, folder: str, shards: int) -> int:
                 name = f"{folder}/uid_shard_{k:0{digits}d}.bin"
                 f = names.get(k)
                 if f is None:
-                    f = names[k] = open(name + ".part", "wb")
+                    f = names[k] = open(f"{name}.{attempt}.part", "wb")
                     f.write(header_bytes())
                 f.write(encode(rows))
         for k, f in names.items():
             f.close()
             name = f"{folder}/uid_shard_{k:0{digits}d}.bin"
-            with open(name + ".part", "rb") as g:
-                starts = scan(g.read())[0]
-            with open(name + ".ckpt", "wb") as g:
+            with open(f.name, "rb") as g, mmap.mmap(g.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                starts = scan(data)[0]
+            with open(f"{name}.ckpt.{attempt}.part", "wb") as g:
                 g.write(sidecar(starts))
-            os.replace(name + ".part", name)  # a task that is run again leaves whole files
+            os.replace(g.name, name + ".ckpt")
+            os.replace(f.name, name)  # a task that is run again leaves whole files
         yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.int32())], ["shard"])
 
     return records.withColumn("uid_shard", uid_shard(F.col("uid"), shards).cast("int")).repartition(shards, "uid_shard").mapInArrow(put, "shard int").count()

@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 import time
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathom import cli
 from fathom.operators import heatmap, retention, rollup, summary
-from fathom.operators.repair import judge, repair, shard_report, tail_summary
+from fathom.operators.repair import judge, repair, shard_report, tail_summary, unready
 from fathom.operators.search import PathIndex, term_of
 from fathom.serve import search_answer
 from fathom.sources.layout import of_owner, read_all, write_records
@@ -98,7 +99,9 @@ def test_repair(spark, tmp_path):
     assert report == {"uid_shard_0.bin": "ok", "uid_shard_1.bin": "truncate", "uid_shard_2.bin": "quarantine", "uid_shard_3.bin": "header_rewrite"}
     cut = tail_summary(shard_report(spark, str(tmp_path))).first()
     assert (cut.shards, cut.bytes_removed) == (1, len(good) - 3 - scan(good[:-3])[1])
-    repair(spark, str(tmp_path), dry_run=False)
+    assert unready(spark, str(tmp_path)) == sorted(report)  # no sidecars yet
+    assert not any(r["error"] for r in repair(spark, str(tmp_path), dry_run=False))
+    assert unready(spark, str(tmp_path)) == []
     after = {r.name: (r.status, r.records, r.sidecar_ok) for r in shard_report(spark, str(tmp_path)).collect()}
     assert after == {"uid_shard_0.bin": ("ok", 2, True), "uid_shard_1.bin": ("ok", 1, True), "uid_shard_3.bin": ("ok", 2, True)}
     assert (tmp_path / "corrupt_shards/uid_shard_2.bin").exists()
@@ -172,3 +175,69 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert cli.main(["search", "ab", "--index-dir", str(tmp_path / "idx")]) == 1
     assert cli.main(["delete", out, "/shown"]) == 0
     assert "would_delete=4" in capsys.readouterr().out
+
+
+def test_names_that_are_no_utf8(spark, tmp_path):
+    top = tmp_path / "odd"
+    top.mkdir()
+    with open(os.fsencode(top) + b"/bad\xff", "w"):
+        pass
+    os.mkdir(os.fsencode(top) + b"/dir\xfe")
+    with open(os.fsencode(top) + b"/dir\xfe/in", "w"):
+        pass
+    errors = spark.sparkContext.accumulator(0)
+    for spread in (1, 3):
+        paths = {r.path for r in crawl(spark, str(top), spread, errors).collect()}
+        assert paths == {str(top), f"{top}/bad\\xff", f"{top}/dir\\xfe", f"{top}/dir\\xfe/in"}
+    assert errors.value == 0
+    assert crawl(spark, str(tmp_path / "absent"), errors=errors).count() == 0 and errors.value == 1
+
+
+def test_long_paths_are_no_silent_loss():
+    keys = [c.split()[0] for c in COLS.split(", ")]
+    with pytest.raises(ValueError):
+        encode([dict(zip(keys, rec("/" + "x" * 70_000)))])
+
+
+def test_resumed_index(spark, tmp_path):
+    folder = str(tmp_path)
+    assert PathIndex(spark, folder).meta() == {"indexed_paths": 0, "trigram_records": 0, "unique_trigrams": 0}
+    with pytest.raises(ValueError):
+        PathIndex.resume(spark, folder)
+    whole = PathIndex.build(spark.createDataFrame([rec("/a/report"), rec("/b/other")], COLS), folder).meta()
+    shutil.rmtree(f"{folder}/postings"), shutil.rmtree(f"{folder}/meta")
+    assert PathIndex.resume(spark, folder).meta() == whole
+    assert [r.path for r in PathIndex(spark, folder).search("report").collect()] == ["/a/report"]
+
+
+def test_delete_with_a_question(spark, tmp_path, monkeypatch, capsys):
+    top, out = tmp_path / "data", str(tmp_path / "crawl")
+    (top / "a/b").mkdir(parents=True)
+    for name, age in (("a/b/old", 200), ("a/b/touched", 200), ("new", 0)):
+        (top / name).write_text("x")
+        os.utime(top / name, (time.time() - age * 86400,) * 2)
+    (top / "c").mkdir()
+    (top / "c/old").write_text("x")
+    os.utime(top / "c/old", (0, 0))
+    assert cli.main(["crawl", str(top), out, "--shards", "8"]) == 0
+    assert "errors=0" in capsys.readouterr().out
+    assert f"{os.getuid()} " in (tmp_path / "crawl/uid.txt").read_text()
+    rule = ["delete", out, str(top), "--basis", "mtime", "--days", "100"]
+    monkeypatch.setattr("builtins.input", lambda _: "no")
+    assert cli.main([*rule, "--execute"]) == 3 and (top / "c/old").exists()
+    os.utime(top / "a/b/touched")  # since the crawl
+    monkeypatch.setattr("builtins.input", lambda _: "YES")
+    assert cli.main([*rule, "--execute"]) == 1  # a/b is not empty after all
+    shown = capsys.readouterr().out
+    assert "deleted_files=2\nkept_files=1\nremoved_empty_dirs=1\nerrors=2\n" in shown
+    assert not (top / "c").exists() and not (top / "a/b/old").exists() and (top / "a/b/touched").exists() and (top / "new").exists()
+
+
+def test_packed_shards_on_the_command_line(spark, tmp_path, capsys):
+    folder = str(tmp_path / "shards")
+    write_shards(spark.createDataFrame([rec(f"/x/{i}", uid=i % 3, inode=i) for i in range(9)], COLS), folder, 4)
+    assert cli.main(["report", folder, "--uid", "2", "--report-dir", str(tmp_path / "rep"), "--now", str(NOW)]) == 0
+    assert "matched=3" in capsys.readouterr().out
+    assert cli.main(["repair", folder]) == 0
+    assert "not_ready=0" in capsys.readouterr().out
+    assert cli.owner("root") == 0
