@@ -1,12 +1,13 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
 One projection of built-in functions; no shuffle, no Python. Compared are a document as a whole, its lines, its
-sentences, and windows of its words: wherever one of a template's anchors stands (bigrams spread over the
-template), a window of the template's length is laid so that the anchor is where the template has it. Normalising
-drops line ends and comment marks, so a notice that is wrapped or commented out inside a long file is a window.
-An exact bound spares work: a unit that reaches the least coefficient t against a template of b bigrams has
-between t*b/(2-t) and (2-t)*b/t of its own; others are not compared. Documents without any anchor are left after
-one search of the normalised text.
+sentences, and windows of its words: wherever a bigram of a template stands, a window of the template's length is
+laid so that the bigram is where the template has it. Normalising drops line ends and comment marks, so a notice
+that is wrapped or commented out inside a long file is a window.
+Exact bounds spare work: a unit that reaches the least coefficient t against a template of b bigrams has between
+t*b/(2-t) and (2-t)*b/t of its own, and as many as the former of the template's. So a document is compared with
+the templates of which it holds that many bigrams, and its bigrams are made where it holds one of the words
+without which too many of a template's would be missing.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import need
 
 LEAST = 0.8
-#: Anchors of a template, at most.
+#: Anchors of a template in the SQL, at most.
 ANCHORS = 12
 #: Letters of a word that running text seldom has.
 TELLING = 6
@@ -59,8 +60,6 @@ TEMPLATES = {
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Twice as many places as a text can have.
-STARTS = 1 << 33
 WORD_GAP = "[^a-z0-9]+"
 SENTENCE = "\\n|[.!?]+[ \\t]+"
 
@@ -98,6 +97,20 @@ def anchors(text: str, least: float, most: int = ANCHORS) -> list[tuple[str, int
     return list((telling if len(telling) > 1 else found).items())
 
 
+def marks_of(text: str, least: float) -> list[str]:
+    """Words, the longest first, of which every unit or window that reaches `least` holds one: they stand in
+    more bigrams of the template than a match may lack."""
+    grams = bigrams(text)
+    touched: set[str] = set()
+    found, lack = [], bounds(len(grams), least)[2]
+    for word in sorted(set(words_of(text)), key=lambda w: (-len(w), w)):
+        new = {g for g in grams if word in g.split()} - touched
+        if new and len(touched) <= lack:
+            found.append(word)
+            touched |= new
+    return found
+
+
 def longest(gram: str) -> str:
     return max(gram.split(), key=len)
 
@@ -109,43 +122,43 @@ def quoted(text: str) -> str:
 def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """doc_id, n_matches, licence, dice: one row per document.
 
-    Compared are the whole text, its lines, its sentences and the windows that anchors place, of documents that
-    hold an anchor. n_matches counts the licences that a unit or window reaches with `least` (a unit counts for
+    Compared are the whole text, its lines, its sentences and the windows that the templates' bigrams place;
+    whichever bigrams a match lacks, it is found. n_matches counts the licences that a unit or window reaches with `least` (a unit counts for
     its best); licence and dice are of the best, by coefficient and then by name; null where there is none, as
     for null and empty texts. Texts are scanned whole; rows that repeat, with a doc_id or without, have a row
     each; an empty table gives none. Columns other than doc_id and text are not read. `templates` are few and
     part of the query; templates of one word never match.
     """
     grams = {name: g for name, text in sorted(templates.items()) if (g := bigrams(text))}
-    listed = ", ".join(f"named_struct('name', {quoted(n)}, 'grams', array({', '.join(map(quoted, g))}), 'low', {bounds(len(g), least)[0]}, 'high', {bounds(len(g), least)[1]}, 'length', {len(words_of(templates[n])) - 1})" for n, g in grams.items())
-    held = [(g, at, t) for t, n in enumerate(grams) for g, at in anchors(templates[n], least)]
-    places = ", ".join(f"named_struct('gram', {quoted(g)}, 'at', {at}, 't', {t})" for g, at, t in held)
-    signs = sorted({g for g, *_ in held})
+    strings = lambda x: f"array({', '.join(map(quoted, x))})"
+    row_of = {n: [f"{a} {b}" for a, b in zip(w, w[1:])] for n in grams if (w := words_of(templates[n]))}
+    listed = ", ".join(f"named_struct('name', {quoted(n)}, 'grams', {strings(g)}, 'places', {strings(row_of[n])}, 'low', {bounds(len(g), least)[0]}, 'high', {bounds(len(g), least)[1]})" for n, g in grams.items())
+    every = strings(sorted({x for g in grams.values() for x in g}))
+    marks = strings(sorted({w for n in grams for w in marks_of(templates[n], least)}))
     low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     plain = need(docs, "doc_id", "text").select("doc_id", low.alias("low"), F.concat(F.lit(" "), F.regexp_replace(low, WORD_GAP, " "), F.lit(" ")).alias("whole"))
-    marks = sorted({longest(g) for g in signs})
     norm = f"trim(regexp_replace(x, '{WORD_GAP}', ' '))"
     units = f"array_distinct(concat(array(trim(whole)), transform(split(low, '\\n'), x -> {norm}), transform(split(low, '{SENTENCE}'), x -> {norm})))".replace("\\", "\\\\")
     word_pairs = "transform(filter(transform(units, u -> split(u, ' ')), w -> size(w) > 1), w -> array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))))"
     # a shared bigram counts for both sides
-    matched = f"""filter(transform(pairs, g -> array_min(transform(filter(array({listed}), t -> size(g) BETWEEN t.low AND t.high),
+    matched = f"""filter(transform(pairs, g -> array_min(transform(filter(near, t -> size(g) BETWEEN t.low AND t.high),
         t -> named_struct('less', -2.0D * size(array_intersect(g, t.grams)) / (size(g) + size(t.grams)), 'name', t.name)))), m -> m.less <= -{least}D)"""
     row = "CASE WHEN size(words) > 1 THEN transform(sequence(0, size(words) - 2), i -> concat(words[i], ' ', words[i + 1])) ELSE array() END"
-    hits = f"filter(transform(row, (g, i) -> CASE WHEN array_contains(array({', '.join(map(quoted, signs))}), g) THEN named_struct('i', i, 'gram', g) END), h -> h IS NOT NULL)"
-    # (template, start) as one number, of which Spark finds the distinct ones by hashing
-    laid = f"array_distinct(flatten(transform({hits}, h -> transform(filter(array({places}), a -> a.gram = h.gram), a -> a.t * {STARTS}L + {STARTS // 2}L + h.i - a.at))))"
-    cut = f"""transform(laid, w -> named_struct('t', array({listed})[cast(w div {STARTS}L AS int)], 'at', cast(w % {STARTS}L - {STARTS // 2}L AS int)))"""
-    cut = f"""transform({cut}, w -> named_struct('t', w.t, 'start', greatest(w.at, 0), 'end', least(w.at + w.t.length, size(row))))"""
-    seen = f"""filter(transform(transform({cut}, w -> named_struct('t', w.t, 'g', array_distinct(slice(row, w.start + 1, w.end - w.start)))),
+    hits = "filter(transform(row, (g, i) -> CASE WHEN array_contains(t.grams, g) THEN named_struct('i', i, 'gram', g) END), h -> h IS NOT NULL)"
+    starts = f"array_distinct(flatten(transform({hits}, h -> filter(transform(t.places, (g, at) -> CASE WHEN g = h.gram THEN h.i - at END), s -> s IS NOT NULL))))"
+    cut = f"flatten(transform(near, t -> transform({starts}, s -> named_struct('t', t, 'start', greatest(s, 0), 'end', least(s + size(t.places), size(row))))))"
+    seen = f"""filter(transform(transform(laid, w -> named_struct('t', w.t, 'g', array_distinct(slice(row, w.start + 1, w.end - w.start)))),
         w -> named_struct('less', -2.0D * size(array_intersect(w.g, w.t.grams)) / (size(w.g) + size(w.t.grams)), 'name', w.t.name)), m -> m.less <= -{least}D)"""
     if not grams:
         return plain.select("doc_id", F.lit(0).cast("long").alias("n_matches"), F.lit(None).cast("string").alias("licence"), F.lit(None).cast("double").alias("dice"))
     return (
         plain.withColumn("words", F.expr("split(trim(whole), ' ')"))
-        .withColumn("row", F.expr(f"CASE WHEN arrays_overlap(words, array({', '.join(map(quoted, marks))})) THEN {row} END"))
-        .withColumn("row", F.expr(f"CASE WHEN arrays_overlap(row, array({', '.join(map(quoted, signs))})) THEN row END"))
-        .withColumn("units", F.expr(f"CASE WHEN row IS NOT NULL THEN {units} END")).withColumn("pairs", F.expr(word_pairs))
-        .withColumn("laid", F.expr(laid))
+        .withColumn("row", F.expr(f"CASE WHEN arrays_overlap(words, {marks}) THEN {row} END"))
+        .withColumn("held", F.expr(f"array_intersect(row, {every})"))
+        .withColumn("near", F.expr(f"filter(array({listed}), t -> size(held) >= t.low AND size(array_intersect(held, t.grams)) >= t.low)"))
+        .withColumn("near", F.expr("CASE WHEN size(near) > 0 THEN near END"))
+        .withColumn("units", F.expr(f"CASE WHEN near IS NOT NULL THEN {units} END")).withColumn("pairs", F.expr(word_pairs))
+        .withColumn("laid", F.expr(cut))
         .withColumn("matches", F.expr(f"concat({matched}, {seen})"))
         .withColumn("best", F.array_min("matches"))
         .select("doc_id", F.coalesce(F.size(F.array_distinct(F.transform("matches", lambda m: m["name"]))), F.lit(0)).cast("long").alias("n_matches"), F.col("best.name").alias("licence"), (-F.col("best.less")).alias("dice"))
@@ -154,7 +167,8 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
 
 
 def scan_sql(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str:
-    """The same in DuckDB's SQL, without the size bounds."""
+    """The same in DuckDB's SQL, without the bounds, for documents whose matches hold an anchor: it lays windows
+    by anchors alone, and leaves documents without any."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({q(n)}, [{', '.join(map(q, bigrams(t)))}], {len(words_of(t)) - 1})" for n, t in sorted(templates.items()) if bigrams(t))
     held = ", ".join(f"({q(n)}, {q(g)}, {at})" for n, t in sorted(templates.items()) for g, at in anchors(t, least))

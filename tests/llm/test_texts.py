@@ -213,6 +213,33 @@ def test_wrapped_notices_inside_long_files(spark):
     assert {names[k // 10] for k, r in got.items() if r.licence != names[k // 10]} <= {n for n in names if any(m != n and set(licences.bigrams(licences.TEMPLATES[m])) <= set(licences.bigrams(licences.TEMPLATES[n])) for m in names)}
 
 
+def test_notices_without_any_anchor(spark):
+    pairs = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:])]
+    signs = {g for t in licences.TEMPLATES.values() for g, _ in licences.anchors(t, 0.8)}
+    rows, want = [], []
+    for i, (name, text) in enumerate(sorted(licences.TEMPLATES.items())):
+        grams, words = set(licences.bigrams(text)), licences.words_of(text)
+        while signs & set(pairs(words)):
+            k = next(k for k, g in enumerate(pairs(words)) if g in signs)
+            # of two words that one change would rid of an anchor, the one that rids it of more
+            words[max(k, k + 1, key=lambda j: sum(g in signs for g in pairs(words[max(j - 1, 0) : j + 2])))] = f"zq{k}"
+        left = pairs(words)
+        dice = 2.0 * len(grams & set(left)) / (len(grams) + len(set(left)))
+        if dice >= 0.8:
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, "open file " * 90 + "\n" + wrapped(" ".join(words), 70, "# ") + "\n" + " close file" * 90)]
+            want += [(2 * i, name, dice), (2 * i + 1, name, dice)]
+    assert want  # as of Zlib
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == [k for k, *_ in want]
+    assert all(r.n_matches >= 1 and r.dice >= dice for r, (_, _, dice) in zip(got, want))
+
+
+def test_marks_stand_in_every_match():
+    for text in licences.TEMPLATES.values():
+        grams, marks = licences.bigrams(text), set(licences.marks_of(text, 0.8))
+        assert sum(bool(marks & set(g.split())) for g in grams) > licences.bounds(len(grams), 0.8)[2]
+
+
 # ------------------------------------------------------------ 5
 
 
