@@ -12,6 +12,8 @@ import functools
 import os
 from array import array
 
+from .common import kept
+
 #: Distinct pieces kept by a worker, in each of two halves.
 CACHE_PIECES = 500_000
 STOPS = ".,!?;:"
@@ -130,7 +132,6 @@ class CachedEncoder(dict):
         return list(map(self.encode_one, texts))
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str, kind: str) -> CachedEncoder:
-    """One for each worker process, kept between tasks."""
-    return CachedEncoder(path, kind)
+    """One for each worker process, kept between tasks until another step needs the memory."""
+    return kept(f"{kind} {path}", lambda: CachedEncoder(path, kind))

@@ -60,3 +60,34 @@ def test_query_equals_sql(spark, name):
     cols = sorted(df.columns)
     want = c.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, df.select(*cols).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_workers_keep_nothing_of_other_steps(spark):
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from fathom.llm import common, tokens, toxicity
+
+    enc = weakref.ref(tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), "word"))
+    assert tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), "word") is enc()
+    common.kept("index of a step", list)
+    gc.collect()
+    assert enc() is None
+    common.release()
+
+    rows = [(i, f"a{i % 7} b{i % 5} c") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    toxicity.without_toxic(docs, labels).count()
+
+    def held(batches):
+        import pyarrow as pa
+
+        from fathom.llm import common
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._kept)] * b.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
