@@ -40,20 +40,39 @@ def adjacent(seq: np.ndarray, lone: np.ndarray, top: int) -> tuple[np.ndarray, n
     that overlap themselves (aaa) only the first, third, ... of a run."""
     bits, place = (top - 1).bit_length(), (len(seq) - 1).bit_length()
     at = np.flatnonzero(~lone[:-1])
-    twin = at[seq[at] == seq[at + 1]]
+    a, b = seq.take(at), seq.take(at + 1)
+    twin = at[a == b]
     if len(twin):
         run = np.cumsum(np.diff(twin, prepend=-9) != 1)
         nth = np.arange(len(twin)) - np.searchsorted(run, run)
         drop = np.zeros(len(seq), bool)
         drop[twin[nth % 2 == 1]] = True
-        at = at[~drop[at]]
-    wide = seq.astype(np.uint64)
-    pairs = (wide[at] << np.uint64(bits)) | wide[at + 1]
+        stay = np.flatnonzero(~drop.take(at))
+        at, a, b = at.take(stay), a.take(stay), b.take(stay)
+    pairs = a.astype(np.uint64)
+    pairs <<= np.uint64(bits)
+    pairs |= b
     if 2 * bits + place > 64:  # does not fit beside the place
         order = np.argsort(pairs, kind="stable")
         return pairs[order], at[order], bits
-    both = np.sort((pairs << np.uint64(place)) | at.astype(np.uint64))
-    return both >> np.uint64(place), (both & np.uint64((1 << place) - 1)).astype(np.int64), bits
+    pairs <<= np.uint64(place)
+    pairs |= at.view(np.uint64)
+    pairs.sort()
+    return pairs >> np.uint64(place), (pairs & np.uint64((1 << place) - 1)).view(np.int64), bits
+
+
+#: More than any rank.
+NO_RANK = np.uint64((1 << 64) - 1)
+
+
+def ranks(pairs: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
+    """Different numbers for different pairs, smaller ones for larger sizes (63 at most)."""
+    wide = np.uint64((1 << 58) - 1)
+    if 2 * bits <= 58:  # an odd factor keeps different numbers different
+        return ((np.uint64(63) - size) << np.uint64(58)) | ((pairs * np.uint64(0x9E3779B97F4A7C15)) & wide)
+    out = np.empty(len(pairs), np.uint64)
+    out[np.lexsort((pairs * np.uint64(0x9E3779B97F4A7C15), -size.astype(np.int64)))] = np.arange(len(pairs))
+    return out
 
 
 def repair(ids: np.ndarray, sizes: np.ndarray):
@@ -83,34 +102,36 @@ def repair(ids: np.ndarray, sizes: np.ndarray):
         frequent = np.flatnonzero(count >= 2)
         if not len(frequent):
             break
-        # rank 0 is the most frequent; among about equal frequencies a hash decides, so that in a chain of
-        # overlapping pairs many are kept at once
-        size = np.floor(2 * np.log2(count[frequent]))
-        often = frequent[np.lexsort((pairs[first[frequent]] * np.uint64(0x9E3779B97F4A7C15), -size))]
-        rank = np.empty(len(often), np.int64)
-        rank[np.searchsorted(frequent, often)] = np.arange(len(often))
-        want = np.full(len(seq) + 1, len(often), np.int64)  # the last: no pair here
-        want[order[np.repeat(count >= 2, count)]] = np.repeat(rank, count[frequent])
-        at = np.flatnonzero(want < len(often))
+        # the smallest rank is the most frequent's; among about equal frequencies a hash decides, so that in a
+        # chain of overlapping pairs many are kept at once
+        times, n = count[frequent], len(frequent)
+        size = np.floor(2 * np.log2(times)).astype(np.uint64)
+        rank = ranks(pairs[first[frequent]], size, bits)
+        who, places = np.repeat(np.arange(n), times), order[np.repeat(count >= 2, count)]
+        want, pair = np.full(len(seq) + 1, NO_RANK), np.empty(len(seq), np.int32)  # the last: no pair here
+        want[places], pair[places] = rank.take(who), who
+        at = np.flatnonzero(want != NO_RANK)
         # equal pairs never stand side by side: a place is kept if no neighbouring place has a better rank
-        r, before, after = want[at], want[at - 1], want[at + 1]
-        before[at == 0] = len(often)
-        at = at[(r < before) & (r < after)]
-        uses = np.bincount(want[at], minlength=len(often))
-        at = at[uses[want[at]] >= 2]
+        r = want.take(at)
+        at = at.take(np.flatnonzero((r < want.take(at - 1, mode="wrap")) & (r < want.take(at + 1))))
+        mine = pair.take(at)
+        uses = np.bincount(mine, minlength=n)
+        enough = np.flatnonzero(uses.take(mine) >= 2)
+        at, mine = at.take(enough), mine.take(enough)
         used = np.flatnonzero(uses >= 2)
-        name = np.zeros(len(often), np.uint32)
+        name = np.zeros(n, np.uint32)
         name[used] = top + np.arange(len(used), dtype=np.uint32)
-        made = pairs[first[often[used]]]
+        made = pairs[first[frequent[used]]]
         left.append((made >> np.uint64(bits)).astype(np.uint32))
         right.append((made & np.uint64((1 << bits) - 1)).astype(np.uint32))
-        seq[at] = name[want[at]]
+        seq[at] = name.take(mine)
         doc_end[at] = doc_end[at + 1]
         lone[at], lone[at[at > 0] - 1] = False, False
         lone |= doc_end
         gone = np.ones(len(seq), bool)
         gone[at + 1] = False
-        seq, doc_end, lone = seq[gone], doc_end[gone], lone[gone]
+        left_over = np.flatnonzero(gone)
+        seq, doc_end, lone = seq.take(left_over), doc_end.take(left_over), lone.take(left_over)
         top += len(used)
         passes.append(top - base)
     ends = np.flatnonzero(doc_end) + 1

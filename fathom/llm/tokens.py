@@ -11,20 +11,24 @@ from __future__ import annotations
 import functools
 import os
 from array import array
+from codecs import charmap_decode
 
 from .common import kept
 
 #: Distinct pieces kept by a worker, in each of two halves.
 CACHE_PIECES = 500_000
-STOPS = ".,!?;:"
+#: Signs that are no letters, digits or apostrophes in any pattern: a run of them after a letter is a match.
+STOPS = ".,!?;:#$%&*"
 #: Below it, letters have been what they are in every version of Unicode, and stay as they are when composed.
 LATIN_END, DOTTED_I = "ɐ", "İ"
 
 
-def byte_signs() -> dict[int, int]:
-    """Byte-level vocabularies write byte b as the character b if that is visible, else as the next from 256."""
+def byte_signs() -> str:
+    """The character of each byte: byte-level vocabularies write byte b as the character b if that is visible,
+    else as the next from 256."""
     seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return dict(zip([b for b in range(256) if b not in seen], range(256, 512)))
+    other = dict(zip([b for b in range(256) if b not in seen], range(256, 512)))
+    return "".join(chr(other.get(b, b)) for b in range(256))
 
 
 class OddSpace(Exception):
@@ -101,7 +105,7 @@ class CachedEncoder(dict):
                 if low is not word and low != word:
                     ids = self.known(low)
                 if ids is None:
-                    signs = low if plain else low.encode().decode("latin-1").translate(self.signs)
+                    signs = low if plain else charmap_decode(low.encode(), "strict", self.signs)[0]
                     ids = self.ids_of("Ġ" + signs if lead else signs)
             return ids if len(word) == len(piece) else ids + self.stops(piece[len(word) :])
         return self.whole(lead + piece)
