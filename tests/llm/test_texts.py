@@ -462,6 +462,16 @@ def test_re_pair_at_the_size_of_a_shard():
         assert (shard.span(3, 123_456, 234_567) == ids[ends[2] + 123_456 : ends[2] + 234_567]).all()
 
 
+@pytest.mark.parametrize("bits", [17, 32])
+def test_re_pair_ranks(bits):
+    rng = np.random.default_rng(3)
+    pairs = np.unique(rng.integers(0, 1 << (2 * bits), 5000, dtype=np.uint64))
+    size = rng.integers(2, 40, len(pairs)).astype(np.uint64)
+    rank = repair_store.ranks(pairs, size, bits)
+    assert len(np.unique(rank)) == len(pairs) and rank.max() < repair_store.NO_RANK
+    assert (np.diff(size[np.argsort(rank)].astype(int)) <= 0).all()
+
+
 def test_re_pair_compresses():
     ids = np.tile(np.arange(50, dtype=np.uint32), 200)
     assert len(repair_store.to_shard(ids, np.array([5000, 5000]))) < len(ids)
@@ -491,6 +501,18 @@ def test_pieces_encode_like_whole_texts(path, kind, odd_rows):
         assert np.frombuffer(own.encode_one(t), np.uint32).tolist() == encode(t), t
 
 
+@pytest.mark.parametrize("path, kind", [(BYTE, "byte"), (WORD, "word")])
+def test_signs_after_words(path, kind):
+    rng, encode, own, whole = random.Random(8), library(path), CachedEncoder(path, kind), []
+    library_whole = own.whole
+    own.whole = lambda text: whole.append(text) or library_whole(text)
+    signs = ["***", "$$$", ".###", "%%%", ",&&&", "#$%&*"]
+    for _ in range(300):
+        t = " ".join("".join(rng.choice("abcdéñß") for _ in range(6)) + rng.choice(signs) for _ in range(4))
+        assert np.frombuffer(own.encode_one(t), np.uint32).tolist() == encode(t), t
+    assert not whole  # runs of signs are kept by themselves, words go to the model
+
+
 # ------------------------------------------------------------ 8
 
 
