@@ -102,9 +102,9 @@ def pieces_of(tokenizer: str, capacity: int = CAPACITY, end: int = END):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer, "word"), TaskContext.get().partitionId(), [0] * (capacity + 1)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
-        for b in batches:
+        for group in enc.encode_rows(batches):
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+            for doc, ids in zip(*group):
                 ids += last
                 for k, i in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[i : i + 4 * capacity]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, need, parts_for, trim, tune
+from .common import hoard, materialise, need, parts_for, trim, tune
 from .tokens import encoder
 
 MAGIC = b"FTHMRP02"
@@ -33,36 +33,41 @@ HEAD = struct.Struct("<8s6I")
 END = 2
 #: Ids of a shard, about; a longer document has a shard of its own.
 SHARD_IDS = 1 << 18
+#: Re-Pair closes its sequence up after a pass while one place in so many may begin a pair that occurs twice.
+LINK_BELOW = 6
 
 
-def adjacent(seq: np.ndarray, lone: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(pairs, places, bits): all pairs of neighbours but the lone ones, ascending by pair and place; of pairs
-    that overlap themselves (aaa) only the first, third, ... of a run."""
+#: More than any rank.
+NO_RANK = np.uint64((1 << 64) - 1)
+
+
+def ordered(seq: np.ndarray, at: np.ndarray, after: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(pairs, places, left out, bits): the pairs that begin at the places `at` and go on at `after`, ascending
+    by pair and place; of pairs that overlap themselves (aaa) the second, fourth, ... of a run are left out."""
     bits, place = (top - 1).bit_length(), (len(seq) - 1).bit_length()
-    at = np.flatnonzero(~lone[:-1])
-    a, b = seq.take(at), seq.take(at + 1)
-    twin = at[a == b]
+    a, b = seq.take(at), seq.take(after)
+    twin = np.flatnonzero(a == b)
     if len(twin):
-        run = np.cumsum(np.diff(twin, prepend=-9) != 1)
-        nth = np.arange(len(twin)) - np.searchsorted(run, run)
-        drop = np.zeros(len(seq), bool)
-        drop[twin[nth % 2 == 1]] = True
-        stay = np.flatnonzero(~drop.take(at))
-        at, a, b = at.take(stay), a.take(stay), b.take(stay)
+        nth, new = np.arange(len(twin)), np.ones(len(twin), bool)
+        np.not_equal(after.take(twin[:-1]), at.take(twin[1:]), out=new[1:])
+        nth -= np.maximum.accumulate(np.where(new, nth, 0))
+        twin = twin.take(np.flatnonzero(nth & 1))
+    out = at.take(twin)
     pairs = a.astype(np.uint64)
     pairs <<= np.uint64(bits)
     pairs |= b
     if 2 * bits + place > 64:  # does not fit beside the place
+        pairs, at = np.delete(pairs, twin), np.delete(at, twin)
         order = np.argsort(pairs, kind="stable")
-        return pairs[order], at[order], bits
+        return pairs[order], at[order], out, bits
     pairs <<= np.uint64(place)
     pairs |= at.view(np.uint64)
+    pairs[twin] = NO_RANK  # as large as any, so that they come last
     pairs.sort()
-    return pairs >> np.uint64(place), (pairs & np.uint64((1 << place) - 1)).view(np.int64), bits
-
-
-#: More than any rank.
-NO_RANK = np.uint64((1 << 64) - 1)
+    pairs = pairs[: len(pairs) - len(twin)]
+    places = pairs & np.uint64((1 << place) - 1)
+    pairs >>= np.uint64(place)
+    return pairs, places.view(np.int64), out, bits
 
 
 def ranks(pairs: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
@@ -75,13 +80,30 @@ def ranks(pairs: np.ndarray, size: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def counted(pairs: np.ndarray, places: np.ndarray, bits: int):
+    """Of ascending pairs: (places of those that occur once, places of the others, which of these pairs stands
+    there, these pairs, their ranks)."""
+    new = np.ones(len(pairs) + 1, bool)
+    np.not_equal(pairs[1:], pairs[:-1], out=new[1:-1])
+    once = new[1:] & new[:-1]
+    many = np.flatnonzero(~once)
+    first = new.take(many)
+    begin = np.flatnonzero(first)
+    kinds, times = pairs.take(many.take(begin)), np.diff(begin, append=len(many))
+    # the smallest rank is the most frequent's; among about equal frequencies a hash decides, so that in a
+    # chain of overlapping pairs many are kept at once
+    rank = ranks(kinds, np.floor(2 * np.log2(times)).astype(np.uint64), bits)
+    return places.take(np.flatnonzero(once)), places.take(many), np.cumsum(first) - 1, kinds, rank
+
+
 def repair(ids: np.ndarray, sizes: np.ndarray):
     """(sequence, symbols of each document, left, right, rules made up to each pass, first nonterminal).
 
     Each pass counts all adjacent pairs and gives every pair that occurs twice or more a nonterminal; where
     two such pairs overlap, the one of better rank is replaced: the more frequent, to a factor of about 1.4.
     A pair with fewer than two places left waits for the next pass. Passes repeat, with pairs of nonterminals
-    too, until no pair occurs twice.
+    too, until no pair occurs twice. While most places change, the sequence closes up after each pass; later
+    passes leave it as it is, link over what is gone, and read only places whose pair may occur twice.
     """
     seq = ids.astype(np.uint32)
     base = int(seq.max(initial=0)) + 1
@@ -89,51 +111,71 @@ def repair(ids: np.ndarray, sizes: np.ndarray):
     if len(seq):
         doc_end[np.cumsum(sizes)[sizes > 0] - 1] = True
     left, right, passes, top = [], [], [], base
+
+    def rules(at: np.ndarray, who: np.ndarray, kinds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Makes rules of the pairs that have two places, and returns these places with their new symbols."""
+        nonlocal top
+        uses = np.bincount(who, minlength=len(kinds))
+        enough = uses >= 2
+        name, made = np.cumsum(enough) + (top - 1), kinds.take(np.flatnonzero(enough))
+        left.append((made >> np.uint64(bits)).astype(np.uint32))
+        right.append((made & np.uint64((1 << bits) - 1)).astype(np.uint32))
+        top += len(made)
+        passes.append(top - base)
+        some = np.flatnonzero(enough.take(who))
+        return at.take(some), name.take(who.take(some)).astype(np.uint32)
+
     # places where no pair begins that can become a rule: the last symbol of a document has no partner, and a
     # pair that occurs once will not occur twice later
     lone = doc_end.copy()
-    while len(seq) > 1:
-        pairs, order, bits = adjacent(seq, lone, top)
-        new = np.ones(len(pairs), bool)
-        new[1:] = pairs[1:] != pairs[:-1]
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(pairs)))
-        lone[order[first[count == 1]]] = True
-        frequent = np.flatnonzero(count >= 2)
-        if not len(frequent):
+    while len(todo := np.flatnonzero(~lone)) * LINK_BELOW >= len(seq) > 0:
+        pairs, places, _, bits = ordered(seq, todo, todo + 1, top)
+        once, places, who, kinds, rank = counted(pairs, places, bits)
+        if not len(kinds):
+            todo = todo[:0]
             break
-        # the smallest rank is the most frequent's; among about equal frequencies a hash decides, so that in a
-        # chain of overlapping pairs many are kept at once
-        times, n = count[frequent], len(frequent)
-        size = np.floor(2 * np.log2(times)).astype(np.uint64)
-        rank = ranks(pairs[first[frequent]], size, bits)
-        who, places = np.repeat(np.arange(n), times), order[np.repeat(count >= 2, count)]
-        want, pair = np.full(len(seq) + 1, NO_RANK), np.empty(len(seq), np.int32)  # the last: no pair here
-        want[places], pair[places] = rank.take(who), who
-        at = np.flatnonzero(want != NO_RANK)
+        lone[once] = True
         # equal pairs never stand side by side: a place is kept if no neighbouring place has a better rank
-        r = want.take(at)
-        at = at.take(np.flatnonzero((r < want.take(at - 1, mode="wrap")) & (r < want.take(at + 1))))
-        mine = pair.take(at)
-        uses = np.bincount(mine, minlength=n)
-        enough = np.flatnonzero(uses.take(mine) >= 2)
-        at, mine = at.take(enough), mine.take(enough)
-        used = np.flatnonzero(uses >= 2)
-        name = np.zeros(n, np.uint32)
-        name[used] = top + np.arange(len(used), dtype=np.uint32)
-        made = pairs[first[frequent[used]]]
-        left.append((made >> np.uint64(bits)).astype(np.uint32))
-        right.append((made & np.uint64((1 << bits) - 1)).astype(np.uint32))
-        seq[at] = name.take(mine)
-        doc_end[at] = doc_end[at + 1]
+        around = np.full(len(seq) + 2, NO_RANK)
+        want = around[1:-1]
+        want[places] = rank.take(who)
+        best = want < around[:-2]
+        best &= want < around[2:]
+        keep = np.flatnonzero(best.take(places))
+        at, symbols = rules(places.take(keep), who.take(keep), kinds, bits)
+        seq[at] = symbols
+        doc_end[at] = doc_end.take(at + 1)
         lone[at], lone[at[at > 0] - 1] = False, False
         lone |= doc_end
-        gone = np.ones(len(seq), bool)
-        gone[at + 1] = False
-        left_over = np.flatnonzero(gone)
-        seq, doc_end, lone = seq.take(left_over), doc_end.take(left_over), lone.take(left_over)
-        top += len(used)
-        passes.append(top - base)
+        gone = np.zeros(len(seq), bool)
+        gone[at + 1] = True
+        stay = np.flatnonzero(~gone)
+        seq, doc_end, lone = seq.take(stay), doc_end.take(stay), lone.take(stay)
+    n = len(seq)
+    after, before, gone = np.arange(1, n + 1), np.arange(-1, n), np.zeros(n, bool)
+    # the last of these is also the one before the first: no pair there
+    want, mark = np.full(n + 1, NO_RANK), np.zeros(n + 1, bool)
+    while len(todo):
+        pairs, places, out, bits = ordered(seq, todo, after.take(todo), top)
+        _, places, who, kinds, rank = counted(pairs, places, bits)
+        if not len(kinds):
+            break
+        want[places] = rank = rank.take(who)
+        keep = np.flatnonzero((rank < want.take(before.take(places), mode="wrap")) & (rank < want.take(after.take(places))))
+        want[places] = NO_RANK
+        at, symbols = rules(places.take(keep), who.take(keep), kinds, bits)
+        seq[at] = symbols
+        right_of = after.take(at)
+        gone[right_of] = True
+        doc_end[at] = doc_end.take(right_of)
+        after[at] = follow = after.take(right_of)
+        before[follow] = at
+        mark[places] = mark[out] = mark[at] = mark[before.take(at)] = True
+        maybe = np.flatnonzero(mark[:-1])
+        mark[maybe] = mark[-1] = False
+        todo = maybe.take(np.flatnonzero(~(gone.take(maybe) | doc_end.take(maybe))))
+    stay = np.flatnonzero(~gone)
+    seq, doc_end = seq.take(stay), doc_end.take(stay)
     ends = np.flatnonzero(doc_end) + 1
     symbols = np.zeros(len(sizes), np.int64)
     symbols[sizes > 0] = np.diff(ends, prepend=0)
@@ -141,18 +183,37 @@ def repair(ids: np.ndarray, sizes: np.ndarray):
     return seq, symbols, np.concatenate(left or [empty]), np.concatenate(right or [empty]), np.array(passes, np.uint32), base
 
 
+def columns(bits: int):
+    """Of eight values that stand side by side in as many bytes as each has bits: (value, the 64-bit word
+    that holds bits of it, how far left it stands there; negative: the lowest bits are in the next word)."""
+    for j in range(8):
+        for word in range(j * bits // 64, (j * bits + bits - 1) // 64 + 1):
+            yield j, word, 64 * (word + 1) - (j + 1) * bits
+
+
 def to_bits(values: np.ndarray, bits: int) -> bytes:
     """The lowest `bits` of each value, one after the other."""
-    wide = np.unpackbits(np.ascontiguousarray(values, ">u4").view(np.uint8).reshape(-1, 4), axis=1)
-    return np.packbits(wide[:, 32 - bits :]).tobytes()
+    if not len(values):
+        return b""
+    rows = np.zeros((-(-len(values) // 8), 8), np.uint64)
+    rows.reshape(-1)[: len(values)] = values & np.uint32((1 << bits) - 1)
+    out = np.zeros((len(rows), -(-bits // 8)), np.uint64)
+    for j, word, left in columns(bits):
+        out[:, word] |= rows[:, j] << np.uint64(left) if left >= 0 else rows[:, j] >> np.uint64(-left)
+    return out.astype(">u8").view(np.uint8)[:, :bits].tobytes()[: (len(values) * bits + 7) // 8]
 
 
 def from_bits(data: bytes, n: int, bits: int, at: int) -> tuple[np.ndarray, int]:
     """(n values, where they end in data)."""
-    size = (n * bits + 7) // 8
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, 32 - bits :] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * bits).reshape(n, bits)
-    return np.packbits(wide, axis=1).view(">u4").ravel().astype(np.uint32), at + size
+    size, rows = (n * bits + 7) // 8, -(-n // 8)
+    packed = np.zeros(rows * bits, np.uint8)
+    packed[:size] = np.frombuffer(data, np.uint8, size, at)
+    wide = np.zeros((rows, 8 * -(-bits // 8)), np.uint8)
+    wide[:, :bits] = packed.reshape(rows, bits)
+    words, out = wide.view(">u8").astype(np.uint64), np.zeros((rows, 8), np.uint64)
+    for j, word, left in columns(bits):
+        out[:, j] |= words[:, word] >> np.uint64(left) if left >= 0 else words[:, word] << np.uint64(-left)
+    return (out.ravel()[:n] & np.uint64((1 << bits) - 1)).astype(np.uint32), at + size
 
 
 def to_shard(ids: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -259,15 +320,15 @@ def write_shards(tokenizer: str, end: int, shard_ids: int):
 
         enc, part, shard = encoder(tokenizer, "byte"), TaskContext.get().partitionId(), 0
         docs, data, size = [], [], 0
+        hoard()
 
         def flush():
             ids = np.frombuffer(b"".join(data), np.uint32)
             payload = to_shard(ids, np.array([len(x) // 4 for x in data], np.int64))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["part", "shard", "doc_ids", "n_ids", "payload"])
 
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(texts)):
+        for rows in enc.encode_rows(batches):
+            for doc, ids in zip(*rows):
                 docs.append(doc)
                 data.append(ids + last)
                 size += len(ids) // 4 + 1
@@ -296,12 +357,14 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int = END, shard_ids: int =
 
 
 def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hoard()
     for b in batches:
         for part, shard, docs, payload in zip(*[b.column(i).to_pylist() for i in range(4)]):
             ids = list(Shard(payload).documents())
             n = np.array([len(x) // 4 for x in ids], np.int64)
             k = len(docs)
             yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array([shard] * k, pa.int32()), pa.array(docs, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["part", "shard", "doc_id", "inner", "n_tokens", "ids_crc32"])
+    trim()
 
 
 def read_digest(shards: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from fathom.llm import byte_bpe, jaccard, licences, lm, packing, repair_store, suffix, toxicity
-from fathom.llm.common import connected_components, pack, unpack
+from fathom.llm import byte_bpe, jaccard, licences, lm, packing, repair_store, suffix, tokens, toxicity
+from fathom.llm.common import connected_components, hoard, pack, unpack
 from fathom.llm.tokens import CachedEncoder
 
 BYTE, WORD, RANKS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
@@ -472,6 +472,39 @@ def test_re_pair_ranks(bits):
     assert (np.diff(size[np.argsort(rank)].astype(int)) <= 0).all()
 
 
+def test_re_pair_reads_only_what_may_change(monkeypatch):
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([np.arange(100_000), rng.integers(100_000, 100_020, 4000)]).astype(np.uint32)
+    read, ordered = [], repair_store.ordered
+    monkeypatch.setattr(repair_store, "ordered", lambda seq, at, *more: read.append(len(at)) or ordered(seq, at, *more))
+    shard = repair_store.Shard(repair_store.to_shard(ids, np.array([len(ids)])))
+    assert (shard.document(0) == ids).all()
+    assert len(read) > 3 and sum(read[1:]) < 8000  # what occurs once is read by the first pass alone
+
+
+def test_shards_are_made_in_memory_that_is_there():
+    import resource
+
+    rng = np.random.default_rng(5)
+    ids, sizes = rng.zipf(1.2, repair_store.SHARD_IDS).clip(max=50_000).astype(np.uint32), np.full(256, repair_store.SHARD_IDS // 256)
+    hoard()
+    for _ in range(2):
+        repair_store.to_shard(ids, sizes)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    repair_store.to_shard(ids, sizes)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 500  # pages; some 6000 without
+
+
+@pytest.mark.parametrize("bits", [1, 7, 8, 17, 31, 32])
+@pytest.mark.parametrize("n", [0, 1, 8, 1001])
+def test_bits(bits, n):
+    values = np.random.default_rng(6).integers(0, 1 << bits, n).astype(np.uint32)
+    data = repair_store.to_bits(values, bits)
+    assert data == np.packbits(np.array([int(c) for v in values for c in f"{v:0{bits}b}"], np.uint8)).tobytes()
+    got, end = repair_store.from_bits(b"head" + data + b"tail", n, bits, 4)
+    assert end == 4 + len(data) and (got == values).all()
+
+
 def test_re_pair_compresses():
     ids = np.tile(np.arange(50, dtype=np.uint32), 200)
     assert len(repair_store.to_shard(ids, np.array([5000, 5000]))) < len(ids)
@@ -501,6 +534,26 @@ def test_pieces_encode_like_whole_texts(path, kind, odd_rows):
         assert np.frombuffer(own.encode_one(t), np.uint32).tolist() == encode(t), t
 
 
+@pytest.mark.parametrize("group", [1, 3000, 8 << 20])
+@pytest.mark.parametrize("path, kind", [(BYTE, "byte"), (WORD, "word")])
+def test_texts_encoded_in_groups(path, kind, group, odd_rows, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP_BYTES", group)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 100)
+    rng, encode, own, met = random.Random(9), library(path), CachedEncoder(path, kind), []
+    odd = ["\n\n", " lead", "trail ", "a  b", "x\ty\n", "\n", " ", "Tab\t", "<|endoftext|> z", "[UNK]", "\xa0q\xa0", "é! \u3000", "wort. Wort, WORT", "İstanbul ǅ. ɐ!"]
+    rows = [(i, rng.choice([t[1] for t in odd_rows if len(t[1] or "") < 3000] + odd)) for i in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 7])], ["doc_id", "text"]).slice(i % 2) for i in range(0, 200, 7)]
+    fresh = own.fresh
+    own.fresh = lambda piece: met.append(piece) or fresh(piece)
+    got = [(doc, np.frombuffer(ids, np.uint32).tolist()) for docs, texts in own.encode_rows(iter(batches)) for doc, ids in zip(docs, texts)]
+    assert got == [(doc, encode(t)) for i, (doc, t) in enumerate(rows) if not (i % 7 == 0 and i % 2)]
+    if group == 8 << 20:
+        assert len(met) == len(set(met)) > 100  # a group's pieces are encoded once, even if the dictionaries are small
+        met.clear()
+        own.encode(["zebra  crossing", "gnu \t gnat"])
+        assert kind == "word" or not met  # nor what stands in texts alone that are encoded whole
+
+
 @pytest.mark.parametrize("path, kind", [(BYTE, "byte"), (WORD, "word")])
 def test_signs_after_words(path, kind):
     rng, encode, own, whole = random.Random(8), library(path), CachedEncoder(path, kind), []
