@@ -324,7 +324,8 @@ def candidate_links(live: DataFrame, percent: int, parts: int) -> DataFrame:
 
     def linked(rows: DataFrame, tag: str) -> DataFrame:
         tasks = rows.join(live, "rid").select(*DEALT).repartition(parts, "list", "chunk").sortWithinPartitions("list", "chunk", F.col("own") != F.col("chunk"))
-        return materialise(tasks.mapInArrow(link_lists(percent), "src long, dst long"), tag)
+        # few links of many tasks: as many files as their bytes need, not one for each task
+        return materialise(tasks.mapInArrow(link_lists(percent), "src long, dst long").hint("rebalance"), tag)
 
     longest = mine.withColumn("nth", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("df"), "list"))).where(F.col("nth") <= FIRST)
     first = longest.withColumn("chunks", chunks).withColumn("own", own).select("rid", "list", "own", F.col("own").alias("chunk"), F.col("rid").alias("component"), F.lit(False).alias("minor"), F.lit(None).cast("array<long>").alias("lists"))

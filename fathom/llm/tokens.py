@@ -26,6 +26,9 @@ from .common import kept
 CACHE_PIECES = 500_000
 #: Bytes of texts, about, that are cut at once; a longer text is cut on its own.
 GROUP_BYTES = 8 << 20
+#: Part of that for kind "word": what a group needs beside itself, some 25 times its bytes, stands beside the dictionaries
+#: and an executor's full heap.
+WORD_SHARE = 4
 #: Signs that are no letters, digits or apostrophes in any pattern: a run of them after a letter is a match.
 STOPS = ".,!?;:#$%&*"
 #: Below it, letters have been what they are in every version of Unicode, and stay as they are when composed.
@@ -74,6 +77,7 @@ class CachedEncoder:
         self.tokenize, self.newer, self.older = model.tokenize, {}, {}
         self.stops = functools.lru_cache(maxsize=10_000)(self.whole)
         self.feed, self.blank = self.whole("\n"), "" if self.words else " "
+        self.group = max(1, GROUP_BYTES // WORD_SHARE) if self.words else GROUP_BYTES
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -162,7 +166,7 @@ class CachedEncoder:
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         sizes, out = pc.fill_null(pc.binary_length(texts), 0).to_numpy(), [b""] * len(texts)
         full = np.flatnonzero(sizes)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes.take(full)) // GROUP_BYTES)) + 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes.take(full)) // self.group)) + 1
         for some in np.split(full, cuts):
             if len(some):
                 for i, ids in zip(some.tolist(), self.encode_group(texts.take(pa.array(some)))):
@@ -178,7 +182,7 @@ class CachedEncoder:
         for b in batches:
             held.append(b)
             size += b.column(1).nbytes
-            if size >= GROUP_BYTES:
+            if size >= self.group:
                 yield self.encode_held(held)
                 held, size = [], 0
         if held:

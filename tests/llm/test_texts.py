@@ -108,6 +108,16 @@ def test_heavy_shingles_travel_as_counts(spark, monkeypatch):
     assert rows_of(got) == brute_classes(rows)[0]
 
 
+def test_links_lie_in_few_files(spark, monkeypatch):
+    files, write = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, tag: files.setdefault(tag, write(df, tag)))
+    pages = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    rows = [(i, page) for i, page in enumerate(pages)] + [(i + 40, f"{page} more") for i, page in enumerate(pages)]
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert rows_of(got) == brute_classes(rows)[0]
+    assert files["first"].count() >= 40 and len(files["first"].inputFiles()) == 1
+
+
 def test_one_of_each_keeps_whole_rows(docs, odd_rows):
     left = jaccard.one_of_each(docs)
     assert left.columns == docs.columns
@@ -554,6 +564,13 @@ def test_texts_encoded_in_groups(path, kind, group, odd_rows, monkeypatch):
         assert kind == "word" or not met  # nor what stands in texts alone that are encoded whole
 
 
+def test_words_are_cut_in_groups_of_two_megabytes():
+    text = " ".join(f"w{i % 5000}" for i in range(20_000))
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    groups = [len(docs) for docs, _ in CachedEncoder(WORD, "word").encode_rows(iter([rows] * 40))]
+    assert sum(groups) == 40 and max(groups) * len(text) < 3 << 20
+
+
 @pytest.mark.parametrize("path, kind", [(BYTE, "byte"), (WORD, "word")])
 def test_signs_after_words(path, kind):
     rng, encode, own, whole = random.Random(8), library(path), CachedEncoder(path, kind), []
