@@ -423,6 +423,21 @@ def brute_scores(rows, labels):
     return [model.calibrated(vote(v, d)) if (v := unit(b)) else prior for (d, _), b in zip(rows, bags)]
 
 
+def test_an_index_is_made_in_little_more_memory_than_it_takes():
+    import tracemalloc
+
+    rng, size = np.random.default_rng(3), 400
+    terms = pa.array([f"t{i:05}" for i in range(25_600)], pa.large_string())
+    held = np.arange(1, 4001) * size, np.concatenate([np.sort(rng.choice(25_600, size, replace=False)) for _ in range(4000)]).astype(np.int32), np.ones(4000 * size, np.int32)
+    model = toxicity.Scorer(terms, np.ones(25_600), np.arange(4000), np.zeros(4000, np.int64), 0.1, held)
+    tracemalloc.start()
+    index = toxicity.BlockMaxIndex.of(model)
+    takes, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < takes + 25 * len(index.place)  # bytes
+    assert len(index.place) == 4000 * size and index.nearest([model.vector(7, held)], 1)[0][0][1] == 7
+
+
 def test_toxicity_equals_brute_force(spark, odd_rows):
     rows, labels = [r[:2] for r in odd_rows if r[0] is not None], {}
     rows = list({r[0]: r for r in rows}.values()) + [(5000 + i, t) for i, t, _ in labelled(random.Random(6), 300)]
